@@ -142,6 +142,24 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def least_positions(hashes: np.ndarray, width: int) -> np.ndarray:
+    """For every window of `width` hashes, where its least one lies (by the upper 48 bits, the first of equals)."""
+    total = len(hashes) - width + 1
+    at = np.empty(max(0, total), np.int64)
+    low = np.uint64(0xFFFF)
+    for s in range(0, total, 32_768):
+        part = hashes[s : min(s + 32_768, total) + width - 1]
+        part = (part & ~low) | np.arange(len(part), dtype=np.uint64)
+        span = 1
+        while 2 * span <= width:
+            part = np.minimum(part[:-span], part[span:])
+            span *= 2
+        if width > span:
+            part = np.minimum(part[: len(part) - (width - span)], part[width - span :])
+        at[s : s + len(part)] = (part & low).astype(np.int64) + s
+    return at
+
+
 class Memo(dict):
     """Values of f by key, forgotten all at once beyond `most` keys, so that memory stays bounded."""
 

@@ -169,10 +169,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
     spark = docs.sparkSession
     found = None
     for index in indexes(benchmark):
-        shared = spark.sparkContext.broadcast(index)
+        shared = spark.sparkContext.broadcast(vars(index))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            index = shared.value
+            index = Index(**shared.value)
             known = Memo(lambda w: index.terms.get(w, -1))
             for batch in batches:
                 rows = [(doc, int(index.ids[k]), s, q, a, -at) for doc, raw in zip(batch.column("doc_id").to_pylist(), texts(batch.column("text")), strict=True) for k, (s, q, a, at) in sorted(_hits(index, raw, known, threshold).items())]
@@ -188,10 +188,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The documents without a verified hit, with all their columns."""
     for index in indexes(benchmark):
-        shared = docs.sparkSession.sparkContext.broadcast(index)
+        shared = docs.sparkSession.sparkContext.broadcast(vars(index))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            index = shared.value
+            index = Index(**shared.value)
             known = Memo(lambda w: index.terms.get(w, -1))
             for batch in batches:
                 yield batch.filter(pa.array([not _hits(index, raw, known, threshold) for raw in texts(batch.column("text"))], pa.bool_()))

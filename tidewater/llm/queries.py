@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewater.llm import media, packing, sharding, simhash
+from tidewater.llm import decontamination, linededup, media, packing, runindex, sharding, simhash, substring, toxicity, warc
 from tidewater.llm.common import table
 
 
@@ -24,6 +24,58 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.group_documents(table(spark, sf_dir, "documents"), distance=2, words_per_shingle=3)
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_media, op3_sharding, op4_simhash)}
+def op5_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.group_passages(table(spark, sf_dir, "documents"))
 
-ORACLE: dict[str, str] = {}
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages as an archive, audited against a replica with planted faults."""
+    pages = table(spark, sf_dir, "pages")
+    return warc.audit(warc.archive(pages), warc.archive(warc.damaged(pages)))
+
+
+def op8_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", "text")
+
+
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op10_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runindex.dedup_substrings(table(spark, sf_dir, "documents"), length=50)
+
+
+QUERIES = {f.__name__: f for f in (op1_packing, op2_media, op3_sharding, op4_simhash, op5_substring, op6_toxicity, op7_warc, op8_lines, op9_decontamination, op10_runs)}
+
+_RECORD = (
+    "'WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: response' || chr(13) || chr(10) || 'WARC-Record-ID: <urn:page:' || page_id || '>' || chr(13) || chr(10)"
+    " || 'WARC-Target-URI: ' || coalesce(url, '') || chr(13) || chr(10) || 'Content-Type: text/html' || chr(13) || chr(10) || 'Content-Length: ' || strlen({html})"
+    " || chr(13) || chr(10) || chr(13) || chr(10) || {html} || chr(13) || chr(10) || chr(13) || chr(10)"
+)
+
+
+def _archive(source: str) -> str:
+    html = "coalesce(html, '')"
+    return f"""
+        SELECT page_id, file, row_number() OVER w - 1 AS record_no, coalesce(sum(length) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start, length, digest
+        FROM (SELECT page_id, page_id // {warc.FILE_RECORDS} AS file, strlen(record) AS length, sha256(record) AS digest FROM (SELECT page_id, {_RECORD.format(html=html)} AS record FROM {source}))
+        WINDOW w AS (PARTITION BY file ORDER BY page_id, digest)"""
+
+
+ORACLE = {
+    "op7_warc": f"""
+        WITH replica AS (
+            SELECT page_id, url, CASE WHEN page_id % 97 = 13 THEN '#' || substring(html, 2) WHEN page_id % 389 = 11 THEN substring(html, 1, 100) ELSE html END AS html
+            FROM pages WHERE page_id % 193 <> 7),
+        a AS ({_archive("pages")}), b AS ({_archive("replica")})
+        SELECT coalesce(a.page_id, b.page_id) AS page_id, coalesce(a.file, b.file) AS file, CAST(coalesce(a.record_no, b.record_no) AS INTEGER) AS record_no,
+            CAST(coalesce(a.start, b.start) AS BIGINT) AS start, coalesce(a.length, b.length) AS length, coalesce(a.digest, b.digest) AS digest,
+            CASE WHEN b.digest IS NULL THEN 'missing' WHEN a.digest IS NULL THEN 'extra' WHEN a.digest <> b.digest THEN 'corrupt' WHEN a.start <> b.start THEN 'moved' ELSE 'ok' END AS status
+        FROM a FULL JOIN b ON a.file = b.file AND a.page_id = b.page_id""",
+}

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import mix64, texts
+from tidewater.llm.common import least_positions, mix64, texts
 
 LENGTH = 50
 ANCHOR = 24
@@ -44,33 +44,20 @@ def anchors(buffer: bytes, ends: np.ndarray, length: int = LENGTH) -> tuple[np.n
         return none, none, none, none.astype(np.uint64)
     wide = length - ANCHOR + 1
     total = n - length + 1
-    at = np.empty(total, np.int64)
     hashed = np.empty(n - ANCHOR + 1, np.uint64)
     c1, c2, c3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
-    low = np.uint64(0xFFFF)
-    for s in range(0, total, _BLOCK):
-        count = min(_BLOCK, total - s)
-        grams = count + wide - 1
+    for s in range(0, len(hashed), _BLOCK):
+        grams = min(_BLOCK, len(hashed) - s)
         words = np.empty(grams + 16, np.uint64)
-        part = np.frombuffer(buffer, np.uint8, grams + 23, s)
         for j in range(8):
             lane = words[j::8]
-            lane[:] = np.frombuffer(part[j : j + 8 * len(lane)], "<u8")
+            lane[:] = np.frombuffer(buffer, "<u8", len(lane), s + j)
+        mid, end = words[8 : 8 + grams], words[16:]
         h = words[:grams] * c1
-        mid = words[8 : 8 + grams]
         h ^= (mid ^ (mid >> np.uint64(31))) * c2
-        end = words[16 : 16 + grams]
         h += (end ^ (end >> np.uint64(29))) * c3
-        h = mix64(h)
-        hashed[s : s + grams] = h
-        low_first = (h & ~low) | np.arange(grams, dtype=np.uint64)
-        span = 1
-        while 2 * span <= wide:
-            low_first = np.minimum(low_first[:-span], low_first[span:])
-            span *= 2
-        if wide > span:
-            low_first = np.minimum(low_first[: len(low_first) - (wide - span)], low_first[wide - span :])
-        at[s : s + count] = (low_first[:count] & low).astype(np.int64) + s
+        hashed[s : s + grams] = mix64(h)
+    at = least_positions(hashed, wide)
     inside = np.zeros(total + 1, np.int64)
     np.add.at(inside, np.minimum(starts, total), np.where(ends - starts >= length, 1, 0))
     np.add.at(inside, np.clip(ends - length + 1, 0, total), np.where(ends - starts >= length, -1, 0))
@@ -374,7 +361,7 @@ def dedup_substrings(docs: DataFrame, length: int = LENGTH, with_text: bool = Fa
         cols = list(zip(*out, strict=True)) if out else [[]] * 5
         return _table({k: (list(v), pa.int64() if k == "chunk" else pa.binary()) for k, v in zip(("chunk", "segment", "first", "stop", "low"), cols, strict=True)})
 
-    def clean(key: tuple, rows: pa.Table, marks: pa.Table, found: dict | None = None) -> pa.Table:
+    def clean(key: tuple, rows: pa.Table, marks: pa.Table) -> pa.Table:
         if not rows.num_rows:
             return _out([])
         chunk = Chunk(rows, length)

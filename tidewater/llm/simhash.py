@@ -144,12 +144,20 @@ WORD_AGREEMENT = 0.922
 MISSED = 0.005
 
 
-def block_plan(rows: int) -> tuple[int, int]:
+def block_plan(rows: int, agreement: float = WORD_AGREEMENT, missed: float = MISSED) -> tuple[int, int]:
     """(bits of a block, number of blocks): blocks widen with the table so that chance meetings stay in
     proportion to it; their number follows from the share of links that may be missed."""
     bits = min(32, max(21, math.ceil(math.log2(max(2, rows))) + 3))
-    bits = 21 if bits <= 21 else 32
-    return bits, math.ceil(math.log(MISSED) / math.log(1 - WORD_AGREEMENT**bits))
+    return bits, math.ceil(math.log(missed) / math.log(1 - agreement**bits))
+
+
+def cut_blocks(prints: np.ndarray, bits: int, blocks: int) -> np.ndarray:
+    """Block values of fingerprints (rows of bytes), each with its block's number above: one long a block."""
+    set_bits = np.unpackbits(prints, axis=1)[:, : bits * blocks].reshape(len(prints), blocks, bits)
+    value = np.zeros((len(prints), blocks), np.int64)
+    for b in range(bits):
+        value = value << 1 | set_bits[:, :, b]
+    return value | np.arange(blocks, dtype=np.int64)[None, :] << bits
 
 
 def _lanes(hashes: np.ndarray, lanes: int) -> np.ndarray:
@@ -160,8 +168,7 @@ def _lanes(hashes: np.ndarray, lanes: int) -> np.ndarray:
 def wide_fingerprints(docs: DataFrame, bits: int, blocks: int) -> DataFrame:
     """(doc_id, wide, keys): `wide` is a 512-bit SimHash of distinct five-word shingles (shorter texts: the
     whole word sequence), `keys` the blocks of a second SimHash over distinct words."""
-    per_lane = 64 // bits
-    lanes = -(-blocks // per_lane)
+    lanes = -(-blocks * bits // 64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Memo(lambda w: xxhash.xxh64_intdigest(w, SEED))
@@ -172,23 +179,22 @@ def wide_fingerprints(docs: DataFrame, bits: int, blocks: int) -> DataFrame:
                 h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
                 if not len(h):
                     wide.append(bytes(LANES * 8))
-                    keys.append(np.zeros(blocks, np.int64))
+                    keys.append(np.zeros(lanes * 8, np.uint8))
                     continue
                 k = min(SHINGLE, len(h))
                 shingles = np.zeros(len(h) - k + 1, np.uint64)
                 for j in range(k):
                     shingles = mix64(shingles * np.uint64(31) + h[j : len(h) - k + 1 + j])
-                wide.append(_majority(np.unique(shingles), LANES).tobytes())
-                lane = _majority(np.unique(h), lanes).view(">u8").astype(np.uint64)
-                cut = np.stack([(lane >> np.uint64(bits * j)) & np.uint64(2**bits - 1) for j in range(per_lane)], 1).reshape(-1)[:blocks]
-                keys.append((cut | (np.arange(blocks, dtype=np.uint64) << np.uint64(bits))).astype(np.int64))
-            flat = pa.array(np.concatenate(keys) if keys else np.empty(0, np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(wide, pa.binary()), pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1) * blocks, pa.int32()), flat)], ["doc_id", "wide", "keys"])
+                wide.append(majority(np.unique(shingles), LANES).tobytes())
+                keys.append(majority(np.unique(h), lanes))
+            flat = cut_blocks(np.array(keys, np.uint8).reshape(len(keys), lanes * 8), bits, blocks).reshape(-1)
+            cuts = pa.array(np.arange(len(keys) + 1) * blocks, pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(wide, pa.binary()), pa.ListArray.from_arrays(cuts, pa.array(flat))], ["doc_id", "wide", "keys"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, wide binary, keys array<long>")
 
 
-def _majority(hashes: np.ndarray, lanes: int) -> np.ndarray:
+def majority(hashes: np.ndarray, lanes: int) -> np.ndarray:
     count = np.zeros(lanes * 64, np.int64)
     total = len(hashes)
     for s in range(0, total, 8160):

@@ -1,8 +1,8 @@
 """Toxicity by cumulative-link ordinal regression on sparse word features.
 
 One weight vector serves all ordered thresholds: P(grade >= k) = sigmoid(w . x - t_k). Grades are 0
-(clean), 1 and 2; among labelled toxic rows, those with a higher share of toxic-associated words than
-the sample's median are grade 2. The model is fitted on the driver from at most SAMPLE_ROWS labelled
+(clean), 1 and 2; among labelled toxic rows, those with more distinct toxic-associated words than the
+sample's median are grade 2. The model is fitted on the driver from at most SAMPLE_ROWS labelled
 rows, taken by hash of doc_id; every document is scored.
 
 Cases: a null or empty text has no features and gets the severity of none; a null doc_id is scored; labels that are
@@ -22,15 +22,18 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import Memo, texts
+from tidewater.llm.common import Memo, mix64, texts
 
 #: Most labelled rows that the driver fits on (features only, a few MB).
 SAMPLE_ROWS = 12_000
 BUCKETS = 1 << 20
 GRADES = 3
-#: A word takes part if its rate among toxic rows stands out by so many standard errors in so many rows.
-STANDS_OUT, LEAST_ROWS = 5.0, 3
-STEPS, RATE, SHRINK = 400, 0.2, 1e-3
+#: A word takes part if its rate among toxic rows stands out by so many standard errors, in so many rows
+#: and in such a share of them: words of a few copied documents don't.
+STANDS_OUT, LEAST_ROWS, LEAST_SHARE = 5.0, 5, 0.0004
+STEPS, RATE, SHRINK = 300, 0.03, 1e-3
+#: Starting weight of a telling word (less for words seen in few rows) and first threshold.
+FULL_WEIGHT, FULL_ROWS, FIRST_CUT = 6.0, 10, 3.0
 TOXIC_AT = 0.5
 
 _FOLD = bytes(32 if 33 <= i <= 47 or 58 <= i <= 64 or 91 <= i <= 96 or 123 <= i <= 126 else i for i in range(256))
@@ -57,33 +60,63 @@ class Ordinal:
         return 1 / (1 + np.exp(-(eta[:, None] - self.cuts[None, :])))
 
 
-def fit(rows: list[np.ndarray], counts: list[np.ndarray], toxic: np.ndarray) -> Ordinal:
-    """Rows: each document's distinct buckets; counts: how often they occur; toxic: 0 or 1."""
+def unlike(rows: list[np.ndarray], bands: int = 10, per_band: int = 8) -> list[int]:
+    """Indexes of rows without near copies before them: copied documents would make their words look telling.
+
+    Rows that share a band of min-hashes count as copies.
+    """
+    sizes = np.array([len(r) for r in rows])
+    full = np.flatnonzero(sizes)
+    if not len(full):
+        return list(range(len(rows)))
+    flat = np.concatenate([rows[k] for k in full]).astype(np.uint64)
+    starts = np.concatenate([[0], np.cumsum(sizes[full])[:-1]])
+    seen: set[tuple[int, int]] = set()
+    mine: list[list[tuple[int, int]]] = [[] for _ in rows]
+    for band in range(bands):
+        joined = np.zeros(len(full), np.uint64)
+        for k in range(per_band):
+            salt = np.uint64(0x9E3779B97F4A7C15 * (band * per_band + k + 1) % 2**64)
+            joined = mix64(joined ^ np.minimum.reduceat(mix64(flat ^ salt), starts))
+        for row, value in zip(full.tolist(), joined.tolist(), strict=True):
+            mine[row].append((band, value))
+    kept = []
+    for row, bands_ in enumerate(mine):
+        if not seen.intersection(bands_):
+            kept.append(row)
+            seen.update(bands_)
+    return kept
+
+
+def fit(rows: list[np.ndarray], toxic: np.ndarray) -> Ordinal:
+    """Rows: each document's distinct buckets; toxic: 0 or 1."""
     weights = np.zeros(BUCKETS, np.float32)
     cuts = np.array([1.0, 2.0]) * 8
+    kept = unlike(rows)
+    rows, toxic = [rows[k] for k in kept], toxic[kept]
     n1 = int(toxic.sum())
     n0 = len(toxic) - n1
     if not n1 or not n0:
         return Ordinal(weights, cuts)
     owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     flat = np.concatenate(rows)
-    many = np.concatenate(counts).astype(np.float64)
     seen1 = np.bincount(flat, toxic[owner], BUCKETS)
     seen = np.bincount(flat, minlength=BUCKETS)
     share = n1 / len(toxic)
     z = (seen1 - seen * share) / np.sqrt(np.maximum(seen * share * (1 - share), 1e-9))
-    picked = np.flatnonzero((seen >= LEAST_ROWS) & (np.abs(z) >= STANDS_OUT))
+    picked = np.flatnonzero((seen >= max(LEAST_ROWS, LEAST_SHARE * len(toxic))) & (np.abs(z) >= STANDS_OUT))
     if not len(picked):
         return Ordinal(weights, cuts)
     column = np.full(BUCKETS, -1)
     column[picked] = np.arange(len(picked))
     use = column[flat] >= 0
     i, j = owner[use], column[flat[use]]
-    # severity grades of the sample: density of toxic-associated words
-    hot = use & (z[flat] > 0)
-    density = np.bincount(owner[hot], many[hot], len(rows)) / np.maximum(1, np.bincount(owner, many, len(rows)))
-    grade = np.where(toxic == 1, 1 + (density > np.median(density[toxic == 1])), 0)
-    w, t = np.zeros(len(picked)), np.array([1.0, 2.0])
+    # severity grades of the sample: how many distinct toxic-associated words
+    telling = np.bincount(owner[use & (z[flat] > 0)], minlength=len(rows))
+    middle = float(np.median(telling[toxic == 1]))
+    grade = np.where(toxic == 1, 1 + (telling > middle), 0)
+    w = np.sign(z[picked]) * FULL_WEIGHT * np.minimum(1.0, seen[picked] / FULL_ROWS)
+    t = np.array([FIRST_CUT, max(FIRST_CUT + 1, FULL_WEIGHT * (middle + 0.5))])
     mw, vw, mt, vt = np.zeros_like(w), np.zeros_like(w), np.zeros_like(t), np.zeros_like(t)
     for step in range(1, STEPS + 1):
         eta = np.bincount(i, w[j], len(rows))
@@ -107,19 +140,17 @@ def fit(rows: list[np.ndarray], counts: list[np.ndarray], toxic: np.ndarray) ->
 
 
 def features(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """keep columns plus `buckets` and `counts`: each document's distinct word buckets."""
-    schema = ", ".join(f"`{c}` {t}" for c, t in docs.select(*keep).dtypes) + ", buckets array<int>, counts array<int>"
+    """keep columns plus `buckets`: each document's distinct word buckets."""
+    schema = ", ".join(f"`{c}` {t}" for c, t in docs.select(*keep).dtypes) + ", buckets array<int>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Memo(_bucket)
         for batch in batches:
-            a, b = [], []
+            found = []
             for raw in texts(batch.column("text")):
-                ws = words(raw)
-                u, n = np.unique(np.fromiter(map(known.__getitem__, ws), np.int32, len(ws)), return_counts=True)
-                a.append(u)
-                b.append(n.astype(np.int32))
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array(a, pa.list_(pa.int32())), pa.array(b, pa.list_(pa.int32()))], [*keep, "buckets", "counts"])
+                ws = set(words(raw))
+                found.append(np.unique(np.fromiter(map(known.__getitem__, ws), np.int32, len(ws))))
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array(found, pa.list_(pa.int32()))], [*keep, "buckets"])
 
     return docs.select(*keep, "text").mapInArrow(run, schema)
 
@@ -137,7 +168,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     # the sample is at most sample_rows pairs of numbers
     got = features(docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id"), ["doc_id", "label"]).toPandas().sort_values("doc_id")
     got = got.drop_duplicates("doc_id")
-    return fit([np.asarray(x, np.int64) for x in got["buckets"]], [np.asarray(x, np.int64) for x in got["counts"]], got["label"].to_numpy(np.int64).clip(0, 1))
+    return fit([np.asarray(x, np.int64) for x in got["buckets"]], got["label"].to_numpy(np.int64).clip(0, 1))
 
 
 def _scorer(model: Ordinal):
