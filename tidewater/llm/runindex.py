@@ -3,7 +3,7 @@
 A byte goes if a string of `length` bytes that covers it also starts in a document with a smaller
 doc_id. Work is dealt by content, not by document:
 
-1. Every window of `length` bytes has an anchor, its least 24-byte hash, so equal windows have equal
+1. Every window of `length` bytes has an anchor, its least 16-byte hash, so equal windows have equal
    anchors. Chunks of documents send their distinct anchors to buckets, which say which occur twice.
 2. Around those anchors, chunks send the segments that hold all their windows. A bucket sorts the
    suffixes of its distinct segments, keeps the Burrows-Wheeler transform as runs with the text
@@ -25,53 +25,75 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import least_positions, mix64, texts
+from tidewater.llm.common import mix64, texts
 
 LENGTH = 50
-ANCHOR = 24
+ANCHOR = 16
 #: Text bytes of a chunk and, on average, of a bucket.
-CHUNK_BYTES, BUCKET_BYTES = 2_000_000, 1_000_000
+CHUNK_BYTES, BUCKET_BYTES = 4_000_000, 2_000_000
 _LAST = np.iinfo(np.int64).max
-_BLOCK = 32_768
+#: Windows looked at together: their hashes stay in the processor's cache.
+_BLOCK = 16_384
 
 
 def anchors(buffer: bytes, ends: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, ...]:
     """(document, first window, last window, hash) of each run of windows with one anchor; windows stay inside documents."""
     n = len(buffer)
-    starts = np.concatenate([[0], ends[:-1]])
     none = np.empty(0, np.int64)
     if n < length:
         return none, none, none, none.astype(np.uint64)
-    wide = length - ANCHOR + 1
-    total = n - length + 1
-    hashed = np.empty(n - ANCHOR + 1, np.uint64)
-    c1, c2, c3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
-    for s in range(0, len(hashed), _BLOCK):
-        grams = min(_BLOCK, len(hashed) - s)
-        words = np.empty(grams + 16, np.uint64)
-        for j in range(8):
-            lane = words[j::8]
-            lane[:] = np.frombuffer(buffer, "<u8", len(lane), s + j)
-        mid, end = words[8 : 8 + grams], words[16:]
-        h = words[:grams] * c1
-        h ^= (mid ^ (mid >> np.uint64(31))) * c2
-        h += (end ^ (end >> np.uint64(29))) * c3
-        hashed[s : s + grams] = mix64(h)
-    at = least_positions(hashed, wide)
-    inside = np.zeros(total + 1, np.int64)
-    np.add.at(inside, np.minimum(starts, total), np.where(ends - starts >= length, 1, 0))
-    np.add.at(inside, np.clip(ends - length + 1, 0, total), np.where(ends - starts >= length, -1, 0))
-    valid = np.cumsum(inside[:-1]) > 0
-    new = np.empty(total, bool)
-    new[0] = True
-    np.not_equal(at[1:], at[:-1], out=new[1:])
-    new[starts[starts < total]] = True
-    new[1:] |= valid[1:] != valid[:-1]
-    first = np.flatnonzero(new)
-    last = np.concatenate([first[1:], [total]]) - 1
-    keep = valid[first]
-    first, last = first[keep], last[keep]
-    return np.searchsorted(ends, first, "right"), first, last, hashed[at[first]]
+    wide, total = length - ANCHOR + 1, n - length + 1
+    c1, c2, c3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xBF58476D1CE4E5B9))
+    low = np.uint64(0xFFFF)
+    place = np.arange(_BLOCK + wide, dtype=np.uint64)
+    cuts, where, hashes = [], [], []
+    for s in range(0, total, _BLOCK):
+        count = min(_BLOCK, total - s)
+        grams = count + wide - 1
+        words = np.ndarray(grams + 8, "<u8", buffer, s, (1,)).copy()
+        tail = words[8:]
+        h = tail >> np.uint64(31)
+        h ^= tail
+        h *= c2
+        words = words[:grams]
+        words *= c1
+        h ^= words
+        np.right_shift(h, np.uint64(29), out=words)
+        h ^= words
+        h *= c3
+        np.right_shift(h, np.uint64(32), out=words)
+        h ^= words
+        least = (h & ~low) | place[:grams]
+        span = 1
+        while 2 * span <= wide:
+            least = np.minimum(least[:-span], least[span:])
+            span *= 2
+        if wide > span:
+            least = np.minimum(least[: len(least) - (wide - span)], least[wide - span :])
+        first = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
+        at = (least[first] & low).astype(np.int64)
+        cuts.append(first + s)
+        where.append(at + s)
+        hashes.append(h[at])
+    # runs also start where a document starts, and end with its last window
+    starts = np.concatenate([[0], ends[:-1]])
+    long = ends - starts >= length
+    begin, stop = starts[long], ends[long] - length + 1
+    cut, at, hashed = np.concatenate(cuts), np.concatenate(where), np.concatenate(hashes)
+    edges = np.sort(np.concatenate([cut, begin, stop[stop < total]]), kind="stable")
+    edges = edges[np.concatenate([[True], edges[1:] != edges[:-1]])]
+    of = np.searchsorted(cut, edges, "right") - 1
+    last = np.concatenate([edges[1:], [total]]) - 1
+    inside = np.searchsorted(begin, edges, "right") - 1
+    keep = (inside >= 0) & (edges < stop[np.maximum(inside, 0)]) if len(begin) else np.zeros(len(edges), bool)
+    first, last, of = edges[keep], last[keep], of[keep]
+    at, hashed = at[of], hashed[of]
+    # blocks cut runs: join neighbours with one anchor in one document
+    doc = np.searchsorted(ends, first, "right")
+    new = np.concatenate([[True], (at[1:] != at[:-1]) | (doc[1:] != doc[:-1])]) if len(first) else np.empty(0, bool)
+    begin = np.flatnonzero(new)
+    stop = np.concatenate([begin[1:], [len(first)]])[: len(begin)] - 1
+    return doc[begin], first[begin], last[stop], hashed[begin]
 
 
 class Chunk:
@@ -91,20 +113,27 @@ class Chunk:
 
     def segments(self, shared: np.ndarray) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Distinct segments around shared anchors: (bytes, hash, smallest id, largest id); and (run, segment) of each run used."""
-        shared = np.unique(shared)
+        shared = np.sort(shared)
         found = np.searchsorted(shared, self.hash)
         found[found == len(shared)] = 0
         runs = np.flatnonzero(shared[found] == self.hash) if len(shared) else np.empty(0, np.int64)
-        index: dict[bytes, int] = {}
         buffer, extra = self.buffer, self.length
-        of = np.array([index.setdefault(buffer[a : b + extra], len(index)) for a, b in zip(self.first[runs].tolist(), self.last[runs].tolist(), strict=True)], np.int64)
+        parts = [buffer[a : b + extra] for a, b in zip(self.first[runs].tolist(), self.last[runs].tolist(), strict=True)]
+        # only segments with a common anchor can be equal
+        _, same, times = np.unique(self.hash[runs], return_inverse=True, return_counts=True)
+        of = np.arange(len(parts))
+        seen: dict[bytes, int] = {}
+        for k in np.flatnonzero(times[same] > 1).tolist():
+            of[k] = seen.setdefault(parts[k], k)
+        kept, of = np.unique(of, return_inverse=True)
+        index = [parts[k] for k in kept.tolist()]
         least = np.full(len(index), _LAST)
         most = np.full(len(index), -_LAST)
         np.minimum.at(least, of, self.ids[self.doc[runs]])
         np.maximum.at(most, of, self.ids[self.doc[runs]])
         hashes = np.zeros(len(index), np.uint64)
         hashes[of] = self.hash[runs]
-        return list(index), hashes, least, most, np.stack([runs, of], 1) if len(runs) else np.empty((0, 2), np.int64)
+        return index, hashes, least, most, np.stack([runs, of], 1) if len(runs) else np.empty((0, 2), np.int64)
 
 
 def _bucket_of(hashes: np.ndarray, buckets: int) -> np.ndarray:
