@@ -19,7 +19,7 @@ from tidewater.llm.common import persist, ranked
 
 #: Keys with more members than this share of a quota move document by document, others as a whole.
 WHOLE = 1 / 64
-ROUNDS = 4
+ROUNDS = 6
 
 
 def _coin(*cols):
@@ -35,8 +35,8 @@ def propagate(members: DataFrame, shards: int, quota: float, rounds: int = ROUND
     """Adds `shard` to linked documents (node, key, ...): columns node and key must tell rows apart well enough to deal them.
 
     Start: by hash of node. A round counts each key's documents by shard and joins the counts back; a key
-    aims at the shards with room that hold most of it (as many as it fills), and documents elsewhere ask
-    to move there. Of those that ask, a share goes that the room allows: whole keys by a coin of the
+    aims at the shards with room that hold most of it (as many as it fills; any with room, if it lies in
+    full ones only), and documents elsewhere ask to move there. Of those that ask, a share goes that the room allows: whole keys by a coin of the
     key, large keys document by document. The driver sees a number for each shard only, and a key has
     at most `shards` counts, aggregated before the shuffle.
     """
@@ -49,10 +49,14 @@ def propagate(members: DataFrame, shards: int, quota: float, rounds: int = ROUND
         roomy = [float(x > 0) for x in room]
         open_now = F.element_at(F.array(*map(F.lit, roomy)), F.col("shard") + 1) > 0
         order = F.struct("n", F.xxhash64("key", "shard").alias("tie"), "shard")
+        spare = [s for s in range(shards) if room[s] > 0]
+        any_open = F.array(*map(F.lit, spare)) if spare else F.array().cast("array<int>")
+        anew = F.slice(any_open, F.pmod(F.xxhash64("key", F.lit(r)), F.lit(max(1, len(spare)))).cast("int") + 1, 1)
         aims = (
             counts.groupBy("key")
-            .agg(F.sum("n").alias("size"), F.sort_array(F.collect_list(F.when(open_now | (F.col("n") > quota / 2), order)), asc=False).alias("held"))
-            .select("key", "size", F.expr(f"transform(slice(held, 1, cast(ceil(size / {float(quota)}) as int)), x -> x.shard)").alias("aims"))
+            .agg(F.sum("n").alias("size"), F.count("*").alias("parts"), F.sort_array(F.collect_list(F.when(open_now | (F.col("n") > quota / 2), order)), asc=False).alias("held"))
+            .withColumn("aims", F.expr(f"transform(slice(held, 1, cast(ceil(size / {float(quota)}) as int)), x -> x.shard)"))
+            .select("key", "size", F.when((F.size("aims") == 0) & (F.col("parts") > 1), anew).otherwise(F.col("aims")).alias("aims"))
         )
         asked = state.join(aims, "key").withColumn(
             "to",
