@@ -14,16 +14,17 @@ columns are kept by `drop_contaminated` and ignored elsewhere.
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import Memo, texts
+from tidewater.llm.common import texts
 
 K1, B = 1.2, 0.75
 #: Share of an item's own score that a passage must reach to be verified.
@@ -35,17 +36,19 @@ LEAST_WINDOW = 64
 #: Most items of one index that travels to executors (a few MB); more items make more indexes, each a pass.
 INDEX_ITEMS = 20_000
 
-_BREAK = regex.compile(rb"[^\w\x80-\xff]+")
+_WORD = re.compile(r"\w+")
+#: Share of the threshold that the commonest terms may make up together; they alone never make a passage live.
+COMMON = 0.1
 
 
-def words(raw: bytes) -> list[bytes]:
-    """Lower-case words of UTF-8 text: runs of ASCII letters, digits, underscores and all other characters above 127."""
-    return [w for w in _BREAK.split(raw.decode().lower().encode()) if w]
+def words(raw: bytes) -> list[str]:
+    """Lower-case runs of letters, digits and underscores."""
+    return _WORD.findall(raw.decode().lower())
 
 
-def question_answer(text: str) -> tuple[list[bytes], list[bytes]]:
+def question_answer(text: str) -> tuple[list[str], list[str]]:
     """An item's question and answer: the answer is the last sentence or line, or else the last third of the words."""
-    parts = [w for w in (words(p.encode()) for p in regex.split(r"(?<=[.!?])\s+|\n+", text)) if w]
+    parts = [w for w in (words(p.encode()) for p in re.split(r"(?<=[.!?])\s+|\n+", text)) if w]
     if len(parts) > 1 and len(parts[-1]) >= 3:
         return [w for p in parts[:-1] for w in p], parts[-1]
     every = [w for p in parts for w in p]
@@ -53,7 +56,7 @@ def question_answer(text: str) -> tuple[list[bytes], list[bytes]]:
     return every[:cut], every[cut:]
 
 
-def triples(ws: list[bytes]) -> set[tuple]:
+def triples(ws: list[str]) -> set[tuple]:
     return {tuple(ws[i : i + 3]) for i in range(max(1, len(ws) - 2))} if ws else set()
 
 
@@ -62,7 +65,7 @@ class Index:
     """Postings by term in order of item; impacts are shares of the item's own score."""
 
     ids: np.ndarray
-    terms: dict[bytes, int]
+    terms: dict[str, int]
     starts: np.ndarray
     items: np.ndarray
     impacts: np.ndarray
@@ -70,6 +73,8 @@ class Index:
     block_most: np.ndarray
     window: int
     parts: list[tuple[set, set]]
+    edge: float
+    common: float
 
 
 def build(items: list[tuple[int, str]]) -> Index | None:
@@ -78,7 +83,7 @@ def build(items: list[tuple[int, str]]) -> Index | None:
         return None
     split.sort(key=lambda x: (len(x[2]), x[0]))  # items of like length share blocks: tighter bounds
     n, mean = len(split), sum(len(ws) for _, _, ws in split) / len(split)
-    postings: dict[bytes, list[tuple[int, float]]] = {}
+    postings: dict[str, list[tuple[int, float]]] = {}
     for k, (_, _, ws) in enumerate(split):
         for w in set(ws):
             postings.setdefault(w, []).append((k, float(ws.count(w))))
@@ -103,7 +108,45 @@ def build(items: list[tuple[int, str]]) -> Index | None:
     np.maximum.at(block_most, (np.repeat(np.arange(len(terms)), np.diff(first)), at // BLOCK_ITEMS), np.nextafter(share.astype(np.float32), np.float32(2)))
     window = max(LEAST_WINDOW, 2 * max(len(ws) for _, _, ws in split))
     parts = [tuple(map(triples, question_answer(t))) for _, t, _ in split]
-    return Index(np.array([i for i, _, _ in split]), terms, first, at, share, block_most.max(1).astype(np.float64), block_most, window, parts)
+    # the commonest terms: those of least maxima that add up to a share of the threshold
+    most = block_most.max(1).astype(np.float64)
+    rising = np.sort(most)
+    n = int(np.searchsorted(np.cumsum(rising), COMMON * THRESHOLD))
+    edge = float(rising[n - 1]) if n else -1.0
+    common = float(most[most <= edge].sum())
+    if common >= THRESHOLD:  # ties at the edge
+        edge, common = -1.0, 0.0
+    return Index(np.array([i for i, _, _ in split]), terms, first, at, share, most, block_most, window, parts, edge, common)
+
+
+def _live(index: Index, ids: np.ndarray, windows: int, step: int, threshold: float) -> np.ndarray:
+    """Which windows some item may reach: postings of all but the commonest terms are added up for all
+    windows at once; the commonest ones can't add more than their maxima together."""
+    most = index.most[ids]
+    at = np.flatnonzero((ids >= 0) & (most > index.edge))
+    # a word lies in the window that starts at or before its step, and in the one before
+    own = at // step
+    window = np.concatenate([own, own - 1])
+    keys = (window * len(index.most) + np.concatenate([ids[at], ids[at]]))[(window >= 0) & (window < windows)]
+    if not len(keys):
+        return np.zeros(windows, bool)
+    keys.sort()
+    keys = keys[np.concatenate([[True], keys[1:] != keys[:-1]])]
+    window, term = np.divmod(keys, len(index.most))
+    sizes = index.starts[term + 1] - index.starts[term]
+    post = np.repeat(index.starts[term] - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes) + np.arange(sizes.sum())
+    cell = np.repeat(window, sizes) * len(index.ids) + index.items[post]
+    if windows * len(index.ids) <= 4 * len(cell) + 1_000_000:
+        sums = np.bincount(cell, index.impacts[post], windows * len(index.ids))
+        hit = np.flatnonzero(sums >= (threshold - index.common) * (1 - 1e-6))
+    else:
+        order = np.argsort(cell, kind="stable")
+        cell = cell[order]
+        first = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
+        hit = cell[first][np.add.reduceat(index.impacts[post][order], first) >= (threshold - index.common) * (1 - 1e-6)]
+    live = np.zeros(windows, bool)
+    live[hit // len(index.ids)] = True
+    return live
 
 
 def search(index: Index, ids: np.ndarray, threshold: float) -> Iterator[tuple[int, list[tuple[int, float]]]]:
@@ -112,13 +155,13 @@ def search(index: Index, ids: np.ndarray, threshold: float) -> Iterator[tuple[in
     ids: the document's words as term numbers, -1 for words outside the index.
     """
     step = index.window // 2
-    bound = np.concatenate([[0.0], np.cumsum(np.where(ids >= 0, index.most[ids], 0.0))])
     starts = np.arange(0, max(1, len(ids) - step), step)
     stops = np.minimum(starts + index.window, len(ids))
-    for s, e in zip(starts[(live := bound[stops] - bound[starts] >= threshold)].tolist(), stops[live].tolist(), strict=True):
-        terms = np.unique(ids[s:e])
-        terms = terms[terms >= 0]
-        if index.most[terms].sum() < threshold:
+    live = _live(index, ids, len(starts), step, threshold)
+    for s, e in zip(starts[live].tolist(), stops[live].tolist(), strict=True):
+        terms = np.sort(ids[s:e])
+        terms = terms[np.concatenate([[True], terms[1:] != terms[:-1]]) & (terms >= 0)]
+        if index.most[terms].sum() < threshold * (1 - 1e-9):
             continue
         blocks = index.block_most[terms].sum(0) >= threshold * (1 - 1e-6)
         if not blocks.any():
@@ -135,11 +178,11 @@ def search(index: Index, ids: np.ndarray, threshold: float) -> Iterator[tuple[in
 HITS = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double, passage_start int"
 
 
-def _hits(index: Index, raw: bytes, known: dict, threshold: float) -> dict[int, tuple]:
+def _hits(index: Index, raw: bytes, threshold: float) -> dict[int, tuple]:
     """item -> its best verified passage (score, question overlap, answer overlap, start)."""
     ws = words(raw)
     best: dict[int, tuple] = {}
-    ids = np.fromiter(map(known.__getitem__, ws), np.int64, len(ws))
+    ids = np.fromiter(map(index.terms.get, ws, repeat(-1)), np.int64, len(ws))
     for start, found in search(index, ids, threshold):
         held = triples(ws[start : start + index.window])
         for k, score in found:
@@ -173,9 +216,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             index = Index(**shared.value)
-            known = Memo(lambda w: index.terms.get(w, -1))
             for batch in batches:
-                rows = [(doc, int(index.ids[k]), s, q, a, -at) for doc, raw in zip(batch.column("doc_id").to_pylist(), texts(batch.column("text")), strict=True) for k, (s, q, a, at) in sorted(_hits(index, raw, known, threshold).items())]
+                rows = [(doc, int(index.ids[k]), s, q, a, -at) for doc, raw in zip(batch.column("doc_id").to_pylist(), texts(batch.column("text")), strict=True) for k, (s, q, a, at) in sorted(_hits(index, raw, threshold).items())]
                 if rows:
                     kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int32()]
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], [x.split()[0] for x in HITS.split(", ")])
@@ -192,9 +234,8 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float =
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             index = Index(**shared.value)
-            known = Memo(lambda w: index.terms.get(w, -1))
             for batch in batches:
-                yield batch.filter(pa.array([not _hits(index, raw, known, threshold) for raw in texts(batch.column("text"))], pa.bool_()))
+                yield batch.filter(pa.array([not _hits(index, raw, threshold) for raw in texts(batch.column("text"))], pa.bool_()))
 
         docs = docs.mapInArrow(run, docs.schema)
     return docs
