@@ -31,6 +31,8 @@ LENGTH = 50
 ANCHOR = 16
 #: Text bytes of a chunk and, on average, of a bucket.
 CHUNK_BYTES, BUCKET_BYTES = 4_000_000, 2_000_000
+#: Segment bytes of one index inside a bucket.
+INDEX_BYTES = 120_000
 _LAST = np.iinfo(np.int64).max
 #: Windows looked at together: their hashes stay in the processor's cache.
 _BLOCK = 16_384
@@ -298,6 +300,47 @@ class RunIndex:
         return length, place
 
 
+def _windows(parts: list[bytes], least: np.ndarray, most: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+    """(part, first, stop, id): runs of windows whose smallest id is below the largest id of their part."""
+    built = RunIndex(parts, max(map(len, parts)))
+    floor = built.least_by_window(least, length)
+    size, place = built.stream(parts, length)
+    stops = np.cumsum([len(p) for p in parts])
+    owner = np.repeat(np.arange(len(parts)), np.diff(np.concatenate([[0], stops])))
+    low = np.where(size >= length, floor[place], _LAST)
+    use = low < most[owner]
+    new = np.concatenate([[True], (owner[1:] != owner[:-1]) | (low[1:] != low[:-1]) | (use[1:] != use[:-1])])
+    begin = np.flatnonzero(new)
+    stop = np.concatenate([begin[1:], [len(low)]])
+    keep = use[begin]
+    begin, stop = begin[keep], stop[keep]
+    whose, base = owner[begin], np.concatenate([[0], stops[:-1]])
+    return whose, begin - base[whose], stop - base[whose], low[begin]
+
+
+def _packed(number: np.ndarray, parts: list[bytes], sub: np.ndarray, least: np.ndarray, most: np.ndarray) -> bytes:
+    """The segments of a chunk for one bucket, compressed: they are what is shuffled most."""
+    import zstandard
+
+    sizes = np.array([len(p) for p in parts], "<i4")
+    head = np.array([len(parts)], "<i4")
+    fields = [head, number.astype("<i4"), sizes, sub, least.astype("<i8"), most.astype("<i8")]
+    return zstandard.ZstdCompressor(level=1).compress(b"".join([f.tobytes() for f in fields] + parts))
+
+
+def _unpacked(raw: bytes) -> tuple[np.ndarray, list[bytes], np.ndarray, np.ndarray, np.ndarray]:
+    import zstandard
+
+    raw = zstandard.ZstdDecompressor().decompress(raw)
+    n = int(np.frombuffer(raw, "<i4", 1)[0])
+    at, out = 4, []
+    for kind in ("<i4", "<i4", "u1", "<i8", "<i8"):
+        out.append(np.frombuffer(raw, kind, n, at))
+        at += n * np.dtype(kind).itemsize
+    cuts = (at + np.cumsum(out[1])).tolist()
+    return out[0], [raw[a:b] for a, b in zip([at, *cuts[:-1]], cuts, strict=True)], out[2], out[3], out[4]
+
+
 def _table(columns: dict[str, tuple[list, pa.DataType]]) -> pa.Table:
     return pa.table({k: pa.array(v, t) for k, (v, t) in columns.items()})
 
@@ -342,44 +385,30 @@ def dedup_substrings(docs: DataFrame, length: int = LENGTH, with_text: bool = Fa
         found = chunk.segments(np.frombuffer(b"".join(marks.column("shared").to_pylist()), np.uint64)) if chunk else ([], np.empty(0, np.uint64), *[np.empty(0, np.int64)] * 3)
         parts, hashes, least, most, _ = found
         split = _split(_bucket_of(hashes, buckets)) if parts else []
+        sub = (mix64(hashes) >> np.uint64(56)).astype(np.uint8)
         return _table({
             "bucket": ([b for b, _ in split], pa.int64()), "chunk": ([key[0].as_py()] * len(split), pa.int64()),
-            "number": ([p.astype(np.int32).tobytes() for _, p in split], pa.binary()),
-            "sizes": ([np.array([len(parts[k]) for k in p], np.int32).tobytes() for _, p in split], pa.binary()),
-            "bytes": ([b"".join([parts[k] for k in p]) for _, p in split], pa.binary()),
-            "least": ([least[p].tobytes() for _, p in split], pa.binary()), "most": ([most[p].tobytes() for _, p in split], pa.binary()),
+            "segments": ([_packed(p, [parts[k] for k in p], sub[p], least[p], most[p]) for _, p in split], pa.binary()),
         })
 
     def match(key: tuple, rows: pa.Table) -> pa.Table:
         index: dict[bytes, int] = {}
-        of, lists, tops = [], [], []
-        ids: list[np.ndarray] = []
-        for r in rows.select(["number", "sizes", "bytes", "least", "most"]).to_pylist():
-            cuts = np.cumsum(np.frombuffer(r["sizes"], np.int32)).tolist()
-            of.append(np.array([index.setdefault(r["bytes"][a:b], len(index)) for a, b in zip([0, *cuts[:-1]], cuts, strict=True)], np.int64))
-            ids.append(np.frombuffer(r["least"], np.int64))
-            tops.append(np.frombuffer(r["most"], np.int64))
-            lists.append(np.frombuffer(r["number"], np.int32))
-        parts = list(index)
-        least, most = np.full(len(parts), _LAST), np.full(len(parts), -_LAST)
-        np.minimum.at(least, np.concatenate(of), np.concatenate(ids))
-        np.maximum.at(most, np.concatenate(of), np.concatenate(tops))
-        longest = max(map(len, parts))
-        built = RunIndex(parts, longest)
-        floor = built.least_by_window(least, length)
-        size, place = built.stream(parts, length)
-        # windows by joined position: the smallest id that holds them, if any below the segment's largest
-        stops = np.cumsum([len(p) for p in parts])
-        owner = np.repeat(np.arange(len(parts)), np.diff(np.concatenate([[0], stops])))
-        low = np.where(size >= length, floor[place], _LAST)
-        use = low < most[owner]
-        new = np.concatenate([[True], (owner[1:] != owner[:-1]) | (low[1:] != low[:-1]) | (use[1:] != use[:-1])])
-        begin = np.flatnonzero(new)
-        stop = np.concatenate([begin[1:], [len(low)]])
-        keep = use[begin]
-        begin, stop = begin[keep], stop[keep]
-        whose, base = owner[begin], np.concatenate([[0], stops[:-1]])
-        from_, to, ids_ = begin - base[whose], stop - base[whose], low[begin]
+        got = [_unpacked(x) for x in rows.column("segments").to_pylist()]
+        of = [np.array([index.setdefault(p, len(index)) for p in parts], np.int64) for _, parts, _, _, _ in got]
+        lists = [number for number, _, _, _, _ in got]
+        parts, every = list(index), np.concatenate(of)
+        least, most, sub = np.full(len(parts), _LAST), np.full(len(parts), -_LAST), np.zeros(len(parts), np.int64)
+        np.minimum.at(least, every, np.concatenate([x[3] for x in got]))
+        np.maximum.at(most, every, np.concatenate([x[4] for x in got]))
+        sub[every] = np.concatenate([x[2] for x in got])
+        # equal windows have equal anchors, so indexes of a few anchors each are exact, and stay in the processor's cache
+        groups = min(256, -(-sum(map(len, parts)) // INDEX_BYTES))
+        mine = [g for _, g in _split(sub % groups)]
+        found = [_windows([parts[k] for k in g], least[g], most[g], length) for g in mine]
+        whose = np.concatenate([g[f[0]] for g, f in zip(mine, found, strict=True)])
+        from_, to, ids_ = (np.concatenate([f[c] for f in found]) for c in (1, 2, 3))
+        order = np.argsort(whose, kind="stable")
+        whose, from_, to, ids_ = whose[order], from_[order], to[order], ids_[order]
         first = np.searchsorted(whose, np.arange(len(parts) + 1))
         out = []
         for c, o, number in zip(rows.column("chunk").to_pylist(), of, lists, strict=True):
@@ -430,7 +459,7 @@ def dedup_substrings(docs: DataFrame, length: int = LENGTH, with_text: bool = Fa
 
     grouped = text.groupBy("chunk")
     shared = grouped.applyInArrow(send_anchors, "bucket long, chunk long, hashes binary, twice binary").groupBy("bucket").applyInArrow(shared_anchors, "chunk long, shared binary")
-    segments = grouped.cogroup(shared.groupBy("chunk")).applyInArrow(send_segments, "bucket long, chunk long, number binary, sizes binary, bytes binary, least binary, most binary")
+    segments = grouped.cogroup(shared.groupBy("chunk")).applyInArrow(send_segments, "bucket long, chunk long, segments binary")
     matches = segments.groupBy("bucket").applyInArrow(match, "chunk long, segment binary, first binary, stop binary, low binary")
     marks = shared.select("chunk", "shared", *[F.lit(None).cast("binary").alias(c) for c in ("segment", "first", "stop", "low")]).unionAll(
         matches.select("chunk", F.lit(None).cast("binary").alias("shared"), "segment", "first", "stop", "low")
