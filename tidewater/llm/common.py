@@ -31,8 +31,13 @@ def scratch_root(spark: SparkSession) -> str:
 
 
 def persist(df: DataFrame, label: str) -> DataFrame:
-    """Write df as Parquet in the shared scratch folder and read it back: cuts lineage, survives executors."""
+    """Write df as Parquet in the shared scratch folder and read it back: cuts lineage, survives executors.
+
+    Shuffle files of jobs before this one go when the driver collects its garbage; an idle driver would
+    keep them to the end, so it is asked to.
+    """
     spark = df.sparkSession
+    spark._jvm.System.gc()
     path = f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     SCRATCH.append(path)
