@@ -54,6 +54,15 @@ GENERIC_STOP_WORDS = [
     "awesome", "terrible", "horrible", "excellent", "review", "reviews",
 ]
 
+#: English stop words, a list of our own.
+STOP_WORDS = """
+about above after again against all am an and any are as at be because been before being below between both but by can
+cannot did do does doing down during each few for from further had has have having he her here hers him his how if in
+into is it its itself me more most my no nor not of off on once only or other our out over own same she should so some
+such than that the their them then there these they this those through to too under until up very was we were what when
+where which while who whom why will with you your
+""".split()
+
 #: A small lexicon of our own; valence from -4 to 4. Replace it by a table for real use.
 LEXICON = {
     "amazing": 3.0, "awesome": 3.0, "awful": -3.0, "bad": -2.5, "best": 3.0, "boring": -1.5, "broken": -2.0, "clean": 1.5,

@@ -5,25 +5,23 @@ The sample is a bounded report (60 rows by default); everything below works on a
 
 from __future__ import annotations
 
+import re
+
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import StopWordsRemover
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidewater.functions import text as X
-from tidewater.functions.taxonomy import GENERIC_STOP_WORDS
+from tidewater.functions.taxonomy import GENERIC_STOP_WORDS, STOP_WORDS
 
 FEATURES = 500
 
 
-def stop_words(spark: SparkSession, brand: str | None = None) -> list[str]:
+def stop_words(brand: str | None = None) -> list[str]:
     """English stop words, words that make no topic, and the brand's own."""
-    import re
-
-    english = [w for x in StopWordsRemover.loadDefaultStopWords("english") for w in re.findall(r"\w\w+", x)]
-    return sorted({*english, *GENERIC_STOP_WORDS, *re.findall("[a-z0-9]+", (brand or "").lower())})
+    return sorted({*STOP_WORDS, *GENERIC_STOP_WORDS, *re.findall("[a-z0-9]+", (brand or "").lower())})
 
 
 def terms_of(text: Column, stop: list[str]) -> Column:

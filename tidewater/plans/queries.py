@@ -565,13 +565,8 @@ def rag_citations(spark, d):
 # ---- text mining over the newest 60 rows of a brand
 
 
-def _stops() -> list[str]:
-    """The list needs a session; SQL gets it when it is asked for."""
-    return insights.stop_words(SparkSession.builder.getOrCreate(), BRAND)
-
-
 def _terms_sql(tail: str) -> str:
-    stop = ", ".join("'" + w.replace("'", "''") + "'" for w in _stops())
+    stop = ", ".join("'" + w.replace("'", "''") + "'" for w in insights.stop_words(BRAND))
     return f"""WITH {REVIEWS_SQL}, s AS (SELECT id, text, sentiment FROM reviews WHERE brand ILIKE '{BRAND}' AND text IS NOT NULL ORDER BY {_NEWEST} LIMIT 60),
         w AS (SELECT id, sentiment, list_filter({_WORDS}, lambda x: x NOT IN ({stop})) AS w FROM s),
         b AS (SELECT id, sentiment, list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS terms FROM w),
@@ -581,37 +576,32 @@ def _terms_sql(tail: str) -> str:
         weights AS (SELECT id, sentiment, term, w / sqrt(sum(w * w) OVER (PARTITION BY id)) AS weight FROM r) {tail}"""
 
 
+def _top(label: str) -> str:
+    return f"SELECT term, round(sum(weight), 6) AS sum_weight FROM weights WHERE sentiment = '{label}' GROUP BY term ORDER BY sum_weight DESC, term LIMIT 5"
+
+
 def _mined(spark, d):
-    return insights.weights(R.sample(reviews(spark, d), BRAND), insights.stop_words(spark, BRAND))
+    return insights.weights(R.sample(reviews(spark, d), BRAND), insights.stop_words(BRAND))
 
 
-@query()
+@query(_terms_sql("SELECT term, count(*) AS docs, round(sum(weight), 6) AS sum_weight FROM weights GROUP BY term"), base=False)
 def tfidf_terms(spark, d):
     return _mined(spark, d).groupBy("term").agg(F.count("*").alias("docs"), F.round(F.sum("weight"), 6).alias("sum_weight"))
 
 
-@query()
+@query(_terms_sql(_top("positive")), base=False)
 def pros_terms(spark, d):
     return insights.top_terms(_mined(spark, d).where("sentiment = 'positive'"))
 
 
-@query()
+@query(_terms_sql(_top("negative")), base=False)
 def cons_terms(spark, d):
     return insights.top_terms(_mined(spark, d).where("sentiment = 'negative'"))
 
 
 @query()
 def themes(spark, d):
-    return insights.themes(R.sample(reviews(spark, d), BRAND), insights.stop_words(spark, BRAND))
-
-
-def mined_sql() -> dict[str, str]:
-    top = "SELECT term, round(sum(weight), 6) AS sum_weight FROM weights WHERE sentiment = '{0}' GROUP BY term ORDER BY sum_weight DESC, term LIMIT 5"
-    return {
-        "tfidf_terms": _terms_sql("SELECT term, count(*) AS docs, round(sum(weight), 6) AS sum_weight FROM weights GROUP BY term"),
-        "pros_terms": _terms_sql(top.format("positive")),
-        "cons_terms": _terms_sql(top.format("negative")),
-    }
+    return insights.themes(R.sample(reviews(spark, d), BRAND), insights.stop_words(BRAND))
 
 
 def _pct(c: str) -> str:
@@ -623,7 +613,3 @@ def _pct(c: str) -> str:
         WHEN negative > positive THEN 'Frustration outweighs praise, so retention is the thing to watch.' ELSE 'Opinions are mixed, with praise and complaints fairly balanced.' END AS behavior FROM f""")
 def insights_summary(spark, d):
     return insights.summary(R.sample(reviews(spark, d), BRAND))
-
-
-def all_sql() -> dict[str, str]:
-    return ORACLE | mined_sql()
