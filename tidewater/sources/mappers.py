@@ -49,7 +49,8 @@ def record(items: DataFrame, source: Column, url: Column, text: Column, author:
     return rows.select(key.alias("id"), *rows.columns)
 
 
-NONE = F.lit(None)
+def nothing() -> Column:
+    return F.lit(None)
 
 
 def google_maps(items: DataFrame) -> DataFrame:
@@ -70,19 +71,19 @@ def tripadvisor(items: DataFrame) -> DataFrame:
 
 def reddit(items: DataFrame) -> DataFrame:
     more = F.to_json(F.struct(any_text("communityName", "parsedCommunityName").alias("subreddit"), field("upVotes").alias("up_votes"), field("numberOfComments").alias("num_comments"), field("dataType").alias("data_type")))
-    return record(items, F.lit("reddit"), any_text("url", "link"), join_parts(field("title"), any_text("body", "text")), any_text("username", "author"), NONE, field("createdAt"), more)
+    return record(items, F.lit("reddit"), any_text("url", "link"), join_parts(field("title"), any_text("body", "text")), any_text("username", "author"), nothing(), field("createdAt"), more)
 
 
 def instagram(items: DataFrame) -> DataFrame:
     more = F.to_json(F.struct(field("likesCount").alias("likes"), field("commentsCount").alias("comments"), any_text("hashtag", "inputUrl").alias("hashtag"), field("type").alias("type")))
-    return record(items, F.lit("instagram"), any_text("url", "postUrl"), any_text("caption", "text"), any_text("ownerUsername", "ownerFullName"), NONE, any_text("timestamp", "takenAtDate"), more)
+    return record(items, F.lit("instagram"), any_text("url", "postUrl"), any_text("caption", "text"), any_text("ownerUsername", "ownerFullName"), nothing(), any_text("timestamp", "takenAtDate"), more)
 
 
 def facebook(items: DataFrame) -> DataFrame:
     named = any_text("authorName", "pageName")
     author = F.when(F.coalesce(named, F.lit("")) != "", named).when(is_object("user"), field("user.name")).otherwise(named)
     return record(
-        items, F.lit("facebook"), any_text("url", "postUrl", "topLevelUrl"), any_text("text", "message", "postText"), author, NONE,
+        items, F.lit("facebook"), any_text("url", "postUrl", "topLevelUrl"), any_text("text", "message", "postText"), author, nothing(),
         any_text("time", "date", "timestamp"), extra(likes="likes", comments="comments", shares="shares"),
     )
 
@@ -131,11 +132,11 @@ def hackernews(items: DataFrame) -> DataFrame:
     text = plain_text(join_parts(field("title"), field("story_text"), field("comment_text")))
     at = F.date_format(F.timestamp_seconds(field("created_at_i").try_cast("double")), "yyyy-MM-dd'T'HH:mm:ss'+00:00'")
     url = F.concat(F.lit("https://news.ycombinator.com/item?id="), F.col("_hit"))
-    return record(once, F.lit("hackernews"), url, text, field("author"), NONE, F.coalesce(at, field("created_at")), extra(points="points", num_comments="num_comments"))
+    return record(once, F.lit("hackernews"), url, text, field("author"), nothing(), F.coalesce(at, field("created_at")), extra(points="points", num_comments="num_comments"))
 
 
 def mastodon(items: DataFrame) -> DataFrame:
-    return record(items, F.lit("mastodon"), any_text("url", "uri"), plain_text(field("content")), field("account.acct"), NONE, field("created_at"), extra(favourites="favourites_count", reblogs="reblogs_count"))
+    return record(items, F.lit("mastodon"), any_text("url", "uri"), plain_text(field("content")), field("account.acct"), nothing(), field("created_at"), extra(favourites="favourites_count", reblogs="reblogs_count"))
 
 
 def tag_of(keyword: Column) -> Column:
@@ -153,19 +154,19 @@ def reddit_posts(items: DataFrame, keep_deleted: bool = False) -> DataFrame:
     once = items.where(field("permalink").isNotNull()).withColumn("_post", field("id")).dropDuplicates(["brand", "_post"])
     author = field("author") if keep_deleted else F.nullif(field("author"), F.lit("[deleted]"))
     url = F.concat(F.lit("https://www.reddit.com"), field("permalink"))
-    return record(once, F.lit("reddit"), url, join_parts(field("title"), field("selftext")), author, NONE, epoch_iso(field("created_utc")), extra(subreddit="subreddit", score="score", num_comments="num_comments"))
+    return record(once, F.lit("reddit"), url, join_parts(field("title"), field("selftext")), author, nothing(), epoch_iso(field("created_utc")), extra(subreddit="subreddit", score="score", num_comments="num_comments"))
 
 
 def web_search(items: DataFrame) -> DataFrame:
     """Results of a search service: title and content, tagged by host, never rated."""
     text = join_parts(strip(F.coalesce(field("title"), F.lit(""))), strip(F.coalesce(field("content"), F.lit(""))))
-    return record(items, source_from_url(field("url")), field("url"), text, NONE, NONE, field("published_date"), extra(score="score"))
+    return record(items, source_from_url(field("url")), field("url"), text, nothing(), nothing(), field("published_date"), extra(score="score"))
 
 
 def web_pages(items: DataFrame, most: int = 2000) -> DataFrame:
     """Pages as text, cut at a word."""
     body = cut_at_word(strip(F.coalesce(any_text("markdown", "description"), F.lit(""))), most)
-    return record(items, source_from_url(field("url")), field("url"), join_parts(strip(F.coalesce(field("title"), F.lit(""))), body), NONE, NONE, NONE, F.lit("{}"))
+    return record(items, source_from_url(field("url")), field("url"), join_parts(strip(F.coalesce(field("title"), F.lit(""))), body), nothing(), nothing(), nothing(), F.lit("{}"))
 
 
 def trustpilot(pages: DataFrame) -> DataFrame:
