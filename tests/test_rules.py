@@ -122,7 +122,7 @@ def test_staging(spark):
             staging.safe_table(bad)
     assert staging.read_staging(spark, "nothing_here") is None
     rows = spark.createDataFrame([('{"text": "a", "url": "u1"}', "2024-01-01"), ('{"text": "b", "url": "u2"}', "2024-01-02")], "_airbyte_data string, _airbyte_extracted_at string")
-    got = staging.import_rows(staging.newest(rows, 1), "Acme", "partner").collect()
+    got = staging.import_rows(staging.newest(rows, 1), "Acme", "partner", "normalized").collect()
     assert [(r.text, r.source) for r in got] == [("b", "partner")]
     with pytest.raises(ValueError):
         mappers.mapper("unknown")
@@ -145,7 +145,7 @@ def test_direct_mappers(spark):
     assert mappers.reddit_posts(items(spark, post, '{"id": "q"}')).first().author is None
     assert mappers.reddit_posts(items(spark, post), True).first().author == "[deleted]"
     assert mappers.google_play(items(spark, '{"content": " ok ", "reviewId": "r", "score": 5}', '{"content": " "}', app_url="https://p?id=a")).collect()[0].source_url == "https://p?id=a&reviewId=r"
-    assert mappers.mastodon(items(spark, '{"url": "https://m/1", "content": "<p>hi&nbsp;you</p>"}')).first().text == "hi you"
+    assert mappers.mastodon(items(spark, '{"url": "https://m/1", "content": "<p>hi&nbsp;you</p>"}')).first().text == "hi\u00a0you"
     assert mappers.web_search(items(spark, '{"url": "https://x.com/1", "title": "t", "content": "c"}')).first().source == "twitter"
     assert mappers.web_pages(items(spark, '{"url": "https://b/", "markdown": "' + "word " * 600 + '"}')).first().text.endswith("word...")
     html = '<article class="c"><h2>Good</h2><p data-service-review-text-typography="true">Very <b>good</b></p><div data-service-review-rating="5"></div><a href="/reviews/77">x</a><time datetime="2024-01-01"></time></article><article><img alt="Rated 2 out of 5 stars"><h2>Bad</h2></article>'

@@ -16,7 +16,7 @@ from tidewater.functions.text import cut_at_word, first_text, join_parts, plain_
 
 
 def field(path: str, item: str = "item") -> Column:
-    return F.get_json_object(item, f"$.{path}")
+    return F.get_json_object(item, f"${path}" if path.startswith("[") else f"$.{path}")
 
 
 def any_text(*paths: str) -> Column:
