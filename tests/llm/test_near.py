@@ -160,7 +160,7 @@ def test_lines_in_large_buckets(spark):
     small = linededup.line_prints(frame(spark, rows).withColumn("row", common.F.col("doc_id")), 4)
     distinct = small.select("line", "print").dropDuplicates(["line"]).cache()
     for bucket in (3, 256):
-        sets = [set(r.members) for r in linededup.candidates(distinct, 40, bucket).collect()]
+        sets = [set(r.lines) for r in linededup.candidates(distinct, 40, bucket).collect()]
         nodes = [r.line for r in distinct.collect()]
         root = groups([(a, b) for s in sets for a in s for b in s], nodes)
         assert max(collections.Counter(root.values()).values()) > 0.9 * len(nodes)
