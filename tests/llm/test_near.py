@@ -204,6 +204,20 @@ def test_passages(spark):
     assert substring.group_passages(frame(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("bucket", [7, 256])
+def test_all_texts_of_a_passage_meet(spark, bucket):
+    """One word changed in each copy: every two copies that are alike count, whatever lies between them."""
+    rng = random.Random(31)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(60)]
+    rows = [(99, " ".join(base))] + [(i, " ".join(base[:i] + [f"new{i}"] + base[i + 1 :])) for i in range(60)]
+    known = substring.word_hashes()
+    cut = {i: substring.shingles(t.encode(), known) for i, t in rows}
+    links = {(i, j) for i in cut for j in cut if i != j and substring.alike_part(cut[i], cut[j])}
+    got = {r.doc_id: r for r in substring.group_passages(frame(spark, rows), bucket).collect()}
+    # the rest is lost to the agreement of two of four min-hashes
+    assert sum(r.n_links for r in got.values()) >= 0.9 * len(links) > 1000
+
+
 def slow_removal(rows, length=50):
     first = {}
     last = 1 << 62
