@@ -114,6 +114,23 @@ def test_near_duplicates(spark, bucket):
     assert simhash.keep_one(frame(spark, [])).count() == 0
 
 
+def test_cut_and_appended_copies_at_the_threshold(spark):
+    """Contiguous edits: 196 of 245 shingles are shared, which is 0.8."""
+    rng = random.Random(12)
+    word = lambda: f"w{rng.randrange(10**9)}"
+    rows = []
+    for i in range(40):
+        words = [word() for _ in range(249)]
+        rows += [(i, " ".join(words)), (100 + i, " ".join(words[:200] if i % 2 else words[49:]))]
+        rows.append((200 + i, " ".join(words[60:] + [word() for _ in range(60)])))  # below 0.8
+    text = dict(rows)
+    assert all(round(jaccard(text[i], text[100 + i]), 9) == 0.8 for i in range(40))
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(frame(spark, rows)).collect()}
+    assert sum(got[100 + i] == i for i in range(40)) >= 39
+    far = [i for i in range(40) if jaccard(text[i], text[200 + i]) < 0.8 and jaccard(text[100 + i], text[200 + i]) < 0.8]
+    assert far and all(got[200 + i] == 200 + i for i in far)
+
+
 def slow_levenshtein(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a):

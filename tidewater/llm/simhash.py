@@ -1,8 +1,8 @@
 """SimHash near-duplicates: pigeonhole blocks, a join on blocks, then Hamming distance.
 
 Two forms: `link_fingerprints` links 64-bit fingerprints at a small distance and loses no link;
-`near_duplicates` groups documents whose five-word shingles are alike (0.8 or more) by wide
-fingerprints.
+`near_duplicates` groups documents whose five-word shingles are alike (0.8 or more), by bands of
+min-hashes and the sets themselves.
 
 Cases: a null text counts as empty; texts without words have fingerprint zero and link to each other;
 a null doc_id takes part but never names a group unless the group has no other; repeated rows share
@@ -133,18 +133,15 @@ def group_documents(docs: DataFrame, distance: int = 2, words_per_shingle: int =
     return marked.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-# ---- wide fingerprints: documents alike in 0.8 or more of their five-word shingles
+# ---- documents alike in 0.8 or more of their five-word shingles
 
-LANES = 8
 SHINGLE = 5
-#: Bits of 512 at which the SimHash of two five-word shingle sets of Jaccard similarity 0.8 differ: angle acos(2J / (1 + J)).
-ALIKE = round(512 * math.acos(2 * 0.8 / 1.8) / math.pi)
-#: Share of bits on which distinct-word fingerprints agree when five-word similarity is 0.8 (each edit hits five shingles, one word).
-WORD_AGREEMENT = 0.922
-MISSED = 0.005
+SIMILARITY = 0.8
+#: Documents meet on bands of min-hashes over shingles: (1 - 0.8 ** BAND) ** BANDS = 0.3 % of links at 0.8 are missed, at every table size.
+BAND, BANDS = 3, 8
 
 
-def block_plan(rows: int, agreement: float = WORD_AGREEMENT, missed: float = MISSED) -> tuple[int, int]:
+def block_plan(rows: int, agreement: float, missed: float) -> tuple[int, int]:
     """(bits of a block, number of blocks): blocks widen with the table so that chance meetings stay in
     proportion to it; their number follows from the share of links that may be missed."""
     bits = min(32, max(21, math.ceil(math.log2(max(2, rows))) + 3))
@@ -160,74 +157,87 @@ def cut_blocks(prints: np.ndarray, bits: int, blocks: int) -> np.ndarray:
     return value | np.arange(blocks, dtype=np.int64)[None, :] << bits
 
 
-def _lanes(hashes: np.ndarray, lanes: int) -> np.ndarray:
-    steps = (np.arange(1, lanes + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[None, :]
-    return mix64(hashes[:, None] + steps)
+def shingle_set(words: list[bytes], known: Memo) -> np.ndarray:
+    """Sorted hashes of the distinct five-word shingles; of fewer words, of the whole sequence."""
+    h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+    k = min(SHINGLE, len(h))
+    out = np.zeros(len(h) - k + 1 if k else 0, np.uint64)
+    for j in range(k):
+        out = mix64(out * np.uint64(31) + h[j : len(out) + j])
+    return np.unique(out)
 
 
-def wide_fingerprints(docs: DataFrame, bits: int, blocks: int) -> DataFrame:
-    """(doc_id, wide, keys): `wide` is a 512-bit SimHash of distinct five-word shingles (shorter texts: the
-    whole word sequence), `keys` the blocks of a second SimHash over distinct words."""
-    lanes = -(-blocks * bits // 64)
+def band_keys(shingles: np.ndarray) -> np.ndarray:
+    """One long for each band: its min-hashes and its number, hashed."""
+    steps = (np.arange(1, BAND * BANDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[:, None]
+    least = np.full(BAND * BANDS, np.uint64(2**64 - 1))
+    for s in range(0, len(shingles), 4096):
+        least = np.minimum(least, mix64(shingles[None, s : s + 4096] + steps).min(1))
+    key = np.arange(BANDS, dtype=np.uint64)
+    for part in least.reshape(BANDS, BAND).T:
+        key = mix64(key * np.uint64(31) + part)
+    return key.view(np.int64)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Memo(lambda w: xxhash.xxh64_intdigest(w, SEED))
-        for batch in batches:
-            wide, keys = [], []
-            for raw in texts(batch.column("text")):
-                words = raw.lower().split()
-                h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-                if not len(h):
-                    wide.append(bytes(LANES * 8))
-                    keys.append(np.zeros(lanes * 8, np.uint8))
-                    continue
-                k = min(SHINGLE, len(h))
-                shingles = np.zeros(len(h) - k + 1, np.uint64)
-                for j in range(k):
-                    shingles = mix64(shingles * np.uint64(31) + h[j : len(h) - k + 1 + j])
-                wide.append(majority(np.unique(shingles), LANES).tobytes())
-                keys.append(majority(np.unique(h), lanes))
-            flat = cut_blocks(np.array(keys, np.uint8).reshape(len(keys), lanes * 8), bits, blocks).reshape(-1)
-            cuts = pa.array(np.arange(len(keys) + 1) * blocks, pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(wide, pa.binary()), pa.ListArray.from_arrays(cuts, pa.array(flat))], ["doc_id", "wide", "keys"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, wide binary, keys array<long>")
-
-
-def majority(hashes: np.ndarray, lanes: int) -> np.ndarray:
-    count = np.zeros(lanes * 64, np.int64)
-    total = len(hashes)
-    for s in range(0, total, 8160):
-        part = _lanes(hashes[s : s + 8160], lanes)
-        raw = part.astype(">u8").view(np.uint8).reshape(len(part), -1)
-        for r in range(0, len(part), 255):
-            count += np.add.reduce(np.unpackbits(raw[r : r + 255], axis=1), axis=0, dtype=np.uint8)
-    return np.packbits(2 * count > total)
 
+def word_memo() -> Memo:
+    return Memo(lambda w: xxhash.xxh64_intdigest(w, SEED))
 
-def near_duplicates(docs: DataFrame, bucket: int = BUCKET) -> DataFrame:
-    """(doc_id, component_id) of documents in a group of two or more.
 
-    Equal wide fingerprints count once. Documents meet on blocks of the word fingerprint and link at
-    ALIKE or fewer of the 512 bits. Buckets above `bucket` are cut into chunks and every two chunks
-    are compared in a task of their own, which returns at most one link per document: work is spread
-    and nothing is dropped. `MISSED` states the share of links at 0.8 that blocks may miss.
-    """
-    bits, blocks = block_plan(docs.count())
-    marked = persist(wide_fingerprints(docs, bits, blocks), "wide")
-    # distinct prints get a long id: their hash (the words of equal prints are equal up to the blocks)
-    prints = marked.groupBy("wide").agg(F.min("doc_id").alias("lead"), F.min("keys").alias("keys")).select(F.xxhash64("wide").alias("id"), "wide", "lead", "keys")
-    prints = persist(prints, "prints")
+def marks(docs: DataFrame) -> DataFrame:
+    """(row, doc_id, id, keys): `id` is a hash of the document's shingle set, `keys` its bands (none without words)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = word_memo()
+        for batch in batches:
+            sets = [shingle_set(raw.lower().split(), known) for raw in texts(batch.column("text"))]
+            ids = np.array([xxhash.xxh64_intdigest(x.tobytes(), SEED) for x in sets], np.uint64).astype(np.int64)
+            keys = pa.array([band_keys(x) if len(x) else [] for x in sets], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), pa.array(ids), keys], ["row", "doc_id", "id", "keys"])
+
+    return docs.select("row", "doc_id", "text").mapInArrow(run, "row long, doc_id long, id long, keys array<long>")
+
+
+def common_counts(sets: list[np.ndarray]) -> np.ndarray:
+    """How many values every two sets of distinct values share."""
+    of = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    _, at, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    of, at = of[times[at] > 1], (np.cumsum(times > 1) - 1)[at[times[at] > 1]]
+    order = np.argsort(at, kind="stable")
+    of, at = of[order], at[order]
+    both = np.zeros((len(sets), len(sets)))
+    for s in range(0, int(at[-1]) + 1 if len(at) else 0, 4096):
+        low, high = np.searchsorted(at, [s, s + 4096])
+        part = np.zeros((len(sets), 4096), np.float32)
+        part[of[low:high], at[low:high] - s] = 1
+        both += part @ part.T
+    return both
+
+
+def _alike_groups(docs: DataFrame, bucket: int) -> tuple[DataFrame, DataFrame]:
+    """(row, doc_id, id) of all rows, and (id, root, lead) of all shingle sets: `lead` is the group's first (doc_id, row), null last."""
+    rows = docs.select(F.xxhash64("doc_id", F.xxhash64("text")).alias("row"), "doc_id", "text")
+    marked = persist(marks(rows), "marks")
+    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
+    prints = persist(marked.groupBy("id").agg(F.min(first).alias("lead"), F.min("keys").alias("keys")), "prints")
     keyed = prints.select("id", F.explode("keys").alias("key"))
     sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    met = persist(keyed.join(sizes, "key"), "met")
     chunks = F.ceil(F.col("n") / bucket).cast("int")
-    own = F.pmod(F.xxhash64("id", "key"), chunks).cast("int")
     # every two chunks meet once: chunk c goes to the cells (min(c, d), max(c, d)) of all d
-    cells = met.select("key", "id", own.alias("c"), F.explode(F.sequence(F.lit(0), chunks - 1)).alias("d")).select(
-        "key", "id", "c", F.least("c", "d").alias("i"), F.greatest("c", "d").alias("j")
-    )
-    full = cells.join(prints.select("id", "wide"), "id").groupBy("key", "i", "j").agg(F.collect_list(F.struct("id", "c", "wide")).alias("members")).where(F.size("members") > 1)
+    cells = keyed.join(sizes, "key").select("key", "id", F.pmod(F.xxhash64("id"), chunks).cast("int").alias("c"), F.explode(F.sequence(F.lit(0), chunks - 1)).alias("d"))
+    full = cells.groupBy("key", F.least("c", "d").alias("i"), F.greatest("c", "d").alias("j")).agg(F.array_sort(F.collect_list("id")).alias("members")).where(F.size("members") > 1)
+    # documents that meet in several bands are compared once
+    met = persist(full.select(F.xxhash64("members").alias("set"), "members").dropDuplicates(["set"]), "met").select("set", F.explode("members").alias("id"))
+    wanted = met.select("id").distinct().join(prints.select("id", F.col("lead.row").alias("row")), "id")
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = word_memo()
+        for batch in batches:
+            # half of a hash is enough to compare two sets
+            held = [np.unique((shingle_set(raw.lower().split(), known) >> np.uint64(32)).astype(np.uint32)).tobytes() for raw in texts(batch.column("text"))]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(held, pa.binary())], ["id", "held"])
+
+    held = wanted.join(rows.select("row", "text"), "row").select("id", "text").mapInArrow(read, "id long, held binary")
+    whole = met.join(held, "id").groupBy("set").agg(F.collect_list(F.struct("id", "held")).alias("members"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -235,19 +245,33 @@ def near_duplicates(docs: DataFrame, bucket: int = BUCKET) -> DataFrame:
             for members in batch.column("members"):
                 got = members.values
                 ids = got.field("id").to_numpy(zero_copy_only=False)
-                lanes = np.frombuffer(b"".join(got.field("wide").to_pylist()), ">u8").astype(np.uint64).reshape(len(ids), LANES)
-                pairs = forest(near(lanes, ALIKE), len(ids))
+                sets = [np.frombuffer(x, np.uint32) for x in got.field("held").to_pylist()]
+                size = np.array([len(x) for x in sets])
+                both = common_counts(sets)
+                alike = both >= SIMILARITY * (size[:, None] + size[None, :] - both) - 1e-9
+                pairs = forest(np.argwhere(np.triu(alike, 1)), len(ids))
                 a.append(ids[pairs[:, 0]])
                 b.append(ids[pairs[:, 1]])
             if a:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
 
-    edges = full.select("members").mapInArrow(compare, "a long, b long").distinct()
+    edges = whole.select("members").mapInArrow(compare, "a long, b long").distinct()
     groups = components(edges, "alike")
-    rooted = prints.select("id", "wide", "lead").join(groups, F.col("id") == F.col("node"), "left").select("wide", "lead", F.coalesce("root", "id").alias("root"))
-    rooted = persist(rooted, "alike-rooted")
-    leads = rooted.groupBy("root").agg(F.min("lead").alias("component_id"))
-    return marked.select("doc_id", "wide").join(rooted.select("wide", "root").join(leads, "root"), "wide").select("doc_id", "component_id")
+    rooted = persist(prints.select("id", "lead").join(groups, F.col("id") == F.col("node"), "left").select("id", "lead", F.coalesce("root", "id").alias("root")), "alike-rooted")
+    leads = rooted.groupBy("root").agg(F.min("lead").alias("lead"))
+    return marked.select("row", "doc_id", "id"), rooted.select("id", "root").join(leads, "root")
+
+
+def near_duplicates(docs: DataFrame, bucket: int = BUCKET) -> DataFrame:
+    """(doc_id, component_id) of all documents; alone, a document is its own component.
+
+    Documents with equal shingle sets count once. The others meet on bands of min-hashes and link if the
+    Jaccard similarity of their shingle sets is 0.8 or more. Buckets above `bucket` are cut into chunks and
+    every two chunks are compared in a task of their own, which returns at most one link per document:
+    work is spread and nothing is dropped.
+    """
+    marked, groups = _alike_groups(docs, bucket)
+    return marked.join(groups, "id").select("doc_id", F.col("lead.doc_id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
