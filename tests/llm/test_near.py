@@ -183,6 +183,25 @@ def test_lines_in_large_buckets(spark):
         assert max(collections.Counter(root.values()).values()) > 0.9 * len(nodes)
 
 
+@pytest.mark.parametrize("words, changed", [(8, 1), (12, 2), (27, 4)])
+def test_lines_at_the_threshold(spark, words, changed):
+    """Whole words changed, up to edit similarity 0.8: nearly all pairs meet, whatever the number of rows planned for."""
+    rng = random.Random(words)
+    word = lambda: f"{rng.randrange(10**6):06d}".translate(str.maketrans("0123456789", "abcdefghij"))
+    rows = []
+    for i in range(100):
+        line = [word() for _ in range(words)]
+        other = list(line)
+        for k in rng.sample(range(words), changed):
+            other[k] = word()
+        rows += [(i, " ".join(line)), (1000 + i, " ".join(other))]
+    text = dict(rows)
+    true = [i for i in range(100) if linededup.alike(text[i], text[1000 + i])]
+    got = {r.doc_id: r.n_removed for r in linededup.dedup_lines(frame(spark, rows)).collect()}
+    assert len(true) > 90 and sum(got[1000 + i] for i in true) >= 0.97 * len(true)
+    assert not any(got[i] for i in range(100))
+
+
 def test_compact_windows_hold_all_minima():
     rng = np.random.default_rng(1)
     for _ in range(30):

@@ -12,7 +12,6 @@ are kept by `keep_one` and ignored elsewhere.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -141,22 +140,6 @@ SIMILARITY = 0.8
 BAND, BANDS = 3, 8
 
 
-def block_plan(rows: int, agreement: float, missed: float) -> tuple[int, int]:
-    """(bits of a block, number of blocks): blocks widen with the table so that chance meetings stay in
-    proportion to it; their number follows from the share of links that may be missed."""
-    bits = min(32, max(21, math.ceil(math.log2(max(2, rows))) + 3))
-    return bits, math.ceil(math.log(missed) / math.log(1 - agreement**bits))
-
-
-def cut_blocks(prints: np.ndarray, bits: int, blocks: int) -> np.ndarray:
-    """Block values of fingerprints (rows of bytes), each with its block's number above: one long a block."""
-    set_bits = np.unpackbits(prints, axis=1)[:, : bits * blocks].reshape(len(prints), blocks, bits)
-    value = np.zeros((len(prints), blocks), np.int64)
-    for b in range(bits):
-        value = value << 1 | set_bits[:, :, b]
-    return value | np.arange(blocks, dtype=np.int64)[None, :] << bits
-
-
 def shingle_set(words: list[bytes], known: Memo) -> np.ndarray:
     """Sorted hashes of the distinct five-word shingles; of fewer words, of the whole sequence."""
     h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
