@@ -112,3 +112,10 @@ def test_audit_finds_each_fault(spark):
     assert warc.audit(none, none).count() == 0
     assert {r.status for r in warc.audit(make(pages[:3]), none).collect()} == {"missing"}
     assert {r.status for r in warc.audit(none, make(pages[:3])).collect()} == {"extra"}
+
+
+def test_repeated_test_items_count_once(spark):
+    items = spark.range(60).selectExpr("1L AS item_id", "'Which river runs through the old town of Karlin? The answer is the slow river Morava of the east' AS text")
+    more = spark.createDataFrame([(2, "Who first drew a chart of the northern coast? The answer is captain Elin Strand of Bergen")], "item_id long, text string")
+    made = decontamination.indexes(items.unionAll(more), most=10)
+    assert sorted(int(i) for index in made for i in index.ids) == [1, 2]

@@ -195,7 +195,7 @@ def _hits(index: Index, raw: bytes, threshold: float) -> dict[int, tuple]:
 
 def indexes(benchmark: DataFrame, most: int = INDEX_ITEMS) -> list[Index]:
     """Indexes of at most `most` items each, built one after another from a count-checked part of the items."""
-    items = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long"), "text")
+    items = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long"), "text").dropDuplicates()
     parts = max(1, -(-items.count() // most))
     made = []
     for p in range(parts):
