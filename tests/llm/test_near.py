@@ -131,6 +131,15 @@ def test_cut_and_appended_copies_at_the_threshold(spark):
     assert far and all(got[200 + i] == 200 + i for i in far)
 
 
+def test_near_copies_go_by_row(spark):
+    rng = random.Random(13)
+    one, two, three = (prose(rng, 200) for _ in range(3))
+    rows = [(1, one), (2, one + " more"), (2, two), (None, three), (None, three + " more"), (None, one + " again")]
+    kept = sorted((r.doc_id or 0, r.text) for r in simhash.keep_one(frame(spark, rows)).collect())
+    assert kept[1:] == [(1, one), (2, two)]
+    assert kept[0] in [(0, three), (0, three + " more")]
+
+
 def slow_levenshtein(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a):

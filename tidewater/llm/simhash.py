@@ -138,6 +138,8 @@ SHINGLE = 5
 SIMILARITY = 0.8
 #: Documents meet on bands of min-hashes over shingles: (1 - 0.8 ** BAND) ** BANDS = 0.3 % of links at 0.8 are missed, at every table size.
 BAND, BANDS = 3, 8
+#: Column beside those of the input while `keep_one` works.
+ROW = "__alike_row"
 
 
 def shingle_set(words: list[bytes], known: Memo) -> np.ndarray:
@@ -258,10 +260,11 @@ def near_duplicates(docs: DataFrame, bucket: int = BUCKET) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """Drop all but the smallest doc_id of each near-duplicate group; columns stay as they are.
+    """Of each near-duplicate group, keep the row with the smallest doc_id, null last; columns stay as they are.
 
-    Rows that repeat the kept doc_id all stay, as do rows without a doc_id: they can't be told apart.
+    Rows are told apart by doc_id and text, so a doc_id may lose one text and keep another; rows that
+    repeat the kept one in both all stay.
     """
-    groups = near_duplicates(docs.where("doc_id is not null"))
-    drop = groups.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(drop, "doc_id", "left_anti").select(docs.columns)
+    marked, groups = _alike_groups(docs, BUCKET)
+    drop = marked.join(groups, "id").where(F.col("row") != F.col("lead.row")).select(F.col("row").alias(ROW)).distinct()
+    return docs.withColumn(ROW, F.xxhash64("doc_id", F.xxhash64("text"))).join(drop, ROW, "left_anti").select(docs.columns)
