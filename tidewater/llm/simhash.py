@@ -1,8 +1,9 @@
 """SimHash near-duplicates: pigeonhole blocks, a join on blocks, then Hamming distance.
 
 Two forms: `link_fingerprints` links 64-bit fingerprints at a small distance and loses no link;
-`near_duplicates` groups documents whose five-word shingles are alike (0.8 or more), by bands of
-min-hashes and the sets themselves.
+`near_duplicates` groups documents whose five-word shingles are alike (0.8 or more): at that similarity
+SimHashes differ in ten of 64 bits and no pigeonhole blocks of them are selective, so blocks are cut from
+min-hashes, SimHash rules pairs out and the shingle sets decide.
 
 Cases: a null text counts as empty; texts without words have fingerprint zero and link to each other;
 a null doc_id takes part but never names a group unless the group has no other; repeated rows share
@@ -21,6 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewater.llm.buckets import band_sets
 from tidewater.llm.common import Memo, components, forest, mix64, near, persist, texts
 
 SEED = 42
@@ -138,6 +140,8 @@ SHINGLE = 5
 SIMILARITY = 0.8
 #: Documents meet on bands of min-hashes over shingles: (1 - 0.8 ** BAND) ** BANDS = 0.3 % of links at 0.8 are missed, at every table size.
 BAND, BANDS = 3, 8
+#: Most bits in which SimHashes of two alike documents differ: at 0.8, 10 of 64 with a deviation of 3.
+LANE_BITS = 26
 #: Column beside those of the input while `keep_one` works.
 ROW = "__alike_row"
 
@@ -152,6 +156,16 @@ def shingle_set(words: list[bytes], known: Memo) -> np.ndarray:
     return np.unique(out)
 
 
+def set_print(shingles: np.ndarray) -> int:
+    """SimHash of a set of shingles, as a signed long."""
+    above = np.zeros(64, np.int64)
+    rows = shingles.astype(">u8").view(np.uint8).reshape(-1, 8)
+    for s in range(0, len(rows), 4080):
+        bits = np.unpackbits(rows[s : s + 4080], axis=1)
+        above += np.add.reduceat(bits, np.arange(0, len(bits), 255), axis=0, dtype=np.uint8).sum(0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * above > len(rows)).tobytes(), "big", signed=True)
+
+
 def band_keys(shingles: np.ndarray) -> np.ndarray:
     """One long for each band: its min-hashes and its number, hashed."""
     steps = (np.arange(1, BAND * BANDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[:, None]
@@ -169,17 +183,17 @@ def word_memo() -> Memo:
 
 
 def marks(docs: DataFrame) -> DataFrame:
-    """(row, doc_id, id, keys): `id` is a hash of the document's shingle set, `keys` its bands (none without words)."""
+    """(row, doc_id, id, print): `id` is a hash of the document's shingle set, `print` its SimHash and bands (none without words)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = word_memo()
         for batch in batches:
             sets = [shingle_set(raw.lower().split(), known) for raw in texts(batch.column("text"))]
             ids = np.array([xxhash.xxh64_intdigest(x.tobytes(), SEED) for x in sets], np.uint64).astype(np.int64)
-            keys = pa.array([band_keys(x) if len(x) else [] for x in sets], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), pa.array(ids), keys], ["row", "doc_id", "id", "keys"])
+            found = pa.array([np.concatenate([[set_print(x)], band_keys(x)]) if len(x) else None for x in sets], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), pa.array(ids), found], ["row", "doc_id", "id", "print"])
 
-    return docs.select("row", "doc_id", "text").mapInArrow(run, "row long, doc_id long, id long, keys array<long>")
+    return docs.select("row", "doc_id", "text").mapInArrow(run, "row long, doc_id long, id long, print array<long>")
 
 
 def common_counts(sets: list[np.ndarray]) -> np.ndarray:
@@ -203,15 +217,10 @@ def _alike_groups(docs: DataFrame, bucket: int) -> tuple[DataFrame, DataFrame]:
     rows = docs.select(F.xxhash64("doc_id", F.xxhash64("text")).alias("row"), "doc_id", "text")
     marked = persist(marks(rows), "marks")
     first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
-    prints = persist(marked.groupBy("id").agg(F.min(first).alias("lead"), F.min("keys").alias("keys")), "prints")
-    keyed = prints.select("id", F.explode("keys").alias("key"))
-    sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    chunks = F.ceil(F.col("n") / bucket).cast("int")
-    # every two chunks meet once: chunk c goes to the cells (min(c, d), max(c, d)) of all d
-    cells = keyed.join(sizes, "key").select("key", "id", F.pmod(F.xxhash64("id"), chunks).cast("int").alias("c"), F.explode(F.sequence(F.lit(0), chunks - 1)).alias("d"))
-    full = cells.groupBy("key", F.least("c", "d").alias("i"), F.greatest("c", "d").alias("j")).agg(F.array_sort(F.collect_list("id")).alias("members")).where(F.size("members") > 1)
+    prints = persist(marked.groupBy("id").agg(F.min(first).alias("lead"), F.min("print").alias("print")), "prints")
     # documents that meet in several bands are compared once
-    met = persist(full.select(F.xxhash64("members").alias("set"), "members").dropDuplicates(["set"]), "met").select("set", F.explode("members").alias("id"))
+    sets = band_sets(prints.where("print is not null").select("id", "print"), BANDS * prints.count(), LANE_BITS, bucket)
+    met = persist(sets.select(F.xxhash64("members").alias("set"), "members"), "met").select("set", F.explode("members").alias("id"))
     wanted = met.select("id").distinct().join(prints.select("id", F.col("lead.row").alias("row")), "id")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -251,9 +260,8 @@ def near_duplicates(docs: DataFrame, bucket: int = BUCKET) -> DataFrame:
     """(doc_id, component_id) of all documents; alone, a document is its own component.
 
     Documents with equal shingle sets count once. The others meet on bands of min-hashes and link if the
-    Jaccard similarity of their shingle sets is 0.8 or more. Buckets above `bucket` are cut into chunks and
-    every two chunks are compared in a task of their own, which returns at most one link per document:
-    work is spread and nothing is dropped.
+    Jaccard similarity of their shingle sets is 0.8 or more. Buckets above `bucket` meet as `band_sets` says, in
+    work that grows with their rows.
     """
     marked, groups = _alike_groups(docs, bucket)
     return marked.join(groups, "id").select("doc_id", F.col("lead.doc_id").alias("component_id"))
