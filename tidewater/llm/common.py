@@ -30,16 +30,23 @@ def scratch_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+#: Spark's own setting for shuffle files to go as soon as the query that wrote them ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def persist(df: DataFrame, label: str) -> DataFrame:
     """Write df as Parquet in the shared scratch folder and read it back: cuts lineage, survives executors.
 
-    Shuffle files of jobs before this one go when the driver collects its garbage; an idle driver would
-    keep them to the end, so it is asked to.
+    Shuffle files of the write go when it ends: nothing reads them again.
     """
     spark = df.sparkSession
-    spark._jvm.System.gc()
     path = f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     SCRATCH.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
