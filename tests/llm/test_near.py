@@ -263,6 +263,40 @@ def test_all_texts_of_a_passage_meet(spark, bucket):
     assert sum(r.n_links for r in got.values()) >= 0.9 * len(links) > 1000
 
 
+@pytest.mark.parametrize("bucket", [70, 256])
+def test_large_groups_of_a_passage_are_one_class(spark, bucket):
+    """More texts than meet each other directly, with and without chunks: nobody is lost."""
+    rng = random.Random(32)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(120)]
+    rows = []
+    for i in range(300):
+        words = list(base)
+        for k in rng.sample(range(120), 2):
+            words[k] = f"new{i}x{k}"
+        rows.append((i, " ".join(f"own{i}x{k}" for k in range(30)) + " " + " ".join(words)))
+    rows += [(1000 + i, " ".join(f"else{i}x{k}" for k in range(90))) for i in range(20)]
+    got = {r.doc_id: r for r in substring.group_passages(frame(spark, rows), bucket).collect()}
+    assert sum(got[i].class_id == 0 for i in range(300)) >= 297
+    assert sum(got[i].n_links > 0 for i in range(300)) >= 297
+    assert all(got[1000 + i].class_id == 1000 + i and not got[1000 + i].spans for i in range(20))
+
+
+@pytest.mark.parametrize("copies", [40])
+def test_links_of_an_edited_passage(spark, copies):
+    """Links of a small group against brute force over all pairs."""
+    rng = random.Random(33)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(120)]
+    rows = []
+    for i in range(copies):
+        words = [w if rng.random() > 0.02 else f"new{i}x{k}" for k, w in enumerate(base)]
+        rows.append((i, " ".join(f"own{i}x{k}" for k in range(40)) + " " + " ".join(words)))
+    known = substring.word_hashes()
+    cut = {i: substring.shingles(t.encode(), known) for i, t in rows}
+    links = sum(1 for i in cut for j in cut if i != j and substring.alike_part(cut[i], cut[j]))
+    got = substring.group_passages(frame(spark, rows)).collect()
+    assert sum(r.n_links for r in got) >= 0.9 * links > 500
+
+
 def slow_removal(rows, length=50):
     first = {}
     last = 1 << 62
