@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidewater.functions import text as X
 from tidewater.functions.schema import content_key
-from tidewater.operators import insights, report
+from tidewater.operators import report
 from tidewater.sources import config, mappers, staging
 
 
@@ -112,7 +112,6 @@ def test_settings():
     assert config.collection_plan(0) == ["free", "social", "broad", "paid"] and config.collection_plan(160) == ["free", "social"] and config.collection_plan(200) == ["free"]
     assert [config.run_status(*x) for x in ((1, 5), (0, 5), (0, 0))] == ["error", "ok", "empty"]
     assert config.clamp(0, 1, 200) == 1 and config.clamp(500, 1, 200) == 200
-    assert insights.listed(["a"]) == "a" and insights.listed(["a", "", "b"]) == "a and b" and insights.listed(list("abc")) == "a, b, and c"
 
 
 def test_staging(spark):
@@ -140,11 +139,17 @@ def test_direct_mappers(spark):
     assert [(r.text, r.rating) for r in got] == [("X", 1.0), ("T\n\nC", 4.0)] and got[1].source_url.endswith("?see-all=reviews#review-9")
     hit = '{"objectID": "1", "title": "A &amp; B", "comment_text": "<i>c</i>", "created_at_i": 1700000000, "author": "z"}'
     got = mappers.hackernews(items(spark, hit, hit)).collect()
-    assert [(r.text, r.created_at) for r in got] == [("A & B c", "2023-11-14T22:13:20+00:00")]
+    assert [(r.text, r.created_at) for r in got] == [("A &amp; B\n\n<i>c</i>", "2023-11-14T22:13:20+00:00")]
     post = '{"id": "p", "permalink": "/r/x/p", "title": "t", "selftext": "", "author": "[deleted]", "created_utc": 1700000000}'
     assert mappers.reddit_posts(items(spark, post, '{"id": "q"}')).first().author is None
     assert mappers.reddit_posts(items(spark, post), True).first().author == "[deleted]"
     assert mappers.google_play(items(spark, '{"content": " ok ", "reviewId": "r", "score": 5}', '{"content": " "}', app_url="https://p?id=a")).collect()[0].source_url == "https://p?id=a&reviewId=r"
+    assert mappers.google_play(items(spark, '{"content": "x"}', app_url="https://p?id=a")).first().source_url == "https://p?id=a"
+    bare = '{"feed": {"entry": {"im:rating": {"label": "2"}, "title": {"label": "Y"}}}}'
+    assert mappers.app_store(items(spark, bare, app_id="5", country="us")).first().source_url == "https://apps.apple.com/us/app/id5?see-all=reviews"
+    two = mappers.reddit_posts(items(spark, '{"permalink": "/a", "title": "t"}', '{"permalink": "/b", "title": " t "}', '{"permalink": "/b", "title": "t"}')).collect()
+    assert sorted((r.source_url, r.text) for r in two) == [("https://www.reddit.com/a", "t"), ("https://www.reddit.com/b", "t")]
+    assert mappers.mapper("reddit_api")(items(spark, '{"title": "t", "url": "https://elsewhere/"}')).first().source_url == "https://elsewhere/"
     assert mappers.mastodon(items(spark, '{"url": "https://m/1", "content": "<p>hi&nbsp;you</p>"}')).first().text == "hi\u00a0you"
     assert mappers.web_search(items(spark, '{"url": "https://x.com/1", "title": "t", "content": "c"}')).first().source == "twitter"
     assert mappers.web_pages(items(spark, '{"url": "https://b/", "markdown": "' + "word " * 600 + '"}')).first().text.endswith("word...")

@@ -127,24 +127,27 @@ def embed_text(text: Column, most: int = 8000) -> Column:
     return F.substring(F.when(clean == "", F.lit(" ")).otherwise(clean), 1, most)
 
 
-_ISO = r"^(\d{4})-?(\d{2})-?(\d{2})(?:.(\d{2})(?::?(\d{2})(?::?(\d{2})(?:[.,](\d{1,6})\d*)?)?)?(Z|[+-]\d{2}:?\d{2})?)?$"
+_ISO = r"^(\d{4})(-?)(\d{2})\2(\d{2})(?:.(\d{2})(?::?(\d{2})(?::?(\d{2})(?:[.,](\d{1,6})\d*)?)?)?(Z|[+-]\d{2}:?\d{2})?)?$"
 
 
 def parsed_date(raw: Column) -> Column:
     """struct(month, year, instant) of an ISO date with optional time and offset, null for anything else.
 
     Month and year are those written, in the date's own offset; the instant counts no offset as UTC.
-    Week dates (2024-W05-3) are not read.
+    Week dates (2024-W05-3) are not read. The text is matched once: its parts go through lambda variables.
     """
-    text = strip(raw)
-    part = lambda k: F.regexp_extract(text, _ISO, k)
-    dashes = text.rlike(r"^\d{4}-\d{2}-\d{2}") | text.rlike(r"^\d{8}")
-    or_zero = lambda k: F.when(part(k) == "", "00").otherwise(part(k))
-    offset = F.when(part(8).isin("", "Z"), "+00:00").otherwise(F.regexp_replace(part(8), r"^([+-]\d{2}):?(\d{2})$", "$1:$2"))
-    day = F.concat_ws("-", part(1), part(2), part(3))
-    instant = F.concat(day, F.lit("T"), or_zero(4), F.lit(":"), or_zero(5), F.lit(":"), or_zero(6), offset).try_cast("timestamp")
-    valid = text.rlike(_ISO) & dashes & instant.isNotNull()
-    return F.when(valid, F.struct(F.substring(day, 1, 7).alias("month"), part(1).alias("year"), instant.alias("instant")))
+    mark = "\u0001"
+    matched = F.regexp_replace(strip(raw), _ISO, mark + "$1|$3|$4|$5|$6|$7|$9")
+    parts = F.transform(F.array(matched), lambda m: F.when(m.startswith(mark) & m.contains("|"), F.split(F.substring(m, 2, 100), r"\|")))
+
+    def read(p: Column) -> Column:
+        or_zero = lambda k: F.when(p[k] == "", "00").otherwise(p[k])
+        offset = F.when(p[6].isin("", "Z"), "+00:00").when(F.length(p[6]) == 5, F.concat(F.substring(p[6], 1, 3), F.lit(":"), F.substring(p[6], 4, 2))).otherwise(p[6])
+        day = F.concat_ws("-", p[0], p[1], p[2])
+        instant = F.concat(day, F.lit("T"), or_zero(3), F.lit(":"), or_zero(4), F.lit(":"), or_zero(5), offset).try_cast("timestamp")
+        return F.struct(F.substring(day, 1, 7).alias("month"), p[0].alias("year"), instant.alias("instant"))
+
+    return F.get(F.filter(F.transform(parts, read), lambda d: d["instant"].isNotNull()), F.lit(0))
 
 
 def health_score(positive: Column, neutral: Column, negative: Column, average: Column) -> Column:

@@ -20,17 +20,21 @@ def plan(reviews: DataFrame, alerted: DataFrame, seen: DataFrame, per_pass: int
     """
     new = fresh(reviews, alerted).join(seen.select("brand", F.lit(True).alias("known")), "brand", "left")
     baseline = new.where("known is null").groupBy("brand").agg(F.count("*").alias("n")).select("brand", F.lit("baseline").alias("kind"), F.lit(None).cast("string").alias("id"), "n")
+    later = new.where("known")
+    # the newest ones are a top-k of each brand, the overflow a count: no brand is sorted whole
     order = Window.partitionBy("brand").orderBy(F.col("captured_at").desc_nulls_first(), "id")
-    later = new.where("known").select("brand", "id", F.row_number().over(order).alias("place"))
-    alerts = later.where(F.col("place") <= per_pass).select("brand", F.lit("alert").alias("kind"), "id", F.lit(1).cast("long").alias("n"))
-    rest = later.where(F.col("place") > per_pass).groupBy("brand").agg(F.count("*").alias("n")).select("brand", F.lit("overflow").alias("kind"), F.lit(None).cast("string").alias("id"), "n")
+    alerts = later.select("brand", "id", F.row_number().over(order).alias("place")).where(F.col("place") <= per_pass).select("brand", F.lit("alert").alias("kind"), "id", F.lit(1).cast("long").alias("n"))
+    rest = later.groupBy("brand").agg((F.count("*") - per_pass).alias("n")).where("n > 0").select("brand", F.lit("overflow").alias("kind"), F.lit(None).cast("string").alias("id"), "n")
     return baseline.unionByName(alerts).unionByName(rest)
 
 
 def fresh(reviews: DataFrame, alerted: DataFrame) -> DataFrame:
     """Negative reviews with an id that has not been alerted, each once."""
     rows = reviews.where((F.col("sentiment") == "negative") & F.col("id").isNotNull()).withColumn("brand", F.coalesce("brand", F.lit("?")))
-    return rows.dropDuplicates(["id"]).join(alerted.select("id"), "id", "left_anti")
+    # of rows that share an id, the newest one, whatever the order in which they come
+    columns = [c for c in rows.columns if c != "id"]
+    newest = rows.groupBy("id").agg(F.max_by(F.struct(*columns), F.struct("captured_at", "brand")).alias("_row")).select("id", "_row.*").select(rows.columns)
+    return newest.join(alerted.select("id"), "id", "left_anti")
 
 
 def remember(reviews: DataFrame, alerted: DataFrame, seen: DataFrame) -> tuple[DataFrame, DataFrame]:

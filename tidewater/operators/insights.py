@@ -88,16 +88,8 @@ def summary(reviews: DataFrame) -> DataFrame:
     facts = rows.agg(F.count("*").alias("reviews"), *[F.count_if(F.col("sentiment") == s).alias(s) for s in ("positive", "neutral", "negative")], F.bround(F.avg("rating"), 2).alias("avg_rating"))
     pct = lambda c: F.coalesce(F.bround(100 * F.col(c) / F.nullif(F.col("reviews"), F.lit(0)), 0), F.lit(0)).cast("int")
     behavior = (
-        F.when(F.col("positive") > 2 * F.col("negative"), "Customers are largely loyal, with praise clearly outweighing complaints.")
-        .when(F.col("negative") > F.col("positive"), "Frustration outweighs praise, so retention is the thing to watch.")
-        .otherwise("Opinions are mixed, with praise and complaints fairly balanced.")
+        F.when(F.col("positive") > 2 * F.col("negative"), "Praise outweighs complaints by more than two to one.")
+        .when(F.col("negative") > F.col("positive"), "Complaints outnumber praise.")
+        .otherwise("Praise and complaints are close to even.")
     )
     return facts.select("reviews", "positive", "neutral", "negative", "avg_rating", *[pct(c).alias(f"{c}_pct") for c in ("positive", "neutral", "negative")], behavior.alias("behavior"))
-
-
-def listed(items: list[str]) -> str:
-    """a; a and b; a, b, and c."""
-    items = [i for i in items if i]
-    if len(items) < 3:
-        return " and ".join(items)
-    return ", ".join(items[:-1]) + f", and {items[-1]}"

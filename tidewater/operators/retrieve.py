@@ -33,12 +33,13 @@ def nearest(reviews: DataFrame, query: list[float], brand: str | None = None, k:
 def nearest_of_brands(reviews: DataFrame, query: list[float], brands: list[str], k: int = 8) -> DataFrame:
     """A slice for each brand, in the order given; the first of equal (url, text) stays. No global re-sort."""
     per = max(3, k // len(brands) + 2)
-    parts = [nearest(reviews, query, b, per).withColumn("brand_no", F.lit(i)) for i, b in enumerate(brands)]
-    rows = parts[0]
-    for p in parts[1:]:
-        rows = rows.unionByName(p)
-    # at most `per` rows a brand from here on
-    rows = rows.withColumn("place", F.row_number().over(Window.partitionBy("brand_no").orderBy(F.desc("score"), "id")))
+    # one scan, whatever the number of brands; a review may belong to several of them, as names may hold wildcards
+    wanted = F.filter(F.array(*[F.when(F.col("brand").ilike(b), F.lit(i)) for i, b in enumerate(brands)]), lambda i: i.isNotNull())
+    rows = scored(reviews.where(F.size(wanted) > 0), query).withColumn("brand_no", F.explode(wanted))
+    place = F.row_number().over(Window.partitionBy("brand_no").orderBy(F.desc("score"), "id"))
+    # at most `per` rows a brand leave each task before the window's shuffle
+    rows = rows.withColumn("place", place).where(F.col("place") <= per)
+    rows = rows.select("id", "brand", "source", "source_url", "author", "rating", "sentiment", "text", "score", "brand_no", "place")
     once = F.row_number().over(Window.partitionBy("source_url", "text").orderBy("brand_no", "place"))
     return rows.withColumn("_once", once).where("_once = 1").drop("_once").orderBy("brand_no", "place")
 

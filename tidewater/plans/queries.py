@@ -418,6 +418,88 @@ for _m in _MAPS:
     _map(_m)
 
 
+# ---- the sources that are read directly, with what goes to `extra`
+
+_AT = "strftime(to_timestamp(TRY_CAST({0} AS DOUBLE)) AT TIME ZONE 'UTC', '%Y-%m-%dT%H:%M:%S') || '+00:00'"
+_JOIN = lambda *parts: "concat_ws(chr(10) || chr(10), " + ", ".join(f"nullif(trim({_one(p)}), '')" for p in parts) + ")"
+_HOST_TAG = _TAG.replace("coalesce(u,", f"coalesce({_one('url')},")
+_FLAT = f"trim(replace(replace(replace(regexp_replace(regexp_replace({_one('content')}, '<[^>]+>', ' ', 'g'), '\\s+', ' ', 'g'), '&lt;', '<'), '&quot;', '\"'), '&amp;', '&'))"
+#: Items, beside columns, and SQL of source, url, text, author, rating, created_at and of the fields in `extra`.
+_DIRECT = {
+    "app_store": (
+        ['{"im:rating": {"label": "4"}, "title": {"label": "T"}, "content": {"label": "C"}, "id": {"label": "9"}, "author": {"name": {"label": "N"}}, "updated": {"label": "2024-01-01T00:00:00-07:00"}, "im:version": {"label": "1.2"}}', '{"title": {"label": "the app"}}', '{"im:rating": {"label": "1"}, "content": {"label": "X"}}', '{"im:rating": {"label": "1"}}'],
+        {"app_url": "https://a/app", "app_id": "77", "country": "us"},
+        ("'app_store'", f"'https://a/app?see-all=reviews' || coalesce('#review-' || {_one('id.label')}, '')", _JOIN("title.label", "content.label"), _one("author.name.label"), _one('"im:rating".label'), _one("updated.label")),
+        {"app_id": "'77'", "country": "'us'", "review_id": _one("id.label"), "version": _one('"im:version".label')}, "json_extract(item, '$.\"im:rating\"') IS NOT NULL",
+    ),
+    "google_play": (
+        ['{"content": " ok ", "reviewId": "r", "score": 5, "userName": "U", "at": "2024-02-02", "thumbsUpCount": 3, "appVersion": "7"}', '{"content": "no id", "score": 2, "reviewCreatedVersion": "8", "replyContent": "sorry"}', '{"content": " "}'],
+        {"app_url": "https://p?id=a", "package": "a"},
+        ("'google_play'", f"'https://p?id=a' || coalesce('&reviewId=' || {_one('reviewId')}, '')", f"trim({_one('content')})", _one("userName"), _one("score"), _one("at")),
+        {"package": "'a'", "review_id": f"coalesce({_one('reviewId')}, '')", "thumbs_up": _one("thumbsUpCount"), "app_version": _any("reviewCreatedVersion", "appVersion"), "reply": _one("replyContent")}, "true",
+    ),
+    "hackernews": (
+        ['{"objectID": "1", "title": "A &amp; B ", "comment_text": "<i>c</i>", "created_at_i": 1700000000, "author": "z", "points": 4}', '{"objectID": "1", "title": "A &amp; B ", "comment_text": "<i>c</i>", "created_at_i": 1700000000, "author": "z", "points": 4}', '{"objectID": "2", "story_text": "s", "created_at": "2024-01-01T00:00:00Z"}', '{"title": "no id"}', '{"objectID": "3"}'],
+        {}, ("'hackernews'", f"'https://news.ycombinator.com/item?id=' || {_one('objectID')}", _JOIN("title", "story_text", "comment_text"), _one("author"), "NULL", f"coalesce({_AT.format(_one('created_at_i'))}, {_one('created_at')})"),
+        {"points": _one("points"), "engine": "'hn_algolia'"}, "true",
+    ),
+    "mastodon": (
+        ['{"url": "https://m/1", "content": "<p>hi &lt;you&quot; &amp;  me</p>", "account": {"acct": "a@b"}, "created_at": "2024-03-03", "favourites_count": 2, "reblogs_count": 1}', '{"uri": "https://m/2", "content": "<p>x</p>"}', '{"url": "https://m/3", "content": "<p> </p>"}', '{"content": "y"}'],
+        {}, ("'mastodon'", _any("url", "uri"), _FLAT, _one("account.acct"), "NULL", _one("created_at")),
+        {"favourites": _one("favourites_count"), "reblogs": _one("reblogs_count"), "engine": "'mastodon_tag'"}, "true",
+    ),
+    "reddit_json": (
+        ['{"permalink": "/r/x/p", "title": " t ", "selftext": "", "author": "[deleted]", "created_utc": 1700000000, "subreddit": "x", "score": 3, "num_comments": 2}', '{"permalink": "/r/x/q", "title": "u", "selftext": " v", "author": "w"}', '{"permalink": "/r/x/q", "title": "u", "selftext": " v", "author": "w"}', '{"title": "no link", "url": "https://else/"}', '{"permalink": "/r/x/e"}'],
+        {}, ("'reddit'", f"'https://www.reddit.com' || {_one('permalink')}", _JOIN("title", "selftext"), f"nullif({_one('author')}, '[deleted]')", "NULL", _AT.format(_one("created_utc"))),
+        {"subreddit": _one("subreddit"), "score": _one("score"), "num_comments": _one("num_comments"), "engine": "'reddit_json'"}, "true",
+    ),
+    "reddit_api": (
+        ['{"permalink": "/r/x/p", "title": " t ", "author": "[deleted]", "created_utc": 1700000000, "subreddit": "x", "ups": 3, "num_comments": 2, "over_18": false}', '{"title": "no permalink", "url": "https://else/"}', '{"title": "no link"}'],
+        {}, ("'reddit'", f"coalesce('https://www.reddit.com' || {_one('permalink')}, {_one('url')})", _JOIN("title", "selftext"), _one("author"), "NULL", _AT.format(_one("created_utc"))),
+        {"subreddit": _one("subreddit"), "up_votes": _one("ups"), "num_comments": _one("num_comments"), "over_18": _one("over_18")}, "true",
+    ),
+    "web_search": (
+        ['{"url": "https://x.com/1", "title": " t ", "content": "c", "published_date": "2024-04-04", "score": 0.5}', '{"url": "https://b.org/", "content": "only"}', '{"title": "no url"}'],
+        {}, (_HOST_TAG, _one("url"), _JOIN("title", "content"), "NULL", "NULL", _one("published_date")), {"score": _one("score"), "engine": "'tavily'"}, "true",
+    ),
+    "web_pages": (
+        ['{"url": "https://b.org/", "title": "T", "markdown": "body text"}', '{"url": "https://www.reddit.com/r/a", "description": " d "}', '{"markdown": "no url"}'],
+        {}, (_HOST_TAG, _one("url"), f"concat_ws(chr(10) || chr(10), nullif(trim({_one('title')}), ''), nullif(trim({_any('markdown', 'description')}), ''))", "NULL", "NULL", "CAST(NULL AS VARCHAR)"), {"engine": "'firecrawl'"}, "true",
+    ),
+}
+
+
+def _map_direct(name: str) -> None:
+    texts, beside, (source, url, text, author, rating, created), extras, kept = _DIRECT[name]
+    facts = ", ".join(f"{v} AS extra_{k}" for k, v in extras.items())
+    ended = ", ".join(f"extra_{k}" for k in extras)
+    sql = f"""WITH m AS (SELECT {source} AS source, coalesce({url}, '') AS source_url, {author} AS author, TRY_CAST(trim({rating}) AS DOUBLE) AS rating, {text} AS text, {created} AS created_at, {facts} FROM {lit_sql([(t,) for t in texts], ["item"])} WHERE {kept})
+        SELECT DISTINCT sha256('Acme|' || source || '|' || source_url || '|' || text) AS id, 'Acme' AS brand, source, source_url, author, rating, text, created_at, {ended} FROM m WHERE source_url <> '' AND trim(text) <> ''"""
+
+    @query(sql, f"map_{name}", base=False)
+    def run(spark, d):
+        shown = ['{"feed": {"entry": [' + ", ".join(texts) + "]}}"] if name == "app_store" else texts
+        rows = spark.createDataFrame([("Acme", t) for t in shown], "brand string, item string").withColumns({k: F.lit(v) for k, v in beside.items()})
+        got = mappers.mapper(name)(rows)
+        return got.select("*", *[F.get_json_object("extra", f"$.{k}").alias(f"extra_{k}") for k in extras]).drop("extra")
+
+
+for _m in _DIRECT:
+    _map_direct(_m)
+
+_CARDS = (
+    '<article class="c"><h2>Good</h2><p data-service-review-text-typography="true">Very <b>good</b></p><div data-service-review-rating="5"></div>'
+    '<a href="/reviews/77">x</a><time datetime="2024-01-01"></time></article><article><img alt="Rated 2 out of 5 stars"><h2>Bad</h2></article><article></article>'
+)
+
+
+@query("""WITH m(source_url, rating, text, created_at) AS (VALUES ('https://t.com/reviews/77', 5.0::DOUBLE, 'Good' || chr(10) || chr(10) || 'Very good', '2024-01-01'), ('https://t.com/review/acme', 2.0::DOUBLE, 'Bad', NULL))
+    SELECT sha256('Acme|trustpilot|' || source_url || '|' || text) AS id, 'Acme' AS brand, 'trustpilot' AS source, source_url, CAST(NULL AS VARCHAR) AS author, rating, text, created_at FROM m""", base=False)
+def map_trustpilot(spark, d):
+    pages = spark.createDataFrame([("Acme", "https://t.com/review/acme", _CARDS)], "brand string, url string, html string")
+    return mappers.mapper("trustpilot")(pages).drop("extra")
+
+
 # ---- upserts and keyed updates
 
 _RAW = "id, brand, source, source_url, author, rating, text, created_at, captured_at"
@@ -609,7 +691,7 @@ def _pct(c: str) -> str:
 
 
 @query(f"""WITH s AS (SELECT * FROM reviews WHERE brand ILIKE '{BRAND}' AND text IS NOT NULL ORDER BY {_NEWEST} LIMIT 60), f AS (SELECT {_BLOCK.replace("AS total", "AS reviews")} FROM s WHERE trim(text) <> '')
-    SELECT *, {_pct("positive")}, {_pct("neutral")}, {_pct("negative")}, CASE WHEN positive > 2 * negative THEN 'Customers are largely loyal, with praise clearly outweighing complaints.'
-        WHEN negative > positive THEN 'Frustration outweighs praise, so retention is the thing to watch.' ELSE 'Opinions are mixed, with praise and complaints fairly balanced.' END AS behavior FROM f""")
+    SELECT *, {_pct("positive")}, {_pct("neutral")}, {_pct("negative")}, CASE WHEN positive > 2 * negative THEN 'Praise outweighs complaints by more than two to one.'
+        WHEN negative > positive THEN 'Complaints outnumber praise.' ELSE 'Praise and complaints are close to even.' END AS behavior FROM f""")
 def insights_summary(spark, d):
     return insights.summary(R.sample(reviews(spark, d), BRAND))

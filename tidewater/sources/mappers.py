@@ -111,32 +111,54 @@ def normalized(items: DataFrame) -> DataFrame:
 # ---- items of the sources that are read directly
 
 
+def beside(items: DataFrame, name: str) -> Column:
+    """A column of the items, null if there is none."""
+    return F.col(name) if name in items.columns else F.lit(None).cast("string")
+
+
+def part(path: str) -> Column:
+    """A field without white space at its ends; missing or empty ones are left out when parts are joined."""
+    return strip(F.coalesce(field(path), F.lit("")))
+
+
 def app_store(items: DataFrame) -> DataFrame:
-    """A feed page: `feed.entry` is a list or one entry, whose values lie under `label`; `app_url` is a column."""
+    """A feed page: `feed.entry` is a list or one entry, whose values lie under `label`.
+
+    `app_url` is a column; without one, `app_id` and `country` make the link. An entry without id links to all reviews.
+    """
     entries = F.when(field("feed.entry").startswith("{"), F.array(field("feed.entry"))).otherwise(F.from_json(field("feed.entry"), "array<string>"))
-    rows = items.select("brand", "app_url", F.explode(entries).alias("item"))
+    names = ("app_url", "app_id", "app_name", "country")
+    rows = items.select("brand", *[beside(items, c).alias(c) for c in names], F.explode(entries).alias("item"))
     rating = field("['im:rating'].label")
-    rows = rows.where(rating.isNotNull())
-    url = F.concat(F.col("app_url"), F.lit("?see-all=reviews#review-"), F.coalesce(field("id.label"), F.lit("")))
-    return record(rows, F.lit("app_store"), url, join_parts(field("title.label"), field("content.label")), field("author.name.label"), to_rating(rating), field("updated.label"), extra(version="['im:version'].label"))
+    rows = rows.where(field("['im:rating']").isNotNull())
+    made = F.concat(F.lit("https://apps.apple.com/"), F.col("country"), F.lit("/app/id"), F.col("app_id"))
+    anchor = F.coalesce(F.concat(F.lit("#review-"), F.nullif(field("id.label"), F.lit(""))), F.lit(""))
+    url = F.concat(F.coalesce(F.nullif("app_url", F.lit("")), made), F.lit("?see-all=reviews"), anchor)
+    link = F.coalesce(field("link.attributes.href"), field("link[0].attributes.href"))
+    more = F.to_json(F.struct("app_id", "app_name", "country", field("id.label").alias("review_id"), field("['im:version'].label").alias("version"), link.alias("apple_review_link")))
+    return record(rows, F.lit("app_store"), url, strip(join_parts(field("title.label"), field("content.label"))), field("author.name.label"), to_rating(rating), field("updated.label"), more)
 
 
 def google_play(items: DataFrame) -> DataFrame:
-    """Reviews of an app; `app_url` is a column."""
-    url = F.concat(F.col("app_url"), F.lit("&reviewId="), F.coalesce(field("reviewId"), F.lit("")))
-    return record(items, F.lit("google_play"), url, strip(F.coalesce(field("content"), F.lit(""))), field("userName"), to_rating(field("score")), field("at"), extra(version="reviewCreatedVersion", thumbs_up="thumbsUpCount"))
+    """Reviews of an app; `app_url` and `package` are columns. A review without id links to the app."""
+    anchor = F.coalesce(F.concat(F.lit("&reviewId="), F.nullif(field("reviewId"), F.lit(""))), F.lit(""))
+    more = F.to_json(F.struct(
+        beside(items, "package").alias("package"), F.coalesce(field("reviewId"), F.lit("")).alias("review_id"), field("thumbsUpCount").alias("thumbs_up"),
+        any_text("reviewCreatedVersion", "appVersion").alias("app_version"), field("replyContent").alias("reply"),
+    ))
+    return record(items, F.lit("google_play"), F.concat(F.col("app_url"), anchor), part("content"), field("userName"), to_rating(field("score")), field("at"), more)
 
 
 def hackernews(items: DataFrame) -> DataFrame:
-    once = items.withColumn("_hit", field("objectID")).dropDuplicates(["brand", "_hit"])
-    text = plain_text(join_parts(field("title"), field("story_text"), field("comment_text")))
-    at = F.date_format(F.timestamp_seconds(field("created_at_i").try_cast("double")), "yyyy-MM-dd'T'HH:mm:ss'+00:00'")
-    url = F.concat(F.lit("https://news.ycombinator.com/item?id="), F.col("_hit"))
-    return record(once, F.lit("hackernews"), url, text, field("author"), nothing(), F.coalesce(at, field("created_at")), extra(points="points", num_comments="num_comments"))
+    """Stories and comments, markup as it is; a hit that comes again counts once."""
+    at = F.coalesce(epoch_iso(field("created_at_i")), field("created_at"))
+    url = F.concat(F.lit("https://news.ycombinator.com/item?id="), F.nullif(field("objectID"), F.lit("")))
+    more = F.to_json(F.struct(field("points").alias("points"), F.lit("hn_algolia").alias("engine")))
+    return record(items, F.lit("hackernews"), url, join_parts(part("title"), part("story_text"), part("comment_text")), field("author"), nothing(), at, more).dropDuplicates(["id"])
 
 
 def mastodon(items: DataFrame) -> DataFrame:
-    return record(items, F.lit("mastodon"), any_text("url", "uri"), plain_text(field("content")), field("account.acct"), nothing(), field("created_at"), extra(favourites="favourites_count", reblogs="reblogs_count"))
+    return record(items, F.lit("mastodon"), any_text("url", "uri"), plain_text(field("content")), field("account.acct"), nothing(), field("created_at"), F.to_json(F.struct(field("favourites_count").alias("favourites"), field("reblogs_count").alias("reblogs"), F.lit("mastodon_tag").alias("engine"))))
 
 
 def tag_of(keyword: Column) -> Column:
@@ -150,23 +172,30 @@ def epoch_iso(seconds: Column) -> Column:
 
 
 def reddit_posts(items: DataFrame, keep_deleted: bool = False) -> DataFrame:
-    """Posts of the public listing (deleted authors become null) or, with keep_deleted, of the official interface."""
-    once = items.where(field("permalink").isNotNull()).withColumn("_post", field("id")).dropDuplicates(["brand", "_post"])
-    author = field("author") if keep_deleted else F.nullif(field("author"), F.lit("[deleted]"))
-    url = F.concat(F.lit("https://www.reddit.com"), field("permalink"))
-    return record(once, F.lit("reddit"), url, join_parts(field("title"), field("selftext")), author, nothing(), epoch_iso(field("created_utc")), extra(subreddit="subreddit", score="score", num_comments="num_comments"))
+    """Posts of the public listing, or, with keep_deleted, of the official interface.
+
+    The listing's posts need a permalink, deleted authors become null and a post that comes again counts once;
+    the interface's posts fall back to their `url` and stay as they are.
+    """
+    text, at = join_parts(part("title"), part("selftext")), epoch_iso(field("created_utc"))
+    link = F.concat(F.lit("https://www.reddit.com"), F.nullif(field("permalink"), F.lit("")))
+    if keep_deleted:
+        return record(items, F.lit("reddit"), F.coalesce(link, field("url")), text, field("author"), nothing(), at, extra(subreddit="subreddit", up_votes="ups", num_comments="num_comments", over_18="over_18"))
+    author = F.when(~field("author").isin("", "[deleted]"), field("author"))
+    more = F.to_json(F.struct(*[field(c).alias(c) for c in ("subreddit", "score", "num_comments")], F.lit("reddit_json").alias("engine")))
+    return record(items, F.lit("reddit"), link, text, author, nothing(), at, more).dropDuplicates(["id"])
 
 
 def web_search(items: DataFrame) -> DataFrame:
     """Results of a search service: title and content, tagged by host, never rated."""
     text = join_parts(strip(F.coalesce(field("title"), F.lit(""))), strip(F.coalesce(field("content"), F.lit(""))))
-    return record(items, source_from_url(field("url")), field("url"), text, nothing(), nothing(), field("published_date"), extra(score="score"))
+    return record(items, source_from_url(field("url")), field("url"), text, nothing(), nothing(), field("published_date"), F.to_json(F.struct(field("score").alias("score"), F.lit("tavily").alias("engine"))))
 
 
 def web_pages(items: DataFrame, most: int = 2000) -> DataFrame:
     """Pages as text, cut at a word."""
     body = cut_at_word(strip(F.coalesce(any_text("markdown", "description"), F.lit(""))), most)
-    return record(items, source_from_url(field("url")), field("url"), join_parts(strip(F.coalesce(field("title"), F.lit(""))), body), nothing(), nothing(), nothing(), F.lit("{}"))
+    return record(items, source_from_url(field("url")), field("url"), join_parts(strip(F.coalesce(field("title"), F.lit(""))), body), nothing(), nothing(), nothing(), F.to_json(F.struct(F.lit("firecrawl").alias("engine"))))
 
 
 def trustpilot(pages: DataFrame) -> DataFrame:
@@ -211,6 +240,6 @@ DIRECT: dict[str, Callable[[DataFrame], DataFrame]] = {
 
 def mapper(name: str | None, source: str | None = None) -> Callable[[DataFrame], DataFrame]:
     key = (name or source or "normalized").strip().lower()
-    if key not in MAPPERS:
+    if key not in MAPPERS | DIRECT:
         raise ValueError(f"unknown mapper: {key}")
-    return MAPPERS[key]
+    return (MAPPERS | DIRECT)[key]

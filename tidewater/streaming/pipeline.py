@@ -22,12 +22,12 @@ POLL = "900 seconds"
 
 
 def sequenced(batch: DataFrame) -> DataFrame:
-    """Rows in their order of arrival, as far as a micro-batch tells: by capture time, then id."""
-    return batch.withColumn("seq", F.struct("captured_at", "id"))
+    """Rows in their order of arrival: the batch's own `seq`, or, as far as a micro-batch tells, capture time, then id and text."""
+    return batch if "seq" in batch.columns else batch.withColumn("seq", F.struct("captured_at", "id", "text"))
 
 
 def ingest(spark: SparkSession, batch: DataFrame, root: str, provider: Embedder | None = None) -> DataFrame:
-    """One cycle: upsert raw, enrich what is pending, upsert served. Returns the enriched rows."""
+    """One cycle: upsert raw, enrich what is pending, upsert served. Returns the enriched rows, cached: the caller lets them go."""
     raw_store, served_store = Snapshots(spark, f"{root}/raw"), Snapshots(spark, f"{root}/served")
     raw_store.write(raw_upsert(raw_store.read(RAW_SCHEMA), sequenced(batch)))
     served = served_store.read(SERVED_SCHEMA)
@@ -52,9 +52,12 @@ def run(spark: SparkSession, source: DataFrame, root: str, checkpoint: str, send
     """Start the stream: every 900 seconds, or over all that is there and then stop."""
 
     def cycle(batch: DataFrame, _: int) -> None:
-        rows = ingest(spark, batch.drop("seq"), root, provider)
-        if send:
-            notify(spark, rows, root, send)
+        rows = ingest(spark, batch, root, provider)
+        try:
+            if send:
+                notify(spark, rows, root, send)
+        finally:
+            rows.unpersist()
 
     writer = source.writeStream.foreachBatch(cycle).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=POLL)).start()
