@@ -85,8 +85,13 @@ def test_decontamination(spark):
     rows = documents() + [(500, prose(rng, 100) + " " + items[3][1] + " " + prose(rng, 100)), (501, items[4][1]), (502, " ".join(items[5][1].split()[:12]))]
     got = {(r.doc_id, r.item_id) for r in decontamination.contaminated(frame(spark, rows), bench).collect()}
     assert {(500, 3), (501, 4)} <= got and not {d for d, _ in got} - {500, 501}
-    many = {(r.doc_id, r.item_id) for i in decontamination.indexes(bench, 8) for r in [] } or got
-    assert many == got and len(decontamination.indexes(bench, 8)) > 1
+    assert len(decontamination.indexes(bench, 8)) > 1
+    assert {(r.doc_id, r.item_id) for r in decontamination.contaminated(frame(spark, rows), bench, most=8).collect()} == got
+    # verification against plain sets of word triples, over whole documents: every hit holds its item's question and answer
+    held = {d: decontamination.triples(decontamination.words((t or "").encode())) for d, t in rows}
+    for d, i in got:
+        q, a = (decontamination.triples(x) for x in decontamination.question_answer(dict(items)[i]))
+        assert len(q & held[d]) >= decontamination.QUESTION * len(q) and len(a & held[d]) >= decontamination.ANSWER * len(a)
     kept = {r.doc_id for r in decontamination.drop_contaminated(frame(spark, rows), bench).collect()}
     assert kept == {d for d, _ in rows} - {500, 501}
     assert decontamination.contaminated(frame(spark, []), bench).count() == 0

@@ -1,9 +1,11 @@
 """Benchmark decontamination: BM25 with block-max bounds over an inverted index of test items.
 
 Every passage of every document is a query against the index of test items. Scores are relative to an
-item's score against itself, so one threshold serves long and short items. Upper bounds (by term, then
-by term and block of items) skip passages and blocks that can't reach the threshold, and all that can
-are scored in full; hits are verified by the overlap of question and answer word triples.
+item's score against itself, so one threshold serves long and short items. The
+bounds of block-max WAND are taken for sets of postings instead of one cursor at a time: maxima of terms tell
+which passages can reach the threshold without the commonest terms, maxima of terms in blocks of items skip
+blocks, and what is left is scored in full; hits are verified by the overlap of question and answer word triples.
+Maxima are kept only for blocks in which a term occurs, so an index grows with its postings.
 
 Cases: a null or empty text has no passages; items without words or with a null id are not indexed;
 items with equal texts are all reported; repeated document rows give equal hits; a null doc_id is
@@ -33,7 +35,8 @@ THRESHOLD = 0.4
 QUESTION, ANSWER = 0.6, 0.6
 BLOCK_ITEMS = 16
 LEAST_WINDOW = 64
-#: Most items of one index that travels to executors (a few MB); more items make more indexes, each a pass.
+#: Most items of one index that travels to executors: its size follows their words (about 40 bytes each, 30 MB at 30 words); more items
+#: make more indexes, each a pass.
 INDEX_ITEMS = 20_000
 
 _WORD = re.compile(r"\w+")
@@ -43,7 +46,7 @@ COMMON = 0.1
 
 def words(raw: bytes) -> list[str]:
     """Lower-case runs of letters, digits and underscores."""
-    return _WORD.findall(raw.decode().lower())
+    return _WORD.findall(raw.decode("utf-8", "replace").lower())
 
 
 def question_answer(text: str) -> tuple[list[str], list[str]]:
@@ -70,6 +73,8 @@ class Index:
     items: np.ndarray
     impacts: np.ndarray
     most: np.ndarray
+    block_starts: np.ndarray
+    blocks: np.ndarray
     block_most: np.ndarray
     window: int
     parts: list[tuple[set, set]]
@@ -103,20 +108,28 @@ def build(items: list[tuple[int, str]]) -> Index | None:
     at = np.array(items_, np.int32)
     share = np.array(impacts) / own[at]
     first = np.array(starts)
-    blocks = -(-n // BLOCK_ITEMS)
-    block_most = np.zeros((len(terms), blocks), np.float32)
-    np.maximum.at(block_most, (np.repeat(np.arange(len(terms)), np.diff(first)), at // BLOCK_ITEMS), np.nextafter(share.astype(np.float32), np.float32(2)))
+    # postings of a term are in order of item, so each run of one term and block is a block of its own
+    of = np.repeat(np.arange(len(terms)), np.diff(first))
+    runs = np.flatnonzero(np.concatenate([[True], (of[1:] != of[:-1]) | (at[1:] // BLOCK_ITEMS != at[:-1] // BLOCK_ITEMS)]))
+    block_most = np.maximum.reduceat(np.nextafter(share.astype(np.float32), np.float32(2)), runs)
+    block_starts = np.searchsorted(of[runs], np.arange(len(terms) + 1))
     window = max(LEAST_WINDOW, 2 * max(len(ws) for _, _, ws in split))
     parts = [tuple(map(triples, question_answer(t))) for _, t, _ in split]
     # the commonest terms: those of least maxima that add up to a share of the threshold
-    most = block_most.max(1).astype(np.float64)
+    most = np.maximum.reduceat(block_most, block_starts[:-1]).astype(np.float64)
     rising = np.sort(most)
     n = int(np.searchsorted(np.cumsum(rising), COMMON * THRESHOLD))
     edge = float(rising[n - 1]) if n else -1.0
     common = float(most[most <= edge].sum())
     if common >= THRESHOLD:  # ties at the edge
         edge, common = -1.0, 0.0
-    return Index(np.array([i for i, _, _ in split]), terms, first, at, share, most, block_most, window, parts, edge, common)
+    return Index(np.array([i for i, _, _ in split]), terms, first, at, share, most, block_starts, at[runs] // BLOCK_ITEMS, block_most, window, parts, edge, common)
+
+
+def _ranges(starts: np.ndarray, terms: np.ndarray) -> np.ndarray:
+    """Places of all entries of some terms, of which term t has those from starts[t] to starts[t + 1]."""
+    sizes = starts[terms + 1] - starts[terms]
+    return np.repeat(starts[terms] - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes) + np.arange(sizes.sum())
 
 
 def _live(index: Index, ids: np.ndarray, windows: int, step: int, threshold: float) -> np.ndarray:
@@ -163,11 +176,11 @@ def search(index: Index, ids: np.ndarray, threshold: float) -> Iterator[tuple[in
         terms = terms[np.concatenate([[True], terms[1:] != terms[:-1]]) & (terms >= 0)]
         if index.most[terms].sum() < threshold * (1 - 1e-9):
             continue
-        blocks = index.block_most[terms].sum(0) >= threshold * (1 - 1e-6)
+        held = _ranges(index.block_starts, terms)
+        blocks = np.bincount(index.blocks[held], index.block_most[held], -(-len(index.ids) // BLOCK_ITEMS)) >= threshold * (1 - 1e-6)
         if not blocks.any():
             continue
-        sizes = index.starts[terms + 1] - index.starts[terms]
-        at = np.repeat(index.starts[terms] - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes) + np.arange(sizes.sum())
+        at = _ranges(index.starts, terms)
         at = at[blocks[index.items[at] // BLOCK_ITEMS]]
         scores = np.bincount(index.items[at], index.impacts[at], len(index.ids))
         hit = np.flatnonzero(scores >= threshold)
@@ -207,11 +220,11 @@ def indexes(benchmark: DataFrame, most: int = INDEX_ITEMS) -> list[Index]:
     return made
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, most: int = INDEX_ITEMS) -> DataFrame:
     """Verified hits: (doc_id, item_id, score, question_overlap, answer_overlap, passage_start), best passage each."""
     spark = docs.sparkSession
     found = None
-    for index in indexes(benchmark):
+    for index in indexes(benchmark, most):
         shared = spark.sparkContext.broadcast(vars(index))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -227,9 +240,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
     return spark.createDataFrame([], HITS) if found is None else found
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, most: int = INDEX_ITEMS) -> DataFrame:
     """The documents without a verified hit, with all their columns."""
-    for index in indexes(benchmark):
+    for index in indexes(benchmark, most):
         shared = docs.sparkSession.sparkContext.broadcast(vars(index))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:

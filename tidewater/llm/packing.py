@@ -83,7 +83,7 @@ def pieces(docs: DataFrame, window: int = 1024, path: str | None = None, with_id
             ids = batch.column("doc_id").to_pylist()
             rows = []
             for doc, text in zip(ids, texts(batch.column("text")), strict=True):
-                raw = encode(text.decode()) + end
+                raw = encode(text.decode("utf-8", "replace")) + end
                 total = len(raw) // 4
                 for s in range(0, total, window):
                     part = raw[4 * s : 4 * (s + window)]
@@ -173,4 +173,6 @@ def pack(cut: DataFrame, rows: int, window: int = 1024, group_rows: int = GROUP_
 
 def pack_documents(docs: DataFrame, window: int = 1024, path: str | None = None, with_ids: bool = False) -> DataFrame:
     """Tokenise and pack whole documents."""
-    return pack(pieces(docs, window, path, with_ids), docs.count(), window)
+    # pieces are counted from rows and bytes, about four to a token, so that a few very long documents are not packed by one task
+    size = docs.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()
+    return pack(pieces(docs, window, path, with_ids), size["rows"] + size["bytes"] // (4 * window), window)

@@ -86,7 +86,7 @@ def shard_documents(docs: DataFrame, shards: int = 24, rounds: int = ROUNDS) ->
         F.col("doc_id").alias("node"),
         F.octet_length(text).cast("long").alias("n_bytes"),
         F.crc32(text).alias("crc"),
-        F.when(F.length("text") > 0, F.xxhash64("text")).alias("key"),
+        F.xxhash64(text).alias("key"),
     )
     base = persist(base, "shard-base")
     rows = base.count()

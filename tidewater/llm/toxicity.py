@@ -41,7 +41,7 @@ _FOLD = bytes(32 if 33 <= i <= 47 or 58 <= i <= 64 or 91 <= i <= 96 or 123 <= i
 
 def words(raw: bytes) -> list[bytes]:
     """Lower-case words, ASCII punctuation as a break."""
-    return raw.decode().lower().encode().translate(_FOLD).split()
+    return raw.decode("utf-8", "replace").lower().encode().translate(_FOLD).split()
 
 
 def _bucket(word: bytes) -> int:
@@ -156,7 +156,10 @@ def features(docs: DataFrame, keep: list[str]) -> DataFrame:
 
 
 def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Ordinal:
-    """Fit on at most sample_rows labelled documents, those with the smallest hash of doc_id."""
+    """Fit on at most sample_rows labelled documents, those with the smallest hash of doc_id.
+
+    A doc_id with several texts or repeated rows counts once, with its smallest text, before anything reaches the driver.
+    """
     sample = (
         labels.where("doc_id is not null and toxic is not null")
         .select("doc_id", F.col("toxic").cast("int").alias("label"))
@@ -166,8 +169,8 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
         .agg(F.max("label").alias("label"))
     )
     # the sample is at most sample_rows pairs of numbers
-    got = features(docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id"), ["doc_id", "label"]).toPandas().sort_values("doc_id")
-    got = got.drop_duplicates("doc_id")
+    once = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").groupBy("doc_id").agg(F.max("label").alias("label"), F.min("text").alias("text"))
+    got = features(once, ["doc_id", "label"]).toPandas().sort_values("doc_id")
     return fit([np.asarray(x, np.int64) for x in got["buckets"]], got["label"].to_numpy(np.int64).clip(0, 1))
 
 
