@@ -82,6 +82,23 @@ def themes(reviews: DataFrame, stop: list[str], seed: int = 0) -> DataFrame:
     return named.orderBy(F.desc("mentions"), "theme").limit(6)
 
 
+def named_terms(weighted: DataFrame, sentiment: str, n: int = 5) -> DataFrame:
+    """One row (terms): the top terms of one sentiment in order, first letters raised."""
+    rows = top_terms(weighted.where(F.col("sentiment") == sentiment), n)
+    order = F.array_sort(F.collect_list(F.struct((-F.col("sum_weight")).alias("w"), "term")))
+    return rows.agg(F.transform(order, lambda x: F.concat(F.upper(F.substring(x["term"], 1, 1)), F.substring(x["term"], 2, 200))).alias("terms"))
+
+
+def report(reviews: DataFrame, stop: list[str]) -> DataFrame:
+    """`summary` with pros and cons, the terms that tell praise and complaints; where there are both, behaviour names the first of each."""
+    weighted = weights(reviews, stop)
+    pros, cons = (named_terms(weighted, s).withColumnRenamed("terms", c) for s, c in (("positive", "pros"), ("negative", "cons")))
+    # one row each
+    rows = summary(reviews).crossJoin(pros).crossJoin(cons)
+    both = F.concat(F.lit(" Praise is mostly about "), F.lower(F.get("pros", F.lit(0))), F.lit(", complaints about "), F.lower(F.get("cons", F.lit(0))), F.lit("."))
+    return rows.withColumn("behavior", F.concat("behavior", F.coalesce(both, F.lit(""))))
+
+
 def summary(reviews: DataFrame) -> DataFrame:
     """Numbers of the report and the sentence on behaviour."""
     rows = reviews.where(X.strip(F.col("text")) != "")

@@ -61,8 +61,13 @@ def pending_checks(served: DataFrame, brand: str | None = None, limit: int = 600
 
 
 def apply_verdicts(served: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """Lay verdicts (id, relevant, sentiment) over rows; star-derived sentiment stays."""
-    v = verdicts.groupBy("id").agg(F.max(F.struct("relevant", "sentiment")).alias("v"))
+    """Lay verdicts (id, relevant, sentiment) over rows; star-derived sentiment stays.
+
+    Of several verdicts on a row the last one by `seq` holds; without that column the largest, so that runs repeat.
+    """
+    said = F.struct("relevant", "sentiment")
+    last = F.max_by(said, F.struct("seq", said)) if "seq" in verdicts.columns else F.max(said)
+    v = verdicts.groupBy("id").agg(last.alias("v"))
     rows = served.join(v, "id", "left")
     judged = F.col("v").isNotNull()
     return rows.withColumns(
@@ -136,5 +141,7 @@ def append_run(spark: SparkSession, path: str, brand: str, sources: list[str], r
     row.select("brand", "sources", "reviews_found", "status", ms.cast("int").alias("duration_ms"), F.to_timestamp("started").alias("started_at"), F.to_timestamp("finished").alias("finished_at")).write.mode("append").parquet(path)
 
 
-def runs(history: DataFrame, limit: int = 50) -> DataFrame:
-    return history.orderBy(F.desc("started_at"), "brand").limit(max(1, min(limit, 200)))
+def runs(history: DataFrame, limit: int = 50, brand: str | None = None) -> DataFrame:
+    """The newest runs, of all brands or of one; the limit is the feature."""
+    rows = history if brand is None else history.where(F.col("brand").ilike(brand))
+    return rows.orderBy(F.desc("started_at"), "brand").limit(max(1, min(limit, 200)))

@@ -553,6 +553,30 @@ def qc_apply_verdicts(spark, d):
     return store.apply_verdicts(rows, verdicts).select("id", "relevant", "sentiment", "qc_checked")
 
 
+@query("""SELECT id, CASE WHEN doc_id % 3 = 0 THEN doc_id % 2 = 0 ELSE relevant END AS relevant, CASE WHEN doc_id % 3 = 0 AND rating IS NULL THEN 'negative' ELSE sentiment END AS sentiment FROM reviews""")
+def qc_last_verdict(spark, d):
+    rows = reviews(spark, d)
+    first = rows.where("doc_id % 3 = 0").select("id", F.lit(True).alias("relevant"), F.lit("positive").alias("sentiment"), F.lit(1).alias("seq"))
+    last = rows.where("doc_id % 3 = 0").select("id", (F.col("doc_id") % 2 == 0).alias("relevant"), F.lit("negative").alias("sentiment"), F.lit(2).alias("seq"))
+    return store.apply_verdicts(rows, last.unionByName(first)).select("id", "relevant", "sentiment")
+
+
+_HISTORY = "SELECT brand, string_agg(DISTINCT source, ', ' ORDER BY source) AS sources, CAST(count(*) AS INTEGER) AS reviews_found, 'ok' AS status, max(created_at) AS started_at FROM reviews WHERE created_at IS NOT NULL GROUP BY brand"
+
+
+def _runs(name: str, where: str, limit: int, brand: str | None) -> None:
+    @query(f"SELECT * FROM ({_HISTORY}) WHERE {where} ORDER BY started_at DESC, brand LIMIT {limit}", name)
+    def run(spark, d):
+        sources = F.array_join(F.array_sort(F.collect_set("source")), ", ").alias("sources")
+        rows = reviews(spark, d).where("created_at is not null").groupBy("brand")
+        history = rows.agg(sources, F.count("*").cast("int").alias("reviews_found"), F.lit("ok").alias("status"), F.max("created_at").alias("started_at"))
+        return store.runs(history, limit, brand)
+
+
+_runs("runs_list", "true", 10, None)
+_runs("runs_list_brand", "brand ILIKE 'brand#1_'", 50, "brand#1_")
+
+
 _REPLIES = [(["r0", "r1", "r2"], '{"items": [{"i": 0, "relevant": true, "sentiment": "Positive"}, {"i": "1", "relevant": false, "sentiment": "bad"}, {"i": 9, "relevant": true}, {"i": "x", "relevant": true}, {"i": 2, "relevant": "no", "sentiment": null}]}'), (["s0"], "not json")]
 
 
@@ -568,11 +592,12 @@ def enrich_pending(spark, d):
     return store.pending_enrichment(rows, served).select("id", "brand")
 
 
-@query("SELECT id, sentiment FROM reviews WHERE doc_id % 4 = 1 AND rating IS NOT NULL")
+@query(f"""WITH v AS (SELECT {_VALENCE} AS m), s AS (SELECT id, rating, sentiment, coalesce(list_sum(list_transform({_WORDS}, lambda w: coalesce(v.m[w], 0.0::DOUBLE))), 0.0::DOUBLE) AS x FROM reviews, v WHERE doc_id % 4 = 1)
+    SELECT id, CASE WHEN rating IS NOT NULL THEN sentiment WHEN x / sqrt(x * x + 15) > 0.3 THEN 'positive' WHEN x / sqrt(x * x + 15) < -0.3 THEN 'negative' ELSE 'neutral' END AS sentiment FROM s""")
 def enriched(spark, d):
     rows = reviews(spark, d)
     served = rows.where("doc_id % 4 <> 1").withColumn("embedding", F.lit(None).cast("array<float>"))
-    return enrich.enriched(rows.drop("sentiment", "relevant", "qc_checked"), served).where("rating is not null").select("id", "sentiment")
+    return enrich.enriched(rows.drop("sentiment", "relevant", "qc_checked"), served).select("id", "sentiment")
 
 
 @query("""WITH f AS (SELECT * FROM reviews WHERE doc_id % 4 = 1), k AS (SELECT count(DISTINCT id) AS new_ids FROM f)
@@ -695,3 +720,15 @@ def _pct(c: str) -> str:
         WHEN negative > positive THEN 'Complaints outnumber praise.' ELSE 'Praise and complaints are close to even.' END AS behavior FROM f""")
 def insights_summary(spark, d):
     return insights.summary(R.sample(reviews(spark, d), BRAND))
+
+
+def _named(label: str, column: str) -> str:
+    return f"SELECT coalesce(string_agg(upper(term[1]) || term[2:], ', ' ORDER BY sum_weight DESC, term), '') AS {column}, coalesce(first(term ORDER BY sum_weight DESC, term), '') AS {column}_first FROM ({_top(label)})"
+
+
+@query(_terms_sql(f""", facts AS (SELECT {_BLOCK.replace("AS total", "AS reviews")} FROM (SELECT * FROM reviews WHERE brand ILIKE '{BRAND}' AND text IS NOT NULL ORDER BY {_NEWEST} LIMIT 60) WHERE trim(text) <> ''), praise AS ({_named("positive", "pros")}), blame AS ({_named("negative", "cons")})
+    SELECT facts.*, {_pct("positive")}, {_pct("neutral")}, {_pct("negative")}, pros, cons, CASE WHEN positive > 2 * negative THEN 'Praise outweighs complaints by more than two to one.' WHEN negative > positive THEN 'Complaints outnumber praise.'
+        ELSE 'Praise and complaints are close to even.' END || CASE WHEN pros <> '' AND cons <> '' THEN ' Praise is mostly about ' || lower(pros_first) || ', complaints about ' || lower(cons_first) || '.' ELSE '' END AS behavior FROM facts, praise, blame"""), base=False)
+def insights_report(spark, d):
+    rows = insights.report(R.sample(reviews(spark, d), BRAND), insights.stop_words(BRAND))
+    return rows.withColumns({c: F.array_join(c, ", ") for c in ("pros", "cons")})
