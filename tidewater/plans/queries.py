@@ -367,13 +367,13 @@ def unwrap_payload(spark, d):
 
 
 _ITEMS = {
-    "google_maps": ['{"text": "Great beans", "reviewUrl": "https://maps/r1", "stars": 5, "name": "Ana", "publishedAtDate": "2024-01-02"}', '{"text": "", "reviewText": "Slow", "url": "https://maps/r2", "stars": 0, "rating": 2, "reviewerName": "Bo", "publishAt": "2 weeks ago"}', '{"stars": 4, "url": "u"}', '{"text": "no link"}'],
-    "yelp": ['{"text": "ok", "url": "https://y/1", "rating": 4, "userName": "C", "date": "2024-02-02"}', '{"comment": "meh", "reviewUrl": "https://y/2", "stars": "2.5", "author": "D"}', '{"text": "   ", "url": "https://y/3"}'],
-    "tripadvisor": ['{"text": "view", "url": "https://t/1", "rating": "4", "user": {"username": "E"}, "publishedDate": "2023-03-03"}', '{"review": "loud", "url": "https://t/2", "userName": "F"}', '{"text": "gone"}'],
-    "reddit": ['{"title": "T", "body": "B", "url": "https://r/1", "username": "g", "createdAt": "2024-04-04"}', '{"text": "only", "link": "https://r/2", "author": "h"}', '{"title": "lone", "url": "https://r/3"}', '{"body": "x"}'],
-    "instagram": ['{"caption": "pic", "url": "https://i/1", "ownerUsername": "k", "timestamp": "2024-05-05"}', '{"text": "txt", "postUrl": "https://i/2", "ownerFullName": "L", "takenAtDate": "2024-05-06"}', '{"caption": "x"}'],
-    "facebook": ['{"text": "p", "url": "https://f/1", "authorName": "M", "time": "2024-06-06"}', '{"message": "q", "postUrl": "https://f/2", "user": {"name": "N"}, "date": "2024-06-07"}', '{"postText": "r", "topLevelUrl": "https://f/3", "timestamp": "2024-06-08", "pageName": "O"}', '{"text": "s"}'],
-    "web": ['{"organicResults": [{"url": "https://www.reddit.com/r/x", "title": " A ", "description": "d1", "websiteTitle": "Reddit", "averageRating": 4.5}, {"url": "https://blog.example/", "title": "B", "description": ""}, {"title": "no url"}]}', '{"url": "https://youtu.be/1", "title": "V", "description": "w", "date": "2024-07-07"}'],
+    "google_maps": ['{"text": "Great beans", "reviewUrl": "https://maps/r1", "stars": 5, "name": "Ana", "publishedAtDate": "2024-01-02", "title": "Cafe"}', '{"text": "", "reviewText": "Slow", "url": "https://maps/r2", "stars": 0, "rating": 2, "reviewerName": "Bo", "publishAt": "2 weeks ago", "title": "", "placeName": "Bar"}', '{"stars": 4, "url": "u"}', '{"text": "no link"}'],
+    "yelp": ['{"text": "ok", "url": "https://y/1", "rating": 4, "userName": "C", "date": "2024-02-02", "bizName": "Biz"}', '{"comment": "meh", "reviewUrl": "https://y/2", "stars": "2.5", "author": "D"}', '{"text": "   ", "url": "https://y/3"}'],
+    "tripadvisor": ['{"text": "view", "url": "https://t/1", "rating": "4", "user": {"username": "E"}, "publishedDate": "2023-03-03", "placeName": "Inn"}', '{"review": "loud", "url": "https://t/2", "userName": "F"}', '{"text": "gone"}'],
+    "reddit": ['{"title": "T", "body": "B", "url": "https://r/1", "username": "g", "createdAt": "2024-04-04", "communityName": "r/a", "upVotes": 7, "numberOfComments": 2, "dataType": "post"}', '{"text": "only", "link": "https://r/2", "author": "h", "parsedCommunityName": "b"}', '{"title": "lone", "url": "https://r/3"}', '{"body": "x"}'],
+    "instagram": ['{"caption": "pic", "url": "https://i/1", "ownerUsername": "k", "timestamp": "2024-05-05", "likesCount": 3, "commentsCount": 0, "hashtag": "x", "type": "Image"}', '{"text": "txt", "postUrl": "https://i/2", "ownerFullName": "L", "takenAtDate": "2024-05-06", "inputUrl": "https://i/tag"}', '{"caption": "x"}'],
+    "facebook": ['{"text": "p", "url": "https://f/1", "authorName": "M", "time": "2024-06-06", "likes": 1, "comments": 2, "shares": 3}', '{"message": "q", "postUrl": "https://f/2", "user": {"name": "N"}, "date": "2024-06-07"}', '{"postText": "r", "topLevelUrl": "https://f/3", "timestamp": "2024-06-08", "pageName": "O"}', '{"text": "s"}'],
+    "web": ['{"organicResults": [{"url": "https://www.reddit.com/r/x", "title": " A ", "description": "d1", "websiteTitle": "Reddit", "averageRating": 4.5, "position": 1, "displayedUrl": "reddit.com", "numberOfReviews": 8, "lastUpdated": "2024-07-01"}, {"url": "https://blog.example/", "title": "B", "description": ""}, {"title": "no url"}]}', '{"url": "https://youtu.be/1", "title": "V", "description": "w", "date": "2024-07-07"}'],
     "normalized": ['{"text": "a", "source_url": "https://n/1", "author": "P", "rating": 3, "created_at": "2024-08-08", "lang": "en"}', '{"review": "b", "link": "https://n/2", "name": "Q", "stars": "5", "date": "2024-08-09"}', '{"description": "c", "reviewUrl": "https://n/3"}', '{"text": "d"}'],
 }
 
@@ -400,18 +400,38 @@ _MAPS = {
 }
 
 
+#: SQL of the fields that go to `extra`.
+_EXTRAS = {
+    "google_maps": {"place": _any("title", "placeName")},
+    "yelp": {"business": _one("bizName")},
+    "tripadvisor": {"place": _one("placeName")},
+    "reddit": {"subreddit": _any("communityName", "parsedCommunityName"), "up_votes": _one("upVotes"), "num_comments": _one("numberOfComments"), "data_type": _one("dataType")},
+    "instagram": {"likes": _one("likesCount"), "comments": _one("commentsCount"), "hashtag": _any("hashtag", "inputUrl"), "type": _one("type")},
+    "facebook": {"likes": _one("likes"), "comments": _one("comments"), "shares": _one("shares")},
+    "web": {"position": _one("position"), "website_title": _one("websiteTitle"), "displayed_url": _one("displayedUrl"), "number_of_reviews": _one("numberOfReviews"), "last_updated": _one("lastUpdated")},
+    "normalized": {k: _one(k) for k in ("lang", "created_at", "review", "link", "name", "stars", "date", "description", "reviewUrl")},
+}
+
+
+def shown(rows: DataFrame, extras: dict) -> DataFrame:
+    """Mapped rows with the named fields of `extra` as columns."""
+    return rows.select("*", *[F.get_json_object("extra", f"$.{k}").alias(f"extra_{k}") for k in extras]).drop("extra")
+
+
 def _map(name: str) -> None:
     source, url, text, author, rating, created = _MAPS[name]
     items = lit_sql([(i,) for i in _ITEMS[name]], ["item"])
     if name == "web":
         items = f"(SELECT unnest(CASE WHEN json_type(item, '$.organicResults') = 'ARRAY' THEN CAST(json_extract(item, '$.organicResults[*]') AS VARCHAR[]) ELSE [item] END) AS item FROM {items})"
-    sql = f"""WITH m AS (SELECT {source} AS source, coalesce({url}, '') AS source_url, {author} AS author, TRY_CAST(trim({rating}) AS DOUBLE) AS rating, {text} AS text, {created} AS created_at FROM {items})
-        SELECT sha256('Acme|' || source || '|' || source_url || '|' || text) AS id, 'Acme' AS brand, source, source_url, author, rating, text, created_at FROM m WHERE source_url <> '' AND trim(text) <> ''"""
+    facts = ", ".join(f"{v} AS extra_{k}" for k, v in _EXTRAS[name].items())
+    ended = ", ".join(f"extra_{k}" for k in _EXTRAS[name])
+    sql = f"""WITH m AS (SELECT {source} AS source, coalesce({url}, '') AS source_url, {author} AS author, TRY_CAST(trim({rating}) AS DOUBLE) AS rating, {text} AS text, {created} AS created_at, {facts} FROM {items})
+        SELECT sha256('Acme|' || source || '|' || source_url || '|' || text) AS id, 'Acme' AS brand, source, source_url, author, rating, text, created_at, {ended} FROM m WHERE source_url <> '' AND trim(text) <> ''"""
 
     @query(sql, "map_web_serp" if name == "web" else f"map_{name}", base=False)
     def run(spark, d):
         rows = spark.createDataFrame([("Acme", "partner", i) for i in _ITEMS[name]], "brand string, source string, item string")
-        return mappers.mapper(name)(rows).drop("extra")
+        return shown(mappers.mapper(name)(rows), _EXTRAS[name])
 
 
 for _m in _MAPS:
@@ -478,10 +498,9 @@ def _map_direct(name: str) -> None:
 
     @query(sql, f"map_{name}", base=False)
     def run(spark, d):
-        shown = ['{"feed": {"entry": [' + ", ".join(texts) + "]}}"] if name == "app_store" else texts
-        rows = spark.createDataFrame([("Acme", t) for t in shown], "brand string, item string").withColumns({k: F.lit(v) for k, v in beside.items()})
-        got = mappers.mapper(name)(rows)
-        return got.select("*", *[F.get_json_object("extra", f"$.{k}").alias(f"extra_{k}") for k in extras]).drop("extra")
+        items = ['{"feed": {"entry": [' + ", ".join(texts) + "]}}"] if name == "app_store" else texts
+        rows = spark.createDataFrame([("Acme", t) for t in items], "brand string, item string").withColumns({k: F.lit(v) for k, v in beside.items()})
+        return shown(mappers.mapper(name)(rows), extras)
 
 
 for _m in _DIRECT:
