@@ -55,12 +55,12 @@ def top_terms(weighted: DataFrame, n: int = 5) -> DataFrame:
 
 
 def themes(reviews: DataFrame, stop: list[str], seed: int = 0) -> DataFrame:
-    """Clusters of a sample with top term, size and majority sentiment, largest first, at most six.
+    """Clusters of a sample with top term, size, majority sentiment and a sentence on them, largest first, at most six.
 
     k is max(2, min(6, n // 12 or 2, features)); samples under four rows or two terms have no themes.
     """
     spark = reviews.sparkSession
-    schema = "theme int, name string, mentions long, sentiment string"
+    schema = "theme int, name string, mentions long, sentiment string, description string"
     # a bounded sample: its terms (at most FEATURES) number the vector's places
     weighted = weights(reviews, stop).cache()
     vocabulary = [r["term"] for r in weighted.select("term").distinct().orderBy("term").collect()]
@@ -76,9 +76,11 @@ def themes(reviews: DataFrame, stop: list[str], seed: int = 0) -> DataFrame:
     facts = labelled.groupBy("theme").agg(F.count("*").alias("mentions"), *[F.count_if(F.col("sentiment") == s).alias(s) for s in ("positive", "neutral", "negative")])
     best = labelled.select("id", "theme").join(weighted.select("id", "term", "weight"), "id").groupBy("theme", "term").agg(F.sum("weight").alias("w"))
     first = Window.partitionBy("theme").orderBy(F.round("w", 6).desc(), "term")
-    best = best.withColumn("_n", F.row_number().over(first)).where("_n = 1").select("theme", F.initcap(F.substring("term", 1, 1)).alias("_a"), "term")
+    best = best.withColumn("_n", F.row_number().over(first)).where("_n <= 3").groupBy("theme").agg(F.array_sort(F.collect_list(F.struct("_n", "term")))["term"].alias("terms"))
     tone = F.when((F.col("positive") >= F.col("neutral")) & (F.col("positive") >= F.col("negative")), "positive").when(F.col("neutral") >= F.col("negative"), "neutral").otherwise("negative")
-    named = facts.join(best, "theme").select("theme", F.concat("_a", F.substring("term", 2, 200)).alias("name"), "mentions", tone.alias("sentiment"))
+    lead = F.element_at("terms", 1)
+    said = F.concat(F.lit("About "), F.col("mentions").cast("string"), F.lit(" reviews, most often on "), F.array_join("terms", ", "), F.lit("; mostly "), tone, F.lit("."))
+    named = facts.join(best, "theme").select("theme", F.concat(F.upper(F.substring(lead, 1, 1)), F.substring(lead, 2, 200)).alias("name"), "mentions", tone.alias("sentiment"), said.alias("description"))
     return named.orderBy(F.desc("mentions"), "theme").limit(6)
 
 
