@@ -207,7 +207,7 @@ def phrase_counts(docs: DataFrame, max_n: int = 5, least: int = 100) -> tuple[Da
     every = levels[0]
     for level in levels[1:]:
         every = every.unionAll(level)
-    return every, total
+    return persist(every, "phrases"), total
 
 
 def collocations(docs: DataFrame, max_n: int = 5, least: int = 100, top: int = 2000) -> DataFrame:
