@@ -1,11 +1,12 @@
 """Upserts, snapshots, alerts and the stream."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from tidewater.functions.schema import RAW_SCHEMA, SERVED_SCHEMA, content_key
+from tidewater.functions.schema import RAW_SCHEMA, content_key
 from tidewater.operators import alerts, enrich, report, store
 from tidewater.operators import reviews as R
 from tidewater.streaming import pipeline
@@ -28,14 +29,6 @@ def test_last_row_wins_and_repeats_change_nothing(spark):
     assert sorted(map(str, store.raw_upsert(once, batch).collect())) == sorted(map(str, once.collect()))
 
 
-def test_snapshots(spark, tmp_path):
-    s = store.Snapshots(spark, str(tmp_path / "t"))
-    assert s.read() is None and s.read(RAW_SCHEMA).count() == 0
-    s.write(raw(spark, ("1", "x", 1.0, "t", "a")))
-    s.write(s.read().unionAll(raw(spark, ("2", "x", 1.0, "t", "a"))))
-    assert s.read().count() == 2 and len(s.versions()) == 2
-
-
 def test_alert_passes(spark):
     rows = spark.createDataFrame([(f"i{k}", "A" if k < 8 else "B", "negative", f"2024-01-{k + 1:02d}", "t", "web", "u", 1.0) for k in range(10)] + [("p", "A", "positive", "x", "t", "web", "u", 5.0)], "id string, brand string, sentiment string, captured_at string, text string, source string, source_url string, rating double")
     none, seen = spark.createDataFrame([], "id string"), spark.createDataFrame([], "brand string")
@@ -96,7 +89,7 @@ def test_stream_equals_batch(spark, tmp_path):
     (folder / "b.json").write_text("\n".join(json.dumps(review(k, f"t{k}")) for k in (3, 5)))
     go()
     assert [(x[1], x[2]) for x in sent[1:]] == [("alert", "r5")]
-    served = store.Snapshots(spark, str(tmp_path / "store/served")).read(SERVED_SCHEMA)
+    served = pipeline.Store(spark, str(tmp_path / "store")).served.read()
     assert sorted((r.id, r.sentiment) for r in served.collect()) == [("r1", "negative"), ("r2", "positive"), ("r3", "negative"), ("r5", "negative")]
     assert served.where("qc_checked").count() == 0 and content_key is not None
 
@@ -117,3 +110,25 @@ def test_state_of_the_alert_stream(spark, tmp_path):
     assert go() == [("baseline", "", 2)]
     (folder / "b.json").write_text("\n".join(row(k) for k in range(2, 10)))
     assert go() == [("alert", f"n{k}", 1) for k in range(5, 10)] + [("baseline", "", 2), ("overflow", "", 2)]
+
+
+def test_alert_stream_of_one_brand_equals_the_batch(spark, tmp_path):
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    rng, schema = random.Random(8), "id string, brand string, sentiment string, captured_at string"
+    folder, made = tmp_path / "in", []
+    folder.mkdir()
+    alerted, seen = spark.createDataFrame([], "id string"), spark.createDataFrame([], "brand string")
+    want = []
+    for part in range(3):
+        rows = [(f"n{rng.randrange(900)}", None if part == 1 and k % 40 == 0 else "A", rng.choice(["negative", "positive"]), rng.choice([None, f"2024-{1 + part:02d}-{1 + k % 28:02d}"])) for k in range(400)]
+        known = {r[0]: r for r in made + rows}
+        rows = [(i, *known[i][1:]) for i, *_ in rows]  # an id has one brand and time
+        made += rows
+        frame = spark.createDataFrame(rows, schema)
+        want += [tuple(r) for r in alerts.plan(frame, alerted, seen).collect()]
+        alerted, seen = (spark.createDataFrame(x.collect(), x.schema) for x in alerts.remember(frame, alerted, seen))
+        (folder / f"{part}.json").write_text("\n".join(json.dumps(dict(zip(("id", "brand", "sentiment", "captured_at"), r, strict=True))) for r in rows))
+        source = spark.readStream.schema(schema).json(str(folder))
+        pipeline.alert_stream(source).writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "cp")).option("path", str(tmp_path / "out")).trigger(availableNow=True).start().awaitTermination()
+    got = [tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).select("brand", "kind", "id", "n").collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr)

@@ -62,12 +62,3 @@ into is it its itself me more most my no nor not of off on once only or other ou
 such than that the their them then there these they this those through to too under until up very was we were what when
 where which while who whom why will with you your
 """.split()
-
-#: A small lexicon of our own; valence from -4 to 4. Replace it by a table for real use.
-LEXICON = {
-    "amazing": 3.0, "awesome": 3.0, "awful": -3.0, "bad": -2.5, "best": 3.0, "boring": -1.5, "broken": -2.0, "clean": 1.5,
-    "delicious": 2.5, "dirty": -2.0, "disappointed": -2.0, "easy": 1.5, "excellent": 3.0, "fast": 1.5, "fraud": -3.0,
-    "friendly": 2.0, "good": 2.0, "great": 3.0, "hate": -3.0, "helpful": 2.0, "horrible": -3.0, "idiot": -3.0, "late": -1.0,
-    "love": 3.0, "moron": -3.0, "nice": 2.0, "pathetic": -2.5, "perfect": 3.0, "poor": -2.0, "recommend": 2.0, "rude": -2.5,
-    "scam": -3.0, "scum": -3.0, "slow": -1.5, "stupid": -2.5, "terrible": -3.0, "trash": -2.5, "useless": -2.5, "worst": -3.0,
-}

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import html
+
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tidewater.functions.taxonomy import CATEGORIES, GENERIC_BRAND_WORDS, HOSTS, LEXICON, OTHER, SOURCES
+from tidewater.functions.taxonomy import CATEGORIES, GENERIC_BRAND_WORDS, HOSTS, OTHER, SOURCES
+from tidewater.functions.valence import compound
 
 WORD = r"[\p{L}\p{N}_]{2,}"
 
@@ -88,12 +93,15 @@ def slug(text: Column) -> Column:
     return F.when(made == "", F.lit("all")).otherwise(made)
 
 
+@F.arrow_udf(T.StringType())
+def unescaped(texts: pa.Array) -> pa.Array:
+    """Named and numeric entities as the characters they stand for."""
+    return pa.array([html.unescape(t) if t and "&" in t else t for t in texts.to_pylist()], pa.string())
+
+
 def plain_text(markup: Column) -> Column:
-    """Text of simple HTML: tags to spaces, white space collapsed, the common entities decoded, ends stripped."""
-    flat = F.regexp_replace(F.regexp_replace(markup, "<[^>]+>", " "), r"(?U)\s+", " ")
-    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&#x27;", "'"), ("&apos;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
-        flat = F.replace(flat, F.lit(entity), F.lit(char))
-    return strip(flat)
+    """Text of simple HTML: tags to spaces, white space collapsed, entities decoded, ends stripped."""
+    return strip(unescaped(F.regexp_replace(F.regexp_replace(markup, "<[^>]+>", " "), r"(?U)\s+", " ")))
 
 
 def star_sentiment(rating: Column) -> Column:
@@ -104,21 +112,14 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))
 
 
-def compound(text: Column, lexicon: dict[str, float] | None = None) -> Column:
-    """Summed valence x of lexicon words as x / sqrt(x * x + 15)."""
-    valence = F.create_map(*[F.lit(v) for pair in (lexicon or LEXICON).items() for v in pair])
-    total = F.aggregate(words(F.coalesce(text, F.lit(""))), F.lit(0.0), lambda sum_, w: sum_ + F.coalesce(F.element_at(valence, w), F.lit(0.0)))
-    return total / F.sqrt(total * total + 15)
-
-
-def text_sentiment(text: Column) -> Column:
-    score = compound(text)
+def text_sentiment(text: Column, lexicon: dict[str, float] | None = None) -> Column:
+    score = compound(text, lexicon)
     return F.when(score > 0.3, "positive").when(score < -0.3, "negative").otherwise("neutral")
 
 
-def sentiment(rating: Column, text: Column) -> Column:
+def sentiment(rating: Column, text: Column, lexicon: dict[str, float] | None = None) -> Column:
     """Stars decide where there are any, else the words."""
-    return F.coalesce(star_sentiment(rating), text_sentiment(text))
+    return F.coalesce(star_sentiment(rating), text_sentiment(F.when(rating.isNull(), text), lexicon))
 
 
 def embed_text(text: Column, most: int = 8000) -> Column:

@@ -45,17 +45,18 @@ def embed(rows: DataFrame, provider: Embedder | None = None, text: str = "text")
         for batch in batches:
             texts = batch.column("_prepared").to_pylist()
             parts = [np.asarray(call(texts[s : s + CALL_TEXTS]), np.float32) for s in range(0, len(texts), CALL_TEXTS)]
-            made = pa.array([v for p in parts for v in p], pa.list_(pa.float32()))
+            vectors = np.concatenate(parts) if parts else np.zeros((0, 0), np.float32)
+            made = pa.ListArray.from_arrays(pa.array(np.arange(len(vectors) + 1) * vectors.shape[1], pa.int32()), pa.array(vectors.ravel()))
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], made], [*names, "embedding"])
 
     schema = prepared.select(*names).schema.add("embedding", T.ArrayType(T.FloatType()))
     return prepared.select(*names, "_prepared").mapInArrow(run, schema)
 
 
-def enriched(raw: DataFrame, served: DataFrame, provider: Embedder | None = None) -> DataFrame:
+def enriched(raw: DataFrame, served: DataFrame, provider: Embedder | None = None, lexicon: dict[str, float] | None = None) -> DataFrame:
     """Pending raw rows in the served shape: one set-based pass instead of small batches."""
     pending = pending_enrichment(raw, served)
-    scored = pending.withColumn("sentiment", X.sentiment(F.col("rating"), F.col("text")))
+    scored = pending.withColumn("sentiment", X.sentiment(F.col("rating"), F.col("text"), lexicon))
     rows = embed(scored, provider).withColumn("relevant", F.lit(None).cast("boolean")).withColumn("qc_checked", F.lit(False))
     return rows.select([c for c in served.columns if c in rows.columns])
 

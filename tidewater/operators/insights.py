@@ -7,8 +7,8 @@ from __future__ import annotations
 
 import re
 
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -54,25 +54,64 @@ def top_terms(weighted: DataFrame, n: int = 5) -> DataFrame:
     return rows.where("sum_weight > 0").orderBy(F.desc("sum_weight"), "term").limit(n)
 
 
-def themes(reviews: DataFrame, stop: list[str], seed: int = 0) -> DataFrame:
+#: Rounds of means at most; they end earlier where no review changes its theme.
+ROUNDS = 12
+#: Weights as whole numbers, so that distances are exact and themes the same on every engine.
+UNIT = 10_000
+
+
+def theme_count(n: int, features: int) -> int:
+    return max(2, min(6, n // 12 or 2, features))
+
+
+def grouped(weights: np.ndarray, k: int, rounds: int = ROUNDS) -> np.ndarray:
+    """The theme of each row of whole weights (rows in order of id).
+
+    Starts: the first row, then again and again the row farthest from its nearest start. Then each row goes to
+    the nearest mean, until none moves. Ties go to the earlier row or theme; a theme without rows is gone.
+    """
+    own = (weights * weights).sum(1)
+    starts = [0]
+    while len(starts) < k:
+        apart = own[:, None] + own[starts] - 2 * weights @ weights[starts].T
+        starts.append(int(apart.min(1).argmax()))
+    theme = (own[starts] - 2 * weights @ weights[starts].T).argmin(1)
+    for _ in range(rounds):
+        count = np.bincount(theme, minlength=k)
+        held = np.flatnonzero(count)
+        sums = np.stack([weights[theme == j].sum(0) for j in held])
+        # squared distance to a mean, without the row's own part, in thousandths
+        far = 1000 * ((sums * sums).sum(1) - 2 * count[held] * (weights @ sums.T)) // count[held] ** 2
+        now = held[far.argmin(1)]
+        if (now == theme).all():
+            break
+        theme = now
+    return theme
+
+
+def themes(reviews: DataFrame, stop: list[str]) -> DataFrame:
     """Clusters of a sample with top term, size, majority sentiment and a sentence on them, largest first, at most six.
 
-    k is max(2, min(6, n // 12 or 2, features)); samples under four rows or two terms have no themes.
+    k is max(2, min(6, n // 12 or 2, features)); samples under four rows or two terms have no themes. The sample
+    is bounded (the limit is the feature): its rows and at most FEATURES terms are grouped in one task.
     """
-    spark = reviews.sparkSession
-    schema = "theme int, name string, mentions long, sentiment string, description string"
-    # a bounded sample: its terms (at most FEATURES) number the vector's places
     weighted = weights(reviews, stop).cache()
-    vocabulary = [r["term"] for r in weighted.select("term").distinct().orderBy("term").collect()]
-    rows = reviews.where(X.strip(F.col("text")) != "").select("id", "sentiment").cache()
-    n = rows.count()
-    if n < 4 or len(vocabulary) < 2:
-        return spark.createDataFrame([], schema)
-    held = F.map_from_entries(F.collect_list(F.struct("term", "weight"))).alias("held")
-    dense = F.transform(F.array(*map(F.lit, vocabulary)), lambda t: F.coalesce(F.element_at("held", t), F.lit(0.0)))
-    vectors = rows.join(weighted.groupBy("id").agg(held), "id", "left").withColumn("features", array_to_vector(dense))
-    k = max(2, min(6, n // 12 or 2, len(vocabulary)))
-    labelled = KMeans(k=k, seed=seed, initSteps=5, maxIter=50).fit(vectors.repartition(1, "id").sortWithinPartitions("id")).transform(vectors).select("id", "sentiment", F.col("prediction").alias("theme"))
+    rows = reviews.where(X.strip(F.col("text")) != "").select("id", "sentiment").dropDuplicates(["id"])
+    whole = F.round(F.col("weight") * UNIT).cast("long")
+    held = weighted.groupBy("id").agg(F.collect_list(F.struct("term", whole.alias("w"))).alias("held"))
+    one = rows.join(held, "id", "left").withColumn("all", F.lit(0))
+
+    def cluster(sample: pa.Table) -> pa.Table:
+        sample = sample.sort_by("id")
+        terms = [{t["term"]: t["w"] for t in row or []} for row in sample.column("held").to_pylist()]
+        vocabulary = sorted({t for row in terms for t in row})
+        names = sample.select(["id", "sentiment"])
+        if len(terms) < 4 or len(vocabulary) < 2:
+            return names.slice(0, 0).append_column("theme", pa.array([], pa.int32()))
+        matrix = np.array([[row.get(t, 0) for t in vocabulary] for row in terms], np.int64)
+        return names.append_column("theme", pa.array(grouped(matrix, theme_count(*matrix.shape)).astype(np.int32)))
+
+    labelled = one.groupBy("all").applyInArrow(cluster, "id string, sentiment string, theme int")
     facts = labelled.groupBy("theme").agg(F.count("*").alias("mentions"), *[F.count_if(F.col("sentiment") == s).alias(s) for s in ("positive", "neutral", "negative")])
     best = labelled.select("id", "theme").join(weighted.select("id", "term", "weight"), "id").groupBy("theme", "term").agg(F.sum("weight").alias("w"))
     first = Window.partitionBy("theme").orderBy(F.round("w", 6).desc(), "term")

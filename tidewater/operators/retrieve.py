@@ -21,13 +21,18 @@ def cosine(vector: Column, query: list[float]) -> Column:
 
 def scored(reviews: DataFrame, query: list[float], brand: str | None = None) -> DataFrame:
     rows = scope(reviews, brand).where("embedding is not null")
-    return rows.withColumn("score", F.round(cosine(F.col("embedding"), query), 6)).where("score is not null")
+    return with_score(rows, query)
+
+
+def with_score(rows: DataFrame, query: list[float]) -> DataFrame:
+    """Adds `exact`, by which rows are ordered, and `score`, which is shown."""
+    return rows.withColumn("exact", cosine(F.col("embedding"), query)).where("exact is not null").withColumn("score", F.round("exact", 6))
 
 
 def nearest(reviews: DataFrame, query: list[float], brand: str | None = None, k: int = 8) -> DataFrame:
     """The k nearest, exactly: a scan and a top-k, no shuffle of the table."""
-    rows = scored(reviews, query, brand).orderBy(F.desc("score"), "id").limit(k)
-    return rows.select("id", "brand", "source", "source_url", "author", "rating", "sentiment", "text", "score")
+    rows = scored(reviews, query, brand).orderBy(F.desc("exact"), "id").limit(k)
+    return rows.select("id", "brand", "source", "source_url", "author", "rating", "sentiment", "text", "score", "exact")
 
 
 def nearest_of_brands(reviews: DataFrame, query: list[float], brands: list[str], k: int = 8) -> DataFrame:
@@ -36,10 +41,10 @@ def nearest_of_brands(reviews: DataFrame, query: list[float], brands: list[str],
     # one scan, whatever the number of brands; a review may belong to several of them, as names may hold wildcards
     wanted = F.filter(F.array(*[F.when(F.col("brand").ilike(b), F.lit(i)) for i, b in enumerate(brands)]), lambda i: i.isNotNull())
     rows = scored(reviews.where(F.size(wanted) > 0), query).withColumn("brand_no", F.explode(wanted))
-    place = F.row_number().over(Window.partitionBy("brand_no").orderBy(F.desc("score"), "id"))
+    place = F.row_number().over(Window.partitionBy("brand_no").orderBy(F.desc("exact"), "id"))
     # at most `per` rows a brand leave each task before the window's shuffle
     rows = rows.withColumn("place", place).where(F.col("place") <= per)
-    rows = rows.select("id", "brand", "source", "source_url", "author", "rating", "sentiment", "text", "score", "brand_no", "place")
+    rows = rows.select("id", "brand", "source", "source_url", "author", "rating", "sentiment", "text", "score", "exact", "brand_no", "place")
     once = F.row_number().over(Window.partitionBy("source_url", "text").orderBy("brand_no", "place"))
     return rows.withColumn("_once", once).where("_once = 1").drop("_once").orderBy("brand_no", "place")
 
@@ -53,7 +58,7 @@ def confidence(found: DataFrame) -> DataFrame:
 
 
 def numbered(found: DataFrame) -> DataFrame:
-    return found.withColumn("n", F.row_number().over(Window.orderBy(F.desc("score"), "id")))  # top-k rows only
+    return found.withColumn("n", F.row_number().over(Window.orderBy(F.desc("exact"), "id")))  # top-k rows only
 
 
 def context(found: DataFrame) -> DataFrame:

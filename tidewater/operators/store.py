@@ -1,13 +1,7 @@
-"""Versioned snapshots with upserts: a new version is written beside the old, then a pointer moves.
-
-Plain Parquet has no MERGE, so each change is a rewrite of one table: compute the next version, write it
-to a new folder, switch. One writer at a time.
-"""
+"""Upserts and keyed updates as plans, quality checks, pending rows, run history. `tables` keeps the tables."""
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -101,39 +95,6 @@ def pending_enrichment(raw: DataFrame, served: DataFrame) -> DataFrame:
     return raw.join(known, "id", "left").where("_served is null or _served <> text").drop("_served")
 
 
-class Snapshots:
-    """Versions of one table under a folder; readers follow the newest pointer."""
-
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
-
-    def _pointer(self):
-        return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/pointers")
-
-    def _fs(self):
-        return self._pointer().getFileSystem(self.spark._jsc.hadoopConfiguration())
-
-    def versions(self) -> list[str]:
-        if not self._fs().exists(self._pointer()):
-            return []
-        return sorted(x.getPath().getName() for x in self._fs().listStatus(self._pointer()))
-
-    def read(self, schema=None) -> DataFrame | None:
-        versions = self.versions()
-        if not versions:
-            return None if schema is None else self.spark.createDataFrame([], schema)
-        return self.spark.read.parquet(f"{self.root}/{versions[-1]}")
-
-    def write(self, df: DataFrame) -> str:
-        """The pointer is an empty file whose name sorts last: making it is atomic."""
-        name = f"v{len(self.versions()):08d}-{uuid.uuid4().hex[:8]}"
-        df.write.parquet(f"{self.root}/{name}")
-        jvm = self.spark._jvm
-        self._fs().mkdirs(self._pointer())
-        self._fs().create(jvm.org.apache.hadoop.fs.Path(f"{self.root}/pointers/{name}"), False).close()
-        return name
-
-
 def append_run(spark: SparkSession, path: str, brand: str, sources: list[str], rows: int, status: str, started: str, finished: str) -> None:
     """One row of run history; times are ISO text."""
     row = spark.createDataFrame([(brand, ", ".join(sources), rows, status, started, finished)], "brand string, sources string, reviews_found int, status string, started string, finished string")

@@ -8,11 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewater.functions import text as X
-from tidewater.functions.taxonomy import GENERIC_BRAND_WORDS, HOSTS, LEXICON, OTHER, SOURCES, TRUSTED
-from tidewater.operators import alerts, enrich, insights, report, retrieve, store
+from tidewater.functions import valence
+from tidewater.functions.schema import RAW_SCHEMA, SERVED_SCHEMA
+from tidewater.functions.taxonomy import GENERIC_BRAND_WORDS, HOSTS, OTHER, SOURCES, TRUSTED
+from tidewater.operators import alerts, enrich, insights, meaning, report, retrieve, store, tables, vectors
 from tidewater.operators import reviews as R
+from tidewater.operators.scratch import shared_folder
 from tidewater.plans.fixtures import REVIEWS_SQL, reviews, table
-from tidewater.sources import mappers, staging
+from tidewater.sources import html, mappers, staging
+from tidewater.streaming import pipeline
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -42,6 +46,26 @@ def lit_sql(rows: list[tuple], columns: list[str]) -> str:
     return "(VALUES " + ", ".join("(" + ", ".join(map(quote, r)) + ")" for r in rows) + f") AS t({', '.join(columns)})"
 
 
+# ---- values drawn for each document: odd ones come up beside the document's own words and number
+
+
+def drawn(spark, d: str, values: list, kind: str = "string") -> DataFrame:
+    """doc_id and, as `v`, one of the values for each document, with @n as its number and @t as its text inside JSON."""
+    docs = table(spark, d, "documents").select("doc_id", F.to_json(F.struct(F.coalesce("text", F.lit("")).alias("t"))).alias("j"))
+    value = F.element_at(F.array(*[F.lit(v).cast(kind) for v in values]), (F.col("doc_id") % len(values) + 1).cast("int"))
+    if kind == "string":
+        value = F.replace(F.replace(value, F.lit("@n"), F.col("doc_id").cast("string")), F.lit("@t"), F.expr("substring(j, 7, length(j) - 8)"))
+    return docs.select("doc_id", value.alias("v"))
+
+
+def drawn_sql(values: list, kind: str = "VARCHAR") -> str:
+    quote = lambda v: "NULL" if v is None else str(v) if kind != "VARCHAR" else "'" + v.replace("'", "''") + "'"
+    value = f"CAST([{', '.join(map(quote, values))}] AS {kind}[])[doc_id % {len(values)} + 1]"
+    if kind == "VARCHAR":
+        value = f"replace(replace({value}, '@n', CAST(doc_id AS VARCHAR)), '@t', substring(j, 2, length(j) - 2))"
+    return f"(SELECT doc_id, {value} AS v FROM (SELECT doc_id, CAST(to_json(coalesce(text, '')) AS VARCHAR) AS j FROM documents))"
+
+
 # ---- counts
 
 
@@ -93,13 +117,14 @@ def brand_block(spark, d):
     return R.brand_blocks(reviews(spark, d))
 
 
-_HEALTH = [(0, 0, 0, None), (10, 0, 0, 5.0), (1, 1, 1, None), (1, 0, 1, 2.5), (45, 0, 55, None), (65, 0, 35, None), (80, 0, 20, None), (1, 7, 0, None), (3, 2, 5, 3.15), (0, 0, 4, 1.0), (7, 1, 8, None)]
+_AVERAGES = [None, 5.0, 2.5, 3.15, 1.0, 4.995]
 
 
-@query(f"""WITH b AS (SELECT positive, neutral, negative, CAST(avg_rating AS DOUBLE) AS avg_rating FROM {lit_sql(_HEALTH, ["positive", "neutral", "negative", "avg_rating"])}), s AS (SELECT *, {_SCORE} AS health FROM b) SELECT *, {_GRADE} FROM s""")
+@query(f"""WITH c AS (SELECT doc_id, v AS avg_rating FROM {drawn_sql(_AVERAGES, "DOUBLE")}), b AS (SELECT doc_id, avg_rating, doc_id % 11 AS positive, doc_id // 11 % 7 AS neutral, doc_id // 77 % 9 AS negative FROM c), s AS (SELECT *, {_SCORE} AS health FROM b) SELECT *, {_GRADE} FROM s""", base=False)
 def health_score(spark, d):
-    rows = spark.createDataFrame(_HEALTH, "positive int, neutral int, negative int, avg_rating double")
-    rows = rows.withColumn("health", X.health_score(*[F.col(c) for c in rows.columns]))
+    n = F.col("doc_id")
+    rows = drawn(spark, d, _AVERAGES, "double").select("doc_id", F.col("v").alias("avg_rating"), (n % 11).alias("positive"), (F.floor(n / 11) % 7).alias("neutral"), (F.floor(n / 77) % 9).alias("negative"))
+    rows = rows.withColumn("health", X.health_score(*[F.col(c) for c in ("positive", "neutral", "negative", "avg_rating")]))
     return rows.withColumn("health_label", X.health_label(F.col("health")))
 
 
@@ -257,7 +282,7 @@ def report_facts(spark, d):
 
 # ---- scalar rules on literal rows
 
-_URLS = ["https://www.reddit.com/r/x", "https://notreddit.com.evil.com/", "https://netflix.com/", "https://reddit.com:443/x", "", None, "https://youtu.be/abc", "x.com/post", "HTTPS://M.FACEBOOK.COM/a", "http://a.com/?u=https://x.com/b", "https://news.ycombinator.com/item?id=1", "www.amadeus.com/fr", "https://www.threads.net/@a"]
+_URLS = ["https://www.reddit.com/r/x", "https://notreddit.com.evil.com/", "https://netflix.com/", "https://reddit.com:443/x", "", None, "https://youtu.be/abc", "x.com/post", "HTTPS://M.FACEBOOK.COM/a", "http://a.com/?u=https://x.com/b", "https://news.ycombinator.com/item?id=1", "www.amadeus.com/fr", "https://www.threads.net/@a", "https://www.shop@n.example/x"]
 _H = "split_part(list_extract(string_split(lower(coalesce(u, '')), '://'), -1), '/', 1)"
 _TAG = "CASE " + " ".join(f"WHEN {_H} = '{h}' OR ends_with({_H}, '.{h}') THEN '{s}'" for h, s in HOSTS) + " ELSE 'web' END"
 
@@ -268,17 +293,19 @@ def host_source(spark, d):
     return urls.select("u", X.source_from_url(F.col("u")).alias("source"))
 
 
-@query(f"SELECT u, nullif(CASE WHEN starts_with({_H}, 'www.') THEN substring({_H}, 5) ELSE {_H} END, '') AS domain FROM {lit_sql([(u,) for u in _URLS], ['u'])}", base=False)
+@query(f"WITH p AS (SELECT url AS u FROM pages UNION ALL SELECT v FROM {drawn_sql(_URLS)}) SELECT u, nullif(CASE WHEN starts_with({_H}, 'www.') THEN substring({_H}, 5) ELSE {_H} END, '') AS domain FROM p", base=False)
 def bare_domain(spark, d):
-    return spark.createDataFrame([(u,) for u in _URLS], "u string").select("u", X.bare_domain(F.col("u")).alias("domain"))
+    urls = table(spark, d, "pages").select(F.col("url").alias("u")).unionAll(drawn(spark, d, _URLS).select("v"))
+    return urls.select("u", X.bare_domain(F.col("u")).alias("domain"))
 
 
-_NAMED = [(s,) for s, _, _ in SOURCES] + [("blog",), (None,)]
+_NAMED = ["blog", None, "", "Reddit", *[s for s, _, _ in SOURCES]]
 
 
-@query(f"SELECT s.source, coalesce(x.category, '{OTHER}') AS category, coalesce(x.label, s.source) AS label FROM {lit_sql(_NAMED, ['source']).replace('AS t(', 'AS s(')} LEFT JOIN {_TAXONOMY} ON s.source = x.source", base=False)
+@query(f"WITH n AS (SELECT source FROM reviews UNION ALL SELECT v FROM {drawn_sql(_NAMED)}) SELECT n.source, coalesce(x.category, '{OTHER}') AS category, coalesce(x.label, n.source) AS label FROM n LEFT JOIN {_TAXONOMY} ON n.source = x.source")
 def source_category(spark, d):
-    return spark.createDataFrame(_NAMED, "source string").select("source", X.category(F.col("source")).alias("category"), X.label(F.col("source")).alias("label"))
+    named = reviews(spark, d).select("source").unionAll(drawn(spark, d, _NAMED).select("v"))
+    return named.select("source", X.category(F.col("source")).alias("category"), X.label(F.col("source")).alias("label"))
 
 
 @query(f"SELECT id, {_EXCERPT.format(n=240, suffix='…')} AS listed, {_EXCERPT.format(n=280, suffix='…')} AS cited, {_EXCERPT.format(n=220, suffix='...')} AS reported FROM reviews")
@@ -287,31 +314,95 @@ def excerpts(spark, d):
     return reviews(spark, d).select("id", X.excerpt(t, 240, "…").alias("listed"), X.excerpt(t, 280, "…").alias("cited"), X.excerpt(t, 220, "...").alias("reported"))
 
 
-_RATINGS = [("5",), ("4.5",), ("",), ("n/a",), ("0",), (None,), (" 3 ",), ("-1e1",)]
+_RATINGS = ["5", "4.5", "", "n/a", "0", None, " 3 ", "-1e1", "@n", "@n.5", "@n stars", "1e@n", "0x@n"]
 
 
-@query(f"SELECT v, TRY_CAST(trim(v) AS DOUBLE) AS rating FROM {lit_sql(_RATINGS, ['v'])}", base=False)
+@query(f"SELECT doc_id, v, TRY_CAST(trim(v) AS DOUBLE) AS rating FROM {drawn_sql(_RATINGS)}", base=False)
 def safe_rating(spark, d):
-    return spark.createDataFrame(_RATINGS, "v string").select("v", X.to_rating(F.col("v")).alias("rating"))
+    return drawn(spark, d, _RATINGS).select("doc_id", "v", X.to_rating(F.col("v")).alias("rating"))
 
 
-_STARS = [(3.5,), (3.49,), (2.5,), (2.51,), (0.0,), (5.0,), (None,)]
+_STARS = [3.5, 3.49, 2.5, 2.51, 0.0, 5.0, None]
 
 
-@query(f"SELECT CAST(r AS DOUBLE) AS r, CASE WHEN r >= 3.5 THEN 'positive' WHEN r <= 2.5 THEN 'negative' WHEN r IS NOT NULL THEN 'neutral' END AS sentiment FROM {lit_sql(_STARS, ['r'])}", base=False)
+@query(f"WITH r AS (SELECT doc_id, rating AS r FROM reviews UNION ALL SELECT doc_id, v FROM {drawn_sql(_STARS, 'DOUBLE')}) SELECT doc_id, r, CASE WHEN r >= 3.5 THEN 'positive' WHEN r <= 2.5 THEN 'negative' WHEN r IS NOT NULL THEN 'neutral' END AS sentiment FROM r")
 def sentiment_stars(spark, d):
-    return spark.createDataFrame(_STARS, "r double").select("r", X.star_sentiment(F.col("r")).alias("sentiment"))
+    stars = reviews(spark, d).select("doc_id", F.col("rating").alias("r")).unionAll(drawn(spark, d, _STARS, "double"))
+    return stars.select("doc_id", "r", X.star_sentiment(F.col("r")).alias("sentiment"))
 
 
 _WORDS = r"regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]{2,}')"
-_VALENCE = "MAP {" + ", ".join(f"'{w}': {v}::DOUBLE" for w, v in LEXICON.items()) + "}"
+_LEXICON = valence.own_lexicon()
+
+
+def _names(words) -> str:
+    return "(" + ", ".join("'" + w.replace("'", "''") + "'" for w in sorted(words)) + ")"
 
 
-@query(rf"""WITH v AS (SELECT {_VALENCE} AS m), s AS (SELECT doc_id, coalesce(list_sum(list_transform({_WORDS}, lambda w: coalesce(v.m[w], 0.0::DOUBLE))), 0.0::DOUBLE) AS x FROM documents, v)
-    SELECT doc_id, round(x / sqrt(x * x + 15), 6) AS compound, CASE WHEN x / sqrt(x * x + 15) > 0.3 THEN 'positive' WHEN x / sqrt(x * x + 15) < -0.3 THEN 'negative' ELSE 'neutral' END AS sentiment FROM s""", base=False)
+def felt_sql(source: str, lexicon: str | None = None) -> str:
+    """Common table expressions up to `felt` (key, x), the summed valence of the rows (key, text) of a source."""
+    words = lexicon or "(VALUES " + ", ".join(f"('{w}', {v}::DOUBLE)" for w, v in _LEXICON.items()) + ")"
+    degrees = {w: s for w, s in valence.DEGREES.items() if lexicon or w not in _LEXICON}
+    degree = lambda p: f"CASE WHEN {p} IN {_names(w for w, s in degrees.items() if s > 0)} THEN 1 WHEN {p} IN {_names(w for w, s in degrees.items() if s < 0)} THEN -1 ELSE 0 END"
+    capital = "word = upper(word) AND word <> lower(word)"
+    near = " ".join(f"+ sign(v) * ({degree(f'p{k}')}) * {valence.DEGREE}::DOUBLE * {f}::DOUBLE" for k, f in enumerate(valence.FADE, 1))
+    negated = " OR ".join(f"coalesce(p{k} IN {_names(valence.NEGATIONS)}, false)" for k in (1, 2, 3))
+    marks = f"(least(length(text) - length(replace(text, '!', '')), {valence.MOST_EXCLAIM}) * {valence.EXCLAIM}::DOUBLE + CASE WHEN q < 2 THEN 0 WHEN q <= 3 THEN {valence.ASK}::DOUBLE * q ELSE {valence.MANY_ASK}::DOUBLE END)"
+    return rf"""src AS (SELECT key, coalesce(text, '') AS text FROM {source}),
+        heard AS (SELECT key, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM (SELECT key, regexp_extract_all(text, '[\p{{L}}\p{{N}}_'']+') AS w FROM src)),
+        around AS (SELECT key, i, word, lower(word) AS low, lag(lower(word), 1) OVER o AS p1, lag(lower(word), 2) OVER o AS p2, lag(lower(word), 3) OVER o AS p3,
+            min(CASE WHEN lower(word) = 'but' THEN i END) OVER (PARTITION BY key) AS but_at, count(*) FILTER ({capital}) OVER (PARTITION BY key) AS capitals, count(*) OVER (PARTITION BY key) AS n
+            FROM heard WINDOW o AS (PARTITION BY key ORDER BY i)),
+        weighed AS (SELECT key, i, (v + CASE WHEN capitals > 0 AND capitals < n AND {capital} THEN sign(v) * {valence.STRESS}::DOUBLE ELSE 0 END {near})
+            * CASE WHEN {negated} THEN {valence.TURN}::DOUBLE ELSE 1 END * CASE WHEN but_at IS NULL OR i = but_at THEN 1 WHEN i < but_at THEN {valence.BEFORE_BUT}::DOUBLE ELSE {valence.AFTER_BUT}::DOUBLE END AS w
+            FROM around JOIN {words} AS lexicon(low, v) USING (low)),
+        summed AS (SELECT key, sum(w ORDER BY i) AS x FROM weighed GROUP BY key),
+        felt AS (SELECT key, CASE WHEN x > 0 THEN x + {marks} WHEN x < 0 THEN x - {marks} ELSE 0.0::DOUBLE END AS x FROM (SELECT key, text, coalesce(x, 0.0::DOUBLE) AS x, length(text) - length(replace(text, '?', '')) AS q FROM src LEFT JOIN summed USING (key)))"""
+
+
+_COMPOUND = "x / sqrt(x * x + 15)"
+_FELT = f"CASE WHEN {_COMPOUND} > 0.3 THEN 'positive' WHEN {_COMPOUND} < -0.3 THEN 'negative' ELSE 'neutral' END"
+
+
+@query(f"WITH {felt_sql('(SELECT doc_id AS key, text FROM documents)')} SELECT key AS doc_id, round({_COMPOUND}, 6) AS compound, {_FELT} AS sentiment FROM felt", base=False)
 def sentiment_text(spark, d):
-    t = F.col("text")
-    return table(spark, d, "documents").select("doc_id", F.round(X.compound(t), 6).alias("compound"), X.text_sentiment(t).alias("sentiment"))
+    rows = table(spark, d, "documents").select("doc_id", valence.compound(F.col("text")).alias("c"))
+    return rows.select("doc_id", F.round("c", 6).alias("compound"), F.when(F.col("c") > 0.3, "positive").when(F.col("c") < -0.3, "negative").otherwise("neutral").alias("sentiment"))
+
+
+#: Openings that call for each rule, before a document's own words.
+_OPENINGS = [
+    "good ", "not good ", "very good ", "VERY GOOD ", "good but slow, ", "never really very good!! ", "GREAT GOOD", "isn't it awful?? ", "hardly helpful!!!!!! ", "great? bad? really???? ", "the food was lovely, but service was so so so rude. ",
+    "LOVED every bit of it ", "bad very bad, nothing good ", "", "don't hate it but don't love it ", "extremely quite very sad ",
+]
+
+
+@query(f"WITH opened AS (SELECT o.doc_id AS key, v || coalesce(text, '') AS text FROM {drawn_sql(_OPENINGS)} o JOIN documents d ON d.doc_id = o.doc_id), {felt_sql('opened')} SELECT key AS doc_id, round({_COMPOUND}, 6) AS compound FROM felt", base=False)
+def sentiment_rules(spark, d):
+    rows = drawn(spark, d, _OPENINGS).join(table(spark, d, "documents").select("doc_id", "text"), "doc_id")
+    return rows.select("doc_id", F.round(valence.compound(F.concat("v", F.coalesce("text", F.lit("")))), 6).alias("compound"))
+
+
+_LEARNED = r"""m AS (SELECT doc_id, min(1 - toxic) AS good FROM labels WHERE toxic IN (0, 1) GROUP BY doc_id HAVING min(toxic) = max(toxic)), r AS (SELECT DISTINCT doc_id, text FROM documents),
+    u AS (SELECT good, unnest(list_distinct(regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_'']+'))) AS word FROM r JOIN m USING (doc_id)), s AS (SELECT sum(good) AS goods, count(*) AS every FROM r JOIN m USING (doc_id)),
+    c AS (SELECT word, sum(good) AS g, count(*) AS n FROM u GROUP BY word HAVING count(*) >= 5),
+    learned AS (SELECT word, round(greatest(-4, least(4, ln((g + 0.5::DOUBLE) / (goods - g + 0.5::DOUBLE)) - ln((n - g + 0.5::DOUBLE) / (every - goods - n + g + 0.5::DOUBLE)))), 6) AS valence, n FROM c, s)"""
+
+
+def _learn(spark, d) -> DataFrame:
+    return valence.learn(table(spark, d, "documents"), table(spark, d, "labels").select("doc_id", (1 - F.col("toxic")).alias("good")))
+
+
+@query(f"WITH {_LEARNED} SELECT * FROM learned", base=False)
+def lexicon_learned(spark, d):
+    return _learn(spark, d)
+
+
+@query(f"WITH {_LEARNED}, {felt_sql('(SELECT doc_id AS key, text FROM documents)', '(SELECT word, valence FROM learned WHERE abs(valence) >= 2)')} SELECT key AS doc_id, round({_COMPOUND}, 5) AS compound FROM felt", base=False)
+def sentiment_learned(spark, d):
+    """Sentiment by a lexicon that is a table, learnt from marks."""
+    words = valence.read_lexicon(_learn(spark, d).where("abs(valence) >= 2"))
+    return table(spark, d, "documents").select("doc_id", F.round(valence.compound(F.col("text"), words), 5).alias("compound"))
 
 
 @query(r"SELECT id, substring(CASE WHEN regexp_replace(text, '^\s+|\s+$', '', 'g') = '' THEN ' ' ELSE regexp_replace(text, '^\s+|\s+$', '', 'g') END, 1, 8000) AS prepared FROM reviews")
@@ -319,62 +410,64 @@ def embed_prep(spark, d):
     return reviews(spark, d).select("id", X.embed_text(F.col("text")).alias("prepared"))
 
 
-_DATES = [(x,) for x in ("2024-01-31T23:30:00-05:00", "2024-01-31T23:30:00Z", "2024-01-31", "20240131", "2024", "6 years ago", "", None, "2024-02-30", "2024-03-01 10:11", "2024-03-01T10:11:12.345678+02:00", " 2024-05-05 ", "2024-01", "2024-13-01")]
+_DATES = ["2024-01-31T23:30:00-05:00", "2024-01-31T23:30:00Z", "2024-01-31", "20240131", "2024", "6 years ago", "", None, "2024-02-30", "2024-03-01 10:11", "2024-03-01T10:11:12.345678+02:00", " 2024-05-05 ", "2024-01", "2024-13-01"]
 _DATE = r"'^(\d{4})-?(\d{2})-?(\d{2})(?:.(\d{2})(?::?(\d{2})(?::?(\d{2})(?:[.,](\d{1,6})\d*)?)?)?(Z|[+-]\d{2}:?\d{2})?)?$'"
 
 
-@query(rf"""WITH p AS (SELECT raw, trim(raw) AS x FROM {lit_sql(_DATES, ["raw"])}), g AS (SELECT raw, x, regexp_matches(x, {_DATE}) AS ok, [{", ".join(f"regexp_extract(x, {_DATE}, {k})" for k in range(1, 9))}] AS g FROM p),
+@query(rf"""WITH p AS (SELECT raw, trim(raw) AS x FROM (SELECT CAST(o_orderdate AS VARCHAR) AS raw FROM orders UNION ALL SELECT v FROM {drawn_sql(_DATES)})), g AS (SELECT raw, x, regexp_matches(x, {_DATE}) AS ok, [{", ".join(f"regexp_extract(x, {_DATE}, {k})" for k in range(1, 9))}] AS g FROM p),
     h AS (SELECT raw, ok, g[1] || '-' || g[2] || '-' || g[3] AS day, coalesce(nullif(g[4], ''), '00') || ':' || coalesce(nullif(g[5], ''), '00') || ':' || coalesce(nullif(g[6], ''), '00') AS clock,
         CASE WHEN g[8] IN ('', 'Z') THEN '+00:00' ELSE g[8] END AS off FROM g),
     i AS (SELECT raw, CASE WHEN ok THEN TRY_CAST(day || ' ' || clock || off AS TIMESTAMPTZ) END AS instant, day FROM h)
     SELECT raw, CASE WHEN instant IS NOT NULL THEN substring(day, 1, 7) END AS month, CASE WHEN instant IS NOT NULL THEN substring(day, 1, 4) END AS year, CAST(epoch(instant) AS BIGINT) AS seconds FROM i""", base=False)
 def parse_dates(spark, d):
-    rows = spark.createDataFrame(_DATES, "raw string").withColumn("d", X.parsed_date(F.col("raw")))
+    raw = table(spark, d, "orders").select(F.col("o_orderdate").cast("string").alias("raw")).unionAll(drawn(spark, d, _DATES).select("v"))
+    rows = raw.withColumn("d", X.parsed_date(F.col("raw")))
     return rows.select("raw", "d.month", "d.year", F.unix_timestamp("d.instant").alias("seconds"))
 
 
-_QUESTIONS = [("How is Blue Bottle doing?", "Blue Bottle Coffee"), ("is coffee good", "Blue Bottle Coffee"), ("compare Peets and Acme", "Acme Inc"), ("anything on ACME-Inc?", "Acme Inc"), ("the group", "The Group"), ("", "Acme"), ("what of brand 3", "Brand#3"), (None, "X")]
+_QUESTIONS = [("How is Blue Bottle doing?", "Blue Bottle Coffee"), ("is coffee good", "Blue Bottle Coffee"), ("compare Peets and Acme", "Acme Inc"), ("anything on ACME-Inc?", "Acme Inc"), ("the group", "The Group"), ("", "Acme"), ("what of brand 3", "Brand#3"), (None, "X"), ("is brand @n better than @t", "Brand#@n"), ("@t", "In")]
 _FLAT = "trim(regexp_replace(lower(coalesce({0}, '')), '[^a-z0-9]+', ' ', 'g'))"
 
 
 @query(f"""WITH k AS (SELECT question, brand, ' ' || {_FLAT.format("question")} || ' ' AS q, {_FLAT.format("brand")} AS f,
         array_to_string(list_filter(regexp_extract_all(lower(coalesce(brand, '')), '[a-z0-9]+'), lambda t: length(t) > 1 AND t NOT IN ({", ".join(f"'{w}'" for w in GENERIC_BRAND_WORDS)})), ' ') AS k
-        FROM {lit_sql(_QUESTIONS, ["question", "brand"])})
+        FROM (SELECT q.v AS question, b.v AS brand FROM {drawn_sql([q for q, _ in _QUESTIONS])} q JOIN {drawn_sql([b for _, b in _QUESTIONS])} b USING (doc_id)))
     SELECT question, brand, (k <> '' AND contains(q, k)) OR (f <> '' AND contains(q, f)) AS named FROM k""", base=False)
 def brand_mentions(spark, d):
-    rows = spark.createDataFrame(_QUESTIONS, "question string, brand string")
+    asked, named = (drawn(spark, d, [pair[k] for pair in _QUESTIONS]).withColumnRenamed("v", ("question", "brand")[k]) for k in (0, 1))
+    rows = asked.join(named, "doc_id")
     return rows.select("question", "brand", X.mentions(F.col("question"), F.col("brand")).alias("named"))
 
 
 # ---- payloads and mappers on literal rows, the same JSON text in both engines
 
 _STAGED = [
-    ('{"_airbyte_data": "{\\"text\\": \\"good\\", \\"url\\": \\"u1\\"}", "x": 1}',),
-    ('{"_airbyte_data": {"text": "fine", "url": "u2"}}',),
-    ('{"_airbyte_data": "{bad", "item": {"text": "nested", "url": "u3"}}',),
-    ('{"data": {}, "record": {"text": "rec", "url": "u4"}}',),
-    ('{"text": "plain", "url": "u5"}',),
+    '{"_airbyte_data": "{\\"text\\": \\"good @n\\", \\"url\\": \\"u1\\"}", "x": 1}',
+    '{"_airbyte_data": {"text": "fine @t", "url": "u2"}}',
+    '{"_airbyte_data": "{bad", "item": {"text": "nested @t", "url": "u3"}}',
+    '{"data": {}, "record": {"text": "rec @n", "url": "u4"}}',
+    '{"text": "plain @t", "url": "u@n"}',
 ]
 
 
-_PAYLOAD_SQL = f"""SELECT json_extract_string(p, '$.text') AS text, json_extract_string(p, '$.url') AS url FROM (SELECT coalesce({", ".join(f"CASE WHEN json_valid(json_extract_string(row, '$.{k}')) AND starts_with(ltrim(json_extract_string(row, '$.{k}')), '{{') AND json_extract_string(row, '$.{k}') <> '{{}}' THEN json_extract_string(row, '$.{k}') END" for k in [staging.LEGACY, *staging.NESTED])}, row) AS p FROM {lit_sql(_STAGED, ["row"])})"""
+_PAYLOAD_SQL = f"""SELECT doc_id, json_extract_string(p, '$.text') AS text, json_extract_string(p, '$.url') AS url FROM (SELECT doc_id, coalesce({", ".join(f"CASE WHEN json_valid(json_extract_string(v, '$.{k}')) AND starts_with(ltrim(json_extract_string(v, '$.{k}')), '{{') AND json_extract_string(v, '$.{k}') <> '{{}}' THEN json_extract_string(v, '$.{k}') END" for k in [staging.LEGACY, *staging.NESTED])}, v) AS p FROM {drawn_sql(_STAGED)})"""
 
 
 @query(_PAYLOAD_SQL, base=False)
 def unwrap_payload(spark, d):
-    rows = spark.createDataFrame(_STAGED, "row string").select(staging.payload(F.col("row")).alias("item"))
-    return rows.select(mappers.field("text").alias("text"), mappers.field("url").alias("url"))
+    rows = drawn(spark, d, _STAGED).select("doc_id", staging.payload(F.col("v")).alias("item"))
+    return rows.select("doc_id", mappers.field("text").alias("text"), mappers.field("url").alias("url"))
 
 
 _ITEMS = {
-    "google_maps": ['{"text": "Great beans", "reviewUrl": "https://maps/r1", "stars": 5, "name": "Ana", "publishedAtDate": "2024-01-02", "title": "Cafe"}', '{"text": "", "reviewText": "Slow", "url": "https://maps/r2", "stars": 0, "rating": 2, "reviewerName": "Bo", "publishAt": "2 weeks ago", "title": "", "placeName": "Bar"}', '{"stars": 4, "url": "u"}', '{"text": "no link"}'],
-    "yelp": ['{"text": "ok", "url": "https://y/1", "rating": 4, "userName": "C", "date": "2024-02-02", "bizName": "Biz"}', '{"comment": "meh", "reviewUrl": "https://y/2", "stars": "2.5", "author": "D"}', '{"text": "   ", "url": "https://y/3"}'],
-    "tripadvisor": ['{"text": "view", "url": "https://t/1", "rating": "4", "user": {"username": "E"}, "publishedDate": "2023-03-03", "placeName": "Inn"}', '{"review": "loud", "url": "https://t/2", "userName": "F"}', '{"text": "gone"}'],
-    "reddit": ['{"title": "T", "body": "B", "url": "https://r/1", "username": "g", "createdAt": "2024-04-04", "communityName": "r/a", "upVotes": 7, "numberOfComments": 2, "dataType": "post"}', '{"text": "only", "link": "https://r/2", "author": "h", "parsedCommunityName": "b"}', '{"title": "lone", "url": "https://r/3"}', '{"body": "x"}'],
-    "instagram": ['{"caption": "pic", "url": "https://i/1", "ownerUsername": "k", "timestamp": "2024-05-05", "likesCount": 3, "commentsCount": 0, "hashtag": "x", "type": "Image"}', '{"text": "txt", "postUrl": "https://i/2", "ownerFullName": "L", "takenAtDate": "2024-05-06", "inputUrl": "https://i/tag"}', '{"caption": "x"}'],
-    "facebook": ['{"text": "p", "url": "https://f/1", "authorName": "M", "time": "2024-06-06", "likes": 1, "comments": 2, "shares": 3}', '{"message": "q", "postUrl": "https://f/2", "user": {"name": "N"}, "date": "2024-06-07"}', '{"postText": "r", "topLevelUrl": "https://f/3", "timestamp": "2024-06-08", "pageName": "O"}', '{"text": "s"}'],
-    "web": ['{"organicResults": [{"url": "https://www.reddit.com/r/x", "title": " A ", "description": "d1", "websiteTitle": "Reddit", "averageRating": 4.5, "position": 1, "displayedUrl": "reddit.com", "numberOfReviews": 8, "lastUpdated": "2024-07-01"}, {"url": "https://blog.example/", "title": "B", "description": ""}, {"title": "no url"}]}', '{"url": "https://youtu.be/1", "title": "V", "description": "w", "date": "2024-07-07"}'],
-    "normalized": ['{"text": "a", "source_url": "https://n/1", "author": "P", "rating": 3, "created_at": "2024-08-08", "lang": "en"}', '{"review": "b", "link": "https://n/2", "name": "Q", "stars": "5", "date": "2024-08-09"}', '{"description": "c", "reviewUrl": "https://n/3"}', '{"text": "d"}'],
+    "google_maps": ['{"text": "Great beans @t Great beans", "reviewUrl": "https://maps/r1@n", "stars": 5, "name": "Ana", "publishedAtDate": "2024-01-02", "title": "Cafe @t Cafe"}', '{"text": "", "reviewText": "Slow @t Slow", "url": "https://maps/r2@n", "stars": 0, "rating": 2, "reviewerName": "Bo", "publishAt": "2 weeks ago", "title": "", "placeName": "Bar"}', '{"stars": 4, "url": "u"}', '{"text": "no link @t no link"}'],
+    "yelp": ['{"text": "ok @t ok", "url": "https://y/1@n", "rating": 4, "userName": "C", "date": "2024-02-02", "bizName": "Biz"}', '{"comment": "meh @t meh", "reviewUrl": "https://y/2@n", "stars": "2.5", "author": "D"}', '{"text": "   ", "url": "https://y/3@n"}'],
+    "tripadvisor": ['{"text": "view @t view", "url": "https://t/1@n", "rating": "4", "user": {"username": "E"}, "publishedDate": "2023-03-03", "placeName": "Inn"}', '{"review": "loud @t loud", "url": "https://t/2@n", "userName": "F"}', '{"text": "gone @t gone"}'],
+    "reddit": ['{"title": "T @t T", "body": "B @t B", "url": "https://r/1@n", "username": "g", "createdAt": "2024-04-04", "communityName": "r/a", "upVotes": 7, "numberOfComments": 2, "dataType": "post"}', '{"text": "only @t only", "link": "https://r/2@n", "author": "h", "parsedCommunityName": "b"}', '{"title": "lone @t lone", "url": "https://r/3@n"}', '{"body": "x @t x"}'],
+    "instagram": ['{"caption": "pic @t pic", "url": "https://i/1@n", "ownerUsername": "k", "timestamp": "2024-05-05", "likesCount": 3, "commentsCount": 0, "hashtag": "x", "type": "Image"}', '{"text": "txt @t txt", "postUrl": "https://i/2@n", "ownerFullName": "L", "takenAtDate": "2024-05-06", "inputUrl": "https://i/tag"}', '{"caption": "x @t x"}'],
+    "facebook": ['{"text": "p @t p", "url": "https://f/1@n", "authorName": "M", "time": "2024-06-06", "likes": 1, "comments": 2, "shares": 3}', '{"message": "q @t q", "postUrl": "https://f/2@n", "user": {"name": "N"}, "date": "2024-06-07"}', '{"postText": "r @t r", "topLevelUrl": "https://f/3@n", "timestamp": "2024-06-08", "pageName": "O"}', '{"text": "s @t s"}'],
+    "web": ['{"organicResults": [{"url": "https://www.reddit.com/r/x@n", "title": " A @t A ", "description": "d1 @t d1", "websiteTitle": "Reddit", "averageRating": 4.5, "position": 1, "displayedUrl": "reddit.com", "numberOfReviews": 8, "lastUpdated": "2024-07-01"}, {"url": "https://blog.example/@n", "title": "B @t B", "description": ""}, {"title": "no url @t no url"}]}', '{"url": "https://youtu.be/1@n", "title": "V @t V", "description": "w @t w", "date": "2024-07-07"}'],
+    "normalized": ['{"text": "a @t a", "source_url": "https://n/1@n", "author": "P", "rating": 3, "created_at": "2024-08-08", "lang": "en"}', '{"review": "b @t b", "link": "https://n/2@n", "name": "Q", "stars": "5", "date": "2024-08-09"}', '{"description": "c @t c", "reviewUrl": "https://n/3@n"}', '{"text": "d @t d"}'],
 }
 
 
@@ -420,7 +513,7 @@ def shown(rows: DataFrame, extras: dict) -> DataFrame:
 
 def _map(name: str) -> None:
     source, url, text, author, rating, created = _MAPS[name]
-    items = lit_sql([(i,) for i in _ITEMS[name]], ["item"])
+    items = f"(SELECT v AS item FROM {drawn_sql(_ITEMS[name])})"
     if name == "web":
         items = f"(SELECT unnest(CASE WHEN json_type(item, '$.organicResults') = 'ARRAY' THEN CAST(json_extract(item, '$.organicResults[*]') AS VARCHAR[]) ELSE [item] END) AS item FROM {items})"
     facts = ", ".join(f"{v} AS extra_{k}" for k, v in _EXTRAS[name].items())
@@ -430,7 +523,7 @@ def _map(name: str) -> None:
 
     @query(sql, "map_web_serp" if name == "web" else f"map_{name}", base=False)
     def run(spark, d):
-        rows = spark.createDataFrame([("Acme", "partner", i) for i in _ITEMS[name]], "brand string, source string, item string")
+        rows = drawn(spark, d, _ITEMS[name]).select(F.lit("Acme").alias("brand"), F.lit("partner").alias("source"), F.col("v").alias("item"))
         return shown(mappers.mapper(name)(rows), _EXTRAS[name])
 
 
@@ -444,47 +537,49 @@ _AT = "strftime(to_timestamp(TRY_CAST({0} AS DOUBLE)) AT TIME ZONE 'UTC', '%Y-%m
 _JOIN = lambda *parts: "concat_ws(chr(10) || chr(10), " + ", ".join(f"nullif(trim({_one(p)}), '')" for p in parts) + ")"
 _HOST_TAG = _TAG.replace("coalesce(u,", f"coalesce({_one('url')},")
 _FLAT = f"trim(replace(replace(replace(regexp_replace(regexp_replace({_one('content')}, '<[^>]+>', ' ', 'g'), '\\s+', ' ', 'g'), '&lt;', '<'), '&quot;', '\"'), '&amp;', '&'))"
+_BODY = f"trim({_any('markdown', 'description')})"
+_CUT = f"CASE WHEN length({_BODY}) > 2000 THEN regexp_replace(substring({_BODY}, 1, 2000), ' [^ ]*$', '') || '...' ELSE {_BODY} END"
 #: Items, beside columns, and SQL of source, url, text, author, rating, created_at and of the fields in `extra`.
 _DIRECT = {
     "app_store": (
-        ['{"im:rating": {"label": "4"}, "title": {"label": "T"}, "content": {"label": "C"}, "id": {"label": "9"}, "author": {"name": {"label": "N"}}, "updated": {"label": "2024-01-01T00:00:00-07:00"}, "im:version": {"label": "1.2"}}', '{"title": {"label": "the app"}}', '{"im:rating": {"label": "1"}, "content": {"label": "X"}}', '{"im:rating": {"label": "1"}}'],
+        ['{"im:rating": {"label": "4"}, "title": {"label": "T @t T"}, "content": {"label": "C @t C"}, "id": {"label": "9"}, "author": {"name": {"label": "N"}}, "updated": {"label": "2024-01-01T00:00:00-07:00"}, "im:version": {"label": "1.2"}}', '{"title": {"label": "the app"}}', '{"im:rating": {"label": "1"}, "content": {"label": "X @t X"}}', '{"im:rating": {"label": "1"}}'],
         {"app_url": "https://a/app", "app_id": "77", "country": "us"},
         ("'app_store'", f"'https://a/app?see-all=reviews' || coalesce('#review-' || {_one('id.label')}, '')", _JOIN("title.label", "content.label"), _one("author.name.label"), _one('"im:rating".label'), _one("updated.label")),
         {"app_id": "'77'", "country": "'us'", "review_id": _one("id.label"), "version": _one('"im:version".label')}, "json_extract(item, '$.\"im:rating\"') IS NOT NULL",
     ),
     "google_play": (
-        ['{"content": " ok ", "reviewId": "r", "score": 5, "userName": "U", "at": "2024-02-02", "thumbsUpCount": 3, "appVersion": "7"}', '{"content": "no id", "score": 2, "reviewCreatedVersion": "8", "replyContent": "sorry"}', '{"content": " "}'],
+        ['{"content": " ok @t ok ", "reviewId": "r@n", "score": 5, "userName": "U", "at": "2024-02-02", "thumbsUpCount": 3, "appVersion": "7"}', '{"content": "no id @t no id", "score": 2, "reviewCreatedVersion": "8", "replyContent": "sorry"}', '{"content": " "}'],
         {"app_url": "https://p?id=a", "package": "a"},
         ("'google_play'", f"'https://p?id=a' || coalesce('&reviewId=' || {_one('reviewId')}, '')", f"trim({_one('content')})", _one("userName"), _one("score"), _one("at")),
         {"package": "'a'", "review_id": f"coalesce({_one('reviewId')}, '')", "thumbs_up": _one("thumbsUpCount"), "app_version": _any("reviewCreatedVersion", "appVersion"), "reply": _one("replyContent")}, "true",
     ),
     "hackernews": (
-        ['{"objectID": "1", "title": "A &amp; B ", "comment_text": "<i>c</i>", "created_at_i": 1700000000, "author": "z", "points": 4}', '{"objectID": "1", "title": "A &amp; B ", "comment_text": "<i>c</i>", "created_at_i": 1700000000, "author": "z", "points": 4}', '{"objectID": "2", "story_text": "s", "created_at": "2024-01-01T00:00:00Z"}', '{"title": "no id"}', '{"objectID": "3"}'],
+        ['{"objectID": "1@n", "title": "A &amp; B @t A &amp; B ", "comment_text": "<i>c</i>", "created_at_i": 1700000000, "author": "z", "points": 4}', '{"objectID": "1@n", "title": "A &amp; B @t A &amp; B ", "comment_text": "<i>c</i>", "created_at_i": 1700000000, "author": "z", "points": 4}', '{"objectID": "2@n", "story_text": "s @t s", "created_at": "2024-01-01T00:00:00Z"}', '{"title": "no id @t no id"}', '{"objectID": "3@n"}'],
         {}, ("'hackernews'", f"'https://news.ycombinator.com/item?id=' || {_one('objectID')}", _JOIN("title", "story_text", "comment_text"), _one("author"), "NULL", f"coalesce({_AT.format(_one('created_at_i'))}, {_one('created_at')})"),
         {"points": _one("points"), "engine": "'hn_algolia'"}, "true",
     ),
     "mastodon": (
-        ['{"url": "https://m/1", "content": "<p>hi &lt;you&quot; &amp;  me</p>", "account": {"acct": "a@b"}, "created_at": "2024-03-03", "favourites_count": 2, "reblogs_count": 1}', '{"uri": "https://m/2", "content": "<p>x</p>"}', '{"url": "https://m/3", "content": "<p> </p>"}', '{"content": "y"}'],
+        ['{"url": "https://m/1@n", "content": "<p>hi &lt;you&quot; &amp;  me</p>", "account": {"acct": "a@b"}, "created_at": "2024-03-03", "favourites_count": 2, "reblogs_count": 1}', '{"uri": "https://m/2@n", "content": "<p>x</p>"}', '{"url": "https://m/3@n", "content": "<p> </p>"}', '{"content": "y @t y"}'],
         {}, ("'mastodon'", _any("url", "uri"), _FLAT, _one("account.acct"), "NULL", _one("created_at")),
         {"favourites": _one("favourites_count"), "reblogs": _one("reblogs_count"), "engine": "'mastodon_tag'"}, "true",
     ),
     "reddit_json": (
-        ['{"permalink": "/r/x/p", "title": " t ", "selftext": "", "author": "[deleted]", "created_utc": 1700000000, "subreddit": "x", "score": 3, "num_comments": 2}', '{"permalink": "/r/x/q", "title": "u", "selftext": " v", "author": "w"}', '{"permalink": "/r/x/q", "title": "u", "selftext": " v", "author": "w"}', '{"title": "no link", "url": "https://else/"}', '{"permalink": "/r/x/e"}'],
+        ['{"permalink": "/r/x/p@n", "title": " t @t t ", "selftext": "", "author": "[deleted]", "created_utc": 1700000000, "subreddit": "x", "score": 3, "num_comments": 2}', '{"permalink": "/r/x/q@n", "title": "u @t u", "selftext": " v @t v", "author": "w"}', '{"permalink": "/r/x/q@n", "title": "u @t u", "selftext": " v @t v", "author": "w"}', '{"title": "no link @t no link", "url": "https://else/@n"}', '{"permalink": "/r/x/e@n"}'],
         {}, ("'reddit'", f"'https://www.reddit.com' || {_one('permalink')}", _JOIN("title", "selftext"), f"nullif({_one('author')}, '[deleted]')", "NULL", _AT.format(_one("created_utc"))),
         {"subreddit": _one("subreddit"), "score": _one("score"), "num_comments": _one("num_comments"), "engine": "'reddit_json'"}, "true",
     ),
     "reddit_api": (
-        ['{"permalink": "/r/x/p", "title": " t ", "author": "[deleted]", "created_utc": 1700000000, "subreddit": "x", "ups": 3, "num_comments": 2, "over_18": false}', '{"title": "no permalink", "url": "https://else/"}', '{"title": "no link"}'],
+        ['{"permalink": "/r/x/p@n", "title": " t @t t ", "author": "[deleted]", "created_utc": 1700000000, "subreddit": "x", "ups": 3, "num_comments": 2, "over_18": false}', '{"title": "no permalink @t no permalink", "url": "https://else/@n"}', '{"title": "no link @t no link"}'],
         {}, ("'reddit'", f"coalesce('https://www.reddit.com' || {_one('permalink')}, {_one('url')})", _JOIN("title", "selftext"), _one("author"), "NULL", _AT.format(_one("created_utc"))),
         {"subreddit": _one("subreddit"), "up_votes": _one("ups"), "num_comments": _one("num_comments"), "over_18": _one("over_18")}, "true",
     ),
     "web_search": (
-        ['{"url": "https://x.com/1", "title": " t ", "content": "c", "published_date": "2024-04-04", "score": 0.5}', '{"url": "https://b.org/", "content": "only"}', '{"title": "no url"}'],
+        ['{"url": "https://x.com/1@n", "title": " t @t t ", "content": "c @t c", "published_date": "2024-04-04", "score": 0.5}', '{"url": "https://b.org/@n", "content": "only @t only"}', '{"title": "no url @t no url"}'],
         {}, (_HOST_TAG, _one("url"), _JOIN("title", "content"), "NULL", "NULL", _one("published_date")), {"score": _one("score"), "engine": "'tavily'"}, "true",
     ),
     "web_pages": (
-        ['{"url": "https://b.org/", "title": "T", "markdown": "body text"}', '{"url": "https://www.reddit.com/r/a", "description": " d "}', '{"markdown": "no url"}'],
-        {}, (_HOST_TAG, _one("url"), f"concat_ws(chr(10) || chr(10), nullif(trim({_one('title')}), ''), nullif(trim({_any('markdown', 'description')}), ''))", "NULL", "NULL", "CAST(NULL AS VARCHAR)"), {"engine": "'firecrawl'"}, "true",
+        ['{"url": "https://b.org/@n", "title": "T @t T", "markdown": "body text @t body text"}', '{"url": "https://www.reddit.com/r/a@n", "description": " d @t d "}', '{"markdown": "no url @t no url"}'],
+        {}, (_HOST_TAG, _one("url"), f"concat_ws(chr(10) || chr(10), nullif(trim({_one('title')}), ''), nullif({_CUT}, ''))", "NULL", "NULL", "CAST(NULL AS VARCHAR)"), {"engine": "'firecrawl'"}, "true",
     ),
 }
 
@@ -493,30 +588,57 @@ def _map_direct(name: str) -> None:
     texts, beside, (source, url, text, author, rating, created), extras, kept = _DIRECT[name]
     facts = ", ".join(f"{v} AS extra_{k}" for k, v in extras.items())
     ended = ", ".join(f"extra_{k}" for k in extras)
-    sql = f"""WITH m AS (SELECT {source} AS source, coalesce({url}, '') AS source_url, {author} AS author, TRY_CAST(trim({rating}) AS DOUBLE) AS rating, {text} AS text, {created} AS created_at, {facts} FROM {lit_sql([(t,) for t in texts], ["item"])} WHERE {kept})
+    sql = f"""WITH m AS (SELECT {source} AS source, coalesce({url}, '') AS source_url, {author} AS author, TRY_CAST(trim({rating}) AS DOUBLE) AS rating, {text} AS text, {created} AS created_at, {facts} FROM (SELECT v AS item FROM {drawn_sql(texts)}) WHERE {kept})
         SELECT DISTINCT sha256('Acme|' || source || '|' || source_url || '|' || text) AS id, 'Acme' AS brand, source, source_url, author, rating, text, created_at, {ended} FROM m WHERE source_url <> '' AND trim(text) <> ''"""
 
     @query(sql, f"map_{name}", base=False)
     def run(spark, d):
-        items = ['{"feed": {"entry": [' + ", ".join(texts) + "]}}"] if name == "app_store" else texts
-        rows = spark.createDataFrame([("Acme", t) for t in items], "brand string, item string").withColumns({k: F.lit(v) for k, v in beside.items()})
-        return shown(mappers.mapper(name)(rows), extras)
+        item = F.concat(F.lit('{"feed": {"entry": ['), "v", F.lit("]}}")) if name == "app_store" else F.col("v")
+        rows = drawn(spark, d, texts).select(F.lit("Acme").alias("brand"), item.alias("item"), *[F.lit(v).alias(k) for k, v in beside.items()])
+        return shown(mappers.mapper(name)(rows), extras).distinct()
 
 
 for _m in _DIRECT:
     _map_direct(_m)
 
-_CARDS = (
-    '<article class="c"><h2>Good</h2><p data-service-review-text-typography="true">Very <b>good</b></p><div data-service-review-rating="5"></div>'
-    '<a href="/reviews/77">x</a><time datetime="2024-01-01"></time></article><article><img alt="Rated 2 out of 5 stars"><h2>Bad</h2></article><article></article>'
-)
+#: A card of each form; a document's words and number come in as text, in entities.
+_CARDS = [
+    '<article data-service-review-card-paper="true"><h2 data-review-title-typography="x">Good @n</h2><p data-service-review-text-typography="true">@t</p><div data-service-review-rating="5"><img alt="Rated 1 out of 5 stars"></div><a href="/reviews/@n">x</a><time datetime="2024-01-@n"></time></article>',
+    '<div class="a styles_reviewCard__x"><p>no</p><a class="reviewTitle__y" href="https://else.example/reviews/@n">Half<br>way</a><p class="reviewText">@t<p class="reviewText">later</p><img alt="Rated 4.5 out of 5 stars"><span class="consumerName__z"> N @n </span></div>',
+    '<section><article class="reviewCard"><p class="reviewContent">outer @n<article class="b reviewCard"><p class="reviewContent">inner @t</article></article></section>',
+    '<article data-service-review-card-paper=1><script>var x = "<p data-service-review-text-typography>no</p>"</script><a href="reviews/x">y</a></article>',
+    '<p class="reviewText">no card, @t</p>',
+]
+#: source_url, author, rating, text and created_at of the cards of each form; t is the text that a page shows.
+_CARD_ROWS = [
+    ("'https://www.trustpilot.com/reviews/' || n", "NULL", "5.0", "concat_ws(chr(10) || chr(10), 'Good ' || n, nullif(t, ''))", "'2024-01-' || n"),
+    ("'https://else.example/reviews/' || n", "'N ' || n", "4.5", "concat_ws(chr(10) || chr(10), 'Halfway', nullif(t, ''))", "NULL"),
+    ("''", "NULL", "NULL", "'outer ' || n", "NULL"),
+    ("''", "NULL", "NULL", "regexp_replace('inner ' || t, '\\s+$', '')", "NULL"),
+]
+_ENTITIES = [("&", "&amp;"), ("<", "&lt;"), (">", "&#62;"), ('"', "&quot;")]
 
 
-@query("""WITH m(source_url, rating, text, created_at) AS (VALUES ('https://t.com/reviews/77', 5.0::DOUBLE, 'Good' || chr(10) || chr(10) || 'Very good', '2024-01-01'), ('https://t.com/review/acme', 2.0::DOUBLE, 'Bad', NULL))
-    SELECT sha256('Acme|trustpilot|' || source_url || '|' || text) AS id, 'Acme' AS brand, 'trustpilot' AS source, source_url, CAST(NULL AS VARCHAR) AS author, rating, text, created_at FROM m""", base=False)
+@query("WITH d AS (SELECT doc_id % 5 AS form, CAST(doc_id AS VARCHAR) AS n, regexp_replace(coalesce(text, ''), '^\\s+|\\s+$', '', 'g') AS t FROM documents), m AS (" + " UNION ALL ".join(
+    f"SELECT {url} AS source_url, CAST({author} AS VARCHAR) AS author, CAST({rating} AS DOUBLE) AS rating, {text} AS text, CAST({created} AS VARCHAR) AS created_at FROM d WHERE form = {min(k, 2)}" for k, (url, author, rating, text, created) in enumerate(_CARD_ROWS)
+) + ") SELECT sha256('Acme|trustpilot|' || source_url || '|' || text) AS id, 'Acme' AS brand, 'trustpilot' AS source, source_url, author, rating, text, created_at, 'trustpilot' AS extra_site FROM m", base=False)
 def map_trustpilot(spark, d):
-    pages = spark.createDataFrame([("Acme", "https://t.com/review/acme", _CARDS)], "brand string, url string, html string")
-    return mappers.mapper("trustpilot")(pages).drop("extra")
+    text = F.coalesce("text", F.lit(""))
+    for char, entity in _ENTITIES:
+        text = F.replace(text, F.lit(char), F.lit(entity))
+    card = F.element_at(F.array(*map(F.lit, _CARDS)), (F.col("doc_id") % 5 + 1).cast("int"))
+    pages = table(spark, d, "documents").select(F.lit("Acme").alias("brand"), F.replace(F.replace(card, F.lit("@n"), F.col("doc_id").cast("string")), F.lit("@t"), text).alias("html"))
+    return shown(mappers.mapper("trustpilot")(pages), ["site"])
+
+
+@query(r"""SELECT page_id, regexp_extract(html, '<html lang="([^"]*)"', 1) AS lang, regexp_extract_all(html, '<a href="([^"]*)"', 1)[1] AS link, len(regexp_extract_all(html, '<article')) AS articles
+    FROM pages WHERE html IS NOT NULL""", base=False)
+def page_cards(spark, d):
+    """Cards of real pages: the page's language, its first link and how many articles it has."""
+    pages = table(spark, d, "pages").where("html is not null")
+    whole = html.cards(pages, "html", {"link": (["a[href]"], "href")}, ["page_id", "html"]).select("page_id", F.regexp_extract("html", '<html lang="([^"]*)"', 1).alias("lang"), "link")
+    articles = html.cards(pages, "article", {}, ["page_id"]).groupBy("page_id").agg(F.count("*").alias("articles"))
+    return whole.join(articles, "page_id", "left").select("page_id", "lang", "link", F.coalesce("articles", F.lit(0)).alias("articles"))
 
 
 # ---- upserts and keyed updates
@@ -551,6 +673,58 @@ def marts_upsert(spark, d):
     return store.served_upsert(base.select(*columns), batch.select("seq", *columns)).drop("embedding")
 
 
+def _kept(spark, base: DataFrame, batch: DataFrame, schema, updates: list[str]) -> DataFrame:
+    """The same through a bucketed table: the base is loaded, then the batch changes the buckets it touches."""
+    held = tables.BucketedTable(spark, shared_folder(spark, "table"), schema, 16)
+    held.upsert(base.withColumn("seq", F.lit(0)), updates, stream="load", batch_id=0)
+    held.upsert(batch, updates, stream="load", batch_id=1)
+    held.upsert(batch.withColumn("captured_at", F.lit("never")), updates, stream="load", batch_id=1)  # a replay changes nothing
+    return held.read()
+
+
+@query(ORACLE["raw_upsert"], base=False)
+def raw_table_upsert(spark, d):
+    base, batch = _base_and_batch(reviews(spark, d).withColumn("extra", F.lit("{}")))
+    columns = [f.name for f in RAW_SCHEMA]
+    return _kept(spark, base.select(*columns), batch.select("seq", *columns), RAW_SCHEMA, store.RAW_UPDATES).drop("extra")
+
+
+@query(ORACLE["marts_upsert"], base=False)
+def marts_table_upsert(spark, d):
+    base, batch = _base_and_batch(reviews(spark, d).withColumn("embedding", F.array(F.lit(1.0).cast("float"))))
+    columns = [f.name for f in SERVED_SCHEMA]
+    rows = _kept(spark, base.select(*columns), batch.select("seq", *columns), SERVED_SCHEMA, store.SERVED_UPDATES)
+    return rows.select("id", "brand", "author", "rating", "text", "sentiment", "captured_at", "relevant", "qc_checked")
+
+
+def _changed(column: str, value: str) -> str:
+    return f"CASE WHEN doc_id % 5 = 1 THEN {value} ELSE {column} END AS {column}"
+
+
+@query(f"""SELECT id, {_changed("rating", "4.0::DOUBLE")}, {_changed("captured_at", "'2030-01-02T00:00:00'")} FROM reviews WHERE doc_id % 10 = 0 OR doc_id % 5 = 1""")
+def raw_changes(spark, d):
+    """The change feed: what a batch has inserted or changed since the version before it."""
+    base, batch = _base_and_batch(reviews(spark, d).withColumn("extra", F.lit("{}")))
+    columns = [f.name for f in RAW_SCHEMA]
+    held = tables.BucketedTable(spark, shared_folder(spark, "table"), RAW_SCHEMA, 16)
+    before = held.upsert(base.select(*columns).withColumn("seq", F.lit(0)), store.RAW_UPDATES)
+    held.upsert(batch.select("seq", *columns), store.RAW_UPDATES)
+    return held.changes(before).select("id", "rating", "captured_at")
+
+
+@query(f"WITH {felt_sql('(SELECT doc_id AS key, text FROM reviews)')} SELECT id, brand, rating, CASE WHEN rating IS NOT NULL THEN sentiment ELSE {_FELT} END AS sentiment, 64 AS dimensions FROM reviews JOIN felt ON key = doc_id")
+def stream_ingest(spark, d):
+    """Reviews as a stream of files: upserted raw, enriched, served; the batch after the last is a replay."""
+    rows = reviews(spark, d).withColumn("extra", F.lit("{}")).select(*[f.name for f in RAW_SCHEMA])
+    folder, root = shared_folder(spark, "files"), shared_folder(spark, "store")
+    rows.repartition(3, "id").write.json(folder)
+    source = spark.readStream.schema(RAW_SCHEMA).option("maxFilesPerTrigger", 1).json(folder)
+    pipeline.run(spark, source, root, shared_folder(spark, "offsets"), once=True, buckets=16).awaitTermination()
+    held = pipeline.Store(spark, root, 16)
+    pipeline.ingest(held, rows.withColumn("rating", F.lit(0.0)), 0)
+    return held.served.read().select("id", "brand", "rating", "sentiment", F.size("embedding").alias("dimensions"))
+
+
 _TRUSTED = ", ".join(f"'{s}'" for s in TRUSTED)
 
 
@@ -596,12 +770,20 @@ _runs("runs_list", "true", 10, None)
 _runs("runs_list_brand", "brand ILIKE 'brand#1_'", 50, "brand#1_")
 
 
-_REPLIES = [(["r0", "r1", "r2"], '{"items": [{"i": 0, "relevant": true, "sentiment": "Positive"}, {"i": "1", "relevant": false, "sentiment": "bad"}, {"i": 9, "relevant": true}, {"i": "x", "relevant": true}, {"i": 2, "relevant": "no", "sentiment": null}]}'), (["s0"], "not json")]
+#: Replies of a judge that was shown three rows, and what they say of each: (index, relevant, sentiment).
+_REPLIES = [
+    ('{"items": [{"i": 0, "relevant": true, "sentiment": "Positive"}, {"i": "1", "relevant": false, "sentiment": "bad"}, {"i": 9, "relevant": true}, {"i": "x", "relevant": true}, {"i": 2, "relevant": "no", "sentiment": null}]}', [(0, "true", "positive"), (1, "false", "neutral"), (2, "true", "neutral")]),
+    ("not json, @t", []),
+    ('{"items": [{"i": 2, "relevant": 0, "sentiment": "NEGATIVE", "why": "@t"}, {"relevant": true}, {"i": 1.0, "relevant": "@t @n"}]}', [(2, "false", "negative"), (1, "true", "neutral")]),
+    ('{"items": []}', []),
+]
+_SAID = ", ".join(f"({k}, {i}, {ok}, '{said}')" for k, (_, rows) in enumerate(_REPLIES) for i, ok, said in rows)
 
 
-@query("""SELECT * FROM (VALUES ('r0', true, 'positive'), ('r1', false, 'neutral'), ('r2', true, 'neutral')) AS t(id, relevant, sentiment)""", base=False)
+@query(f"""SELECT 'r' || d.doc_id || '-' || i AS id, relevant, sentiment FROM documents d JOIN (VALUES {_SAID}) AS t(form, i, relevant, sentiment) ON form = d.doc_id % {len(_REPLIES)}""", base=False)
 def qc_parse(spark, d):
-    return store.parse_verdicts(spark.createDataFrame(_REPLIES, "ids array<string>, reply string"))
+    ids = F.array(*[F.concat(F.lit("r"), F.col("doc_id").cast("string"), F.lit(f"-{i}")) for i in range(3)])
+    return store.parse_verdicts(drawn(spark, d, [r for r, _ in _REPLIES]).select(ids.alias("ids"), F.col("v").alias("reply")))
 
 
 @query("SELECT id, brand FROM reviews WHERE doc_id % 4 = 1 OR doc_id % 6 = 2")
@@ -611,8 +793,7 @@ def enrich_pending(spark, d):
     return store.pending_enrichment(rows, served).select("id", "brand")
 
 
-@query(f"""WITH v AS (SELECT {_VALENCE} AS m), s AS (SELECT id, rating, sentiment, coalesce(list_sum(list_transform({_WORDS}, lambda w: coalesce(v.m[w], 0.0::DOUBLE))), 0.0::DOUBLE) AS x FROM reviews, v WHERE doc_id % 4 = 1)
-    SELECT id, CASE WHEN rating IS NOT NULL THEN sentiment WHEN x / sqrt(x * x + 15) > 0.3 THEN 'positive' WHEN x / sqrt(x * x + 15) < -0.3 THEN 'negative' ELSE 'neutral' END AS sentiment FROM s""")
+@query(f"""WITH {felt_sql("(SELECT doc_id AS key, text FROM reviews WHERE doc_id % 4 = 1)")} SELECT id, CASE WHEN rating IS NOT NULL THEN sentiment ELSE {_FELT} END AS sentiment FROM reviews JOIN felt ON key = doc_id""")
 def enriched(spark, d):
     rows = reviews(spark, d)
     served = rows.where("doc_id % 4 <> 1").withColumn("embedding", F.lit(None).cast("array<float>"))
@@ -645,28 +826,28 @@ def _vector(spark, d) -> list[float]:
     return [float(x) for x in table(spark, d, "embeddings").where("vec_id = 0").first()["embedding"]]
 
 
-_SCORED = f"""WITH v AS (SELECT embedding AS q FROM embeddings WHERE vec_id = 0), c AS (SELECT r.*, round(list_cosine_similarity(e.embedding::DOUBLE[], v.q::DOUBLE[]), 6) AS score
+_SCORED = f"""WITH v AS (SELECT embedding AS q FROM embeddings WHERE vec_id = 0), c AS (SELECT r.*, list_cosine_similarity(e.embedding::DOUBLE[], v.q::DOUBLE[]) AS exact, round(list_cosine_similarity(e.embedding::DOUBLE[], v.q::DOUBLE[]), 6) AS score
     FROM reviews r JOIN embeddings e ON e.vec_id = r.doc_id % (SELECT count(*) FROM embeddings), v WHERE {RELEVANT})"""
 
 
-@query(f"{_SCORED} SELECT id, brand, score FROM c ORDER BY score DESC, id LIMIT 8")
+@query(f"{_SCORED} SELECT id, brand, score FROM c ORDER BY exact DESC, id LIMIT 8")
 def rag_topk(spark, d):
     return retrieve.nearest(reviews(spark, d, True), _vector(spark, d)).select("id", "brand", "score")
 
 
-@query(f"{_SCORED} SELECT id, brand, score FROM c WHERE brand ILIKE '{BRAND}' ORDER BY score DESC, id LIMIT 8")
+@query(f"{_SCORED} SELECT id, brand, score FROM c WHERE brand ILIKE '{BRAND}' ORDER BY exact DESC, id LIMIT 8")
 def rag_topk_brand(spark, d):
     return retrieve.nearest(reviews(spark, d, True), _vector(spark, d), BRAND).select("id", "brand", "score")
 
 
-@query(f"""{_SCORED}, p AS (SELECT *, CASE brand WHEN '{BRAND}' THEN 0 ELSE 1 END AS brand_no, row_number() OVER (PARTITION BY brand ORDER BY score DESC, id) AS place FROM c WHERE brand IN ('{BRAND}', '{OTHER_BRAND}') QUALIFY place <= 6)
+@query(f"""{_SCORED}, p AS (SELECT *, CASE brand WHEN '{BRAND}' THEN 0 ELSE 1 END AS brand_no, row_number() OVER (PARTITION BY brand ORDER BY exact DESC, id) AS place FROM c WHERE brand IN ('{BRAND}', '{OTHER_BRAND}') QUALIFY place <= 6)
     SELECT id, brand, score, brand_no, CAST(place AS INTEGER) AS place FROM p QUALIFY row_number() OVER (PARTITION BY source_url, text ORDER BY brand_no, place) = 1""")
 def rag_multi_brand(spark, d):
     found = retrieve.nearest_of_brands(reviews(spark, d, True), _vector(spark, d), [BRAND, OTHER_BRAND])
     return found.select("id", "brand", "score", "brand_no", "place")
 
 
-_TOP = f"{_SCORED}, t AS (SELECT *, CAST(row_number() OVER (ORDER BY score DESC, id) AS INTEGER) AS n FROM c WHERE brand ILIKE '{BRAND}' QUALIFY n <= 8)"
+_TOP = f"{_SCORED}, t AS (SELECT *, CAST(row_number() OVER (ORDER BY exact DESC, id) AS INTEGER) AS n FROM c WHERE brand ILIKE '{BRAND}' QUALIFY n <= 8)"
 
 
 @query(f"""{_TOP} SELECT CASE WHEN max(score) >= 0.5 AND count(*) >= 3 THEN 'High' WHEN max(score) >= 0.35 AND count(*) >= 2 THEN 'Medium' ELSE 'Low' END AS confidence, count(*) AS reviews,
@@ -688,6 +869,50 @@ def rag_citations(spark, d):
     return retrieve.citations(retrieve.nearest(reviews(spark, d, True), _vector(spark, d), BRAND))
 
 
+def _indexed(spark, d) -> vectors.VectorIndex:
+    rows = reviews(spark, d, True).select("id", "brand", "relevant", "embedding")
+    return vectors.VectorIndex.build(rows, shared_folder(spark, "vectors"))
+
+
+@query(f"{_SCORED} SELECT id, brand, score FROM c ORDER BY exact DESC, id LIMIT 8")
+def rag_index_topk(spark, d):
+    found, _ = _indexed(spark, d).search(_vector(spark, d), 8, "relevant is not false")
+    return found.select("id", "brand", "score")
+
+
+@query(f"{_SCORED} SELECT id, brand, score FROM c WHERE brand ILIKE '{BRAND}' ORDER BY exact DESC, id LIMIT 8")
+def rag_index_brand(spark, d):
+    found, _ = _indexed(spark, d).search(_vector(spark, d), 8, f"relevant is not false and brand ilike '{BRAND}'")
+    return found.select("id", "brand", "score")
+
+
+# ---- word vectors: which words stand near which
+
+_COMMON = 200
+
+
+def _pairs_sql(tail: str) -> str:
+    return rf"""WITH w AS (SELECT row, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM (SELECT row_number() OVER () AS row, {_WORDS} AS w FROM documents)),
+        v AS MATERIALIZED (SELECT word, row_number() OVER (ORDER BY count(*) DESC, word) - 1 AS k FROM w GROUP BY word HAVING count(*) >= 5 QUALIFY k < {_COMMON}), n AS MATERIALIZED (SELECT row, i, k FROM w JOIN v USING (word)),
+        near AS (SELECT x.k AS a, y.k AS b, {meaning.WINDOW + 1} - abs(x.i - y.i) AS c FROM n x JOIN n y ON x.row = y.row AND y.i BETWEEN x.i - {meaning.WINDOW} AND x.i + {meaning.WINDOW} AND x.i <> y.i),
+        p AS (SELECT a, b, sum(c)::BIGINT AS c FROM near GROUP BY ALL), s AS (SELECT a, sum(c) AS n FROM p GROUP BY a), t AS (SELECT sum(n) AS total FROM s) {tail}"""
+
+
+@query(_pairs_sql("SELECT x.word AS a, y.word AS b, c FROM p JOIN v x ON x.k = a JOIN v y ON y.k = b"), base=False)
+def word_pairs(spark, d):
+    docs = table(spark, d, "documents")
+    words = [w for w, _ in meaning.vocabulary(docs, _COMMON)]
+    name = lambda c: F.element_at(F.array(*map(F.lit, words)), (F.col(c) + 1).cast("int"))
+    return meaning.pair_counts(docs, words).select(name("a").alias("a"), name("b").alias("b"), "c")
+
+
+@query(_pairs_sql("SELECT p.a, p.b, round(ln(c * total::DOUBLE / (x.n * y.n::DOUBLE)), 6) AS m FROM p JOIN s x ON x.a = p.a JOIN s y ON y.a = p.b, t WHERE ln(c * total::DOUBLE / (x.n * y.n::DOUBLE)) > 0"), base=False)
+def word_information(spark, d):
+    docs = table(spark, d, "documents")
+    rows = meaning.information(meaning.pair_counts(docs, [w for w, _ in meaning.vocabulary(docs, _COMMON)]))
+    return rows.select("a", "b", F.round("m", 6).alias("m"))
+
+
 # ---- text mining over the newest 60 rows of a brand
 
 
@@ -725,7 +950,37 @@ def cons_terms(spark, d):
     return insights.top_terms(_mined(spark, d).where("sentiment = 'negative'"))
 
 
-@query()
+def _themes_sql(rounds: int = insights.ROUNDS, most: int = 6) -> str:
+    """Starts and rounds of the themes, unrolled."""
+    steps = [f""", docs AS MATERIALIZED (SELECT id, any_value(sentiment) AS sentiment FROM s WHERE regexp_replace(text, '^\\s+|\\s+$', '', 'g') <> '' GROUP BY id),
+        vec AS MATERIALIZED (SELECT id, term, CAST(round(weight * {insights.UNIT}) AS BIGINT) AS w FROM weights), size AS MATERIALIZED (SELECT count(*) AS n, (SELECT count(DISTINCT term) FROM vec) AS terms FROM docs),
+        k AS MATERIALIZED (SELECT CASE WHEN n < 4 OR terms < 2 THEN 0 ELSE greatest(2, least(6, CASE WHEN n < 12 THEN 2 ELSE n // 12 END, terms)) END AS k FROM size),
+        dot AS MATERIALIZED (SELECT a.id AS a, b.id AS b, sum(a.w * b.w)::BIGINT AS d FROM vec a JOIN vec b USING (term) GROUP BY ALL),
+        own AS MATERIALIZED (SELECT docs.id, coalesce(d, 0) AS q FROM docs LEFT JOIN dot ON a = docs.id AND b = docs.id),
+        apart AS MATERIALIZED (SELECT x.id AS a, y.id AS b, x.q + y.q - 2 * coalesce(d, 0) AS d, y.q - 2 * coalesce(d, 0) AS far FROM own x, own y LEFT JOIN dot ON dot.a = x.id AND dot.b = y.id),
+        start0 AS MATERIALIZED (SELECT 0 AS theme, min(id) AS id FROM docs)"""]
+    for j in range(1, most):
+        steps.append(f"start{j} AS MATERIALIZED (FROM start{j - 1} UNION ALL SELECT {j}, a FROM (SELECT a, min(d) AS d FROM apart WHERE b IN (SELECT id FROM start{j - 1}) GROUP BY a ORDER BY d DESC, a LIMIT 1), k WHERE k > {j})")
+    steps.append(f"round0 AS MATERIALIZED (SELECT a AS id, theme FROM apart JOIN start{most - 1} st ON st.id = b WHERE (SELECT k FROM k) > 0 QUALIFY row_number() OVER (PARTITION BY a ORDER BY far, theme) = 1)")
+    far, square = "(1000::HUGEINT * (m.q - 2 * m.c * coalesce(d, 0)))", "(m.c * m.c)"
+    floor = f"({far} - ({far} % {square} + {square}) % {square}) // {square}"
+    for r in range(1, rounds + 1):
+        last = f"round{r - 1}"
+        steps.append(f"""sum{r} AS MATERIALIZED (SELECT theme, term, sum(w)::BIGINT AS s FROM {last} JOIN vec USING (id) GROUP BY ALL),
+            mean{r} AS MATERIALIZED (SELECT theme, c, coalesce(q, 0) AS q FROM (SELECT theme, count(*) AS c FROM {last} GROUP BY theme) LEFT JOIN (SELECT theme, sum(s * s)::BIGINT AS q FROM sum{r} GROUP BY theme) USING (theme)),
+            far{r} AS MATERIALIZED (SELECT id, theme, sum(w * s)::BIGINT AS d FROM vec JOIN sum{r} USING (term) GROUP BY ALL),
+            round{r} AS MATERIALIZED (SELECT docs.id, m.theme FROM docs CROSS JOIN mean{r} m LEFT JOIN far{r} f ON f.id = docs.id AND f.theme = m.theme
+                QUALIFY row_number() OVER (PARTITION BY docs.id ORDER BY {floor}, m.theme) = 1)""")
+    tone = "CASE WHEN positive >= neutral AND positive >= negative THEN 'positive' WHEN neutral >= negative THEN 'neutral' ELSE 'negative' END"
+    return ", ".join(steps) + f""", labelled AS (SELECT * FROM round{rounds} JOIN docs USING (id)),
+        facts AS (SELECT theme, count(*) AS mentions, count(*) FILTER (sentiment = 'positive') AS positive, count(*) FILTER (sentiment = 'neutral') AS neutral, count(*) FILTER (sentiment = 'negative') AS negative FROM labelled GROUP BY theme),
+        best AS (SELECT theme, term, row_number() OVER (PARTITION BY theme ORDER BY round(sum(weight), 6) DESC, term) AS n FROM labelled JOIN weights USING (id) GROUP BY theme, term),
+        terms AS (SELECT theme, list(term ORDER BY n) AS t FROM best WHERE n <= 3 GROUP BY theme)
+        SELECT theme, upper(t[1][1]) || t[1][2:] AS name, mentions, {tone} AS sentiment, 'About ' || mentions || ' reviews, most often on ' || array_to_string(t, ', ') || '; mostly ' || {tone} || '.' AS description
+        FROM facts JOIN terms USING (theme) ORDER BY mentions DESC, theme LIMIT 6"""
+
+
+@query(_terms_sql(_themes_sql()), base=False)
 def themes(spark, d):
     return insights.themes(R.sample(reviews(spark, d), BRAND), insights.stop_words(BRAND))
 

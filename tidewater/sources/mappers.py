@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewater.functions.schema import content_key
-from tidewater.functions.text import cut_at_word, first_text, join_parts, plain_text, source_from_url, strip, to_rating
+from tidewater.functions.text import cut_at_word, join_parts, plain_text, source_from_url, strip, to_rating
+from tidewater.sources import html
 
 
 def field(path: str, item: str = "item") -> Column:
@@ -33,7 +34,7 @@ def extra(**paths: str) -> Column:
     return F.to_json(F.struct(*[field(p).alias(k) for k, p in paths.items()]))
 
 
-def record(items: DataFrame, source: Column, url: Column, text: Column, author: Column, rating: Column, created_at: Column, more: Column) -> DataFrame:
+def record(items: DataFrame, source: Column, url: Column, text: Column, author: Column, rating: Column, created_at: Column, more: Column, need_url: bool = True) -> DataFrame:
     empty = F.lit("")
     rows = items.select(
         "brand",
@@ -44,7 +45,8 @@ def record(items: DataFrame, source: Column, url: Column, text: Column, author:
         text.alias("text"),
         created_at.alias("created_at"),
         more.alias("extra"),
-    ).where((F.col("source_url") != "") & (strip(F.col("text")) != ""))
+    ).where(strip(F.col("text")) != "")
+    rows = rows.where("source_url <> ''") if need_url else rows
     key = content_key(F.col("brand"), F.col("source"), F.col("source_url"), F.col("text"))
     return rows.select(key.alias("id"), *rows.columns)
 
@@ -198,20 +200,34 @@ def web_pages(items: DataFrame, most: int = 2000) -> DataFrame:
     return record(items, source_from_url(field("url")), field("url"), join_parts(strip(F.coalesce(field("title"), F.lit(""))), body), nothing(), nothing(), nothing(), F.to_json(F.struct(F.lit("firecrawl").alias("engine"))))
 
 
+# Where the parts of a review card lie.
+CARD = 'article[data-service-review-card-paper], article[class*="reviewCard"], [class*="styles_reviewCard"], article'
+CARD_FIELDS = {
+    "title": (["[data-review-title-typography]", 'a[class*="reviewTitle"]', "h2"], None),
+    "body": (["[data-service-review-text-typography]", 'p[class*="reviewContent"]', 'p[class*="reviewText"]'], None),
+    "author": (["[data-consumer-name-typography]", 'span[class*="consumerName"]'], None),
+    "stars": (["[data-service-review-rating]"], "data-service-review-rating"),
+    "stars_text": (["img[alt*='Rated'], img[alt*='rated']"], "alt"),
+    "created": (["time"], "datetime"),
+    "link": (['a[href*="/reviews/"], a[data-review-title-typography]'], "href"),
+}
+CARD_SITE = "https://www.trustpilot.com"
+
+
 def trustpilot(pages: DataFrame) -> DataFrame:
-    """Review cards in HTML (columns brand, url, html): rating from an attribute or the image's words, links made absolute."""
-    cards = F.filter(F.split("html", r"(?=<article\b)"), lambda c: c.startswith("<article"))
-    rows = pages.select("brand", "url", F.explode(cards).alias("card"))
-    card = F.col("card")
-    title = plain_text(F.regexp_extract(card, r"(?s)<h2[^>]*>(.*?)</h2>", 1))
-    body = plain_text(F.regexp_extract(card, r"(?s)<p[^>]*data-service-review-text-typography[^>]*>(.*?)</p>", 1))
-    stars = F.coalesce(F.nullif(F.regexp_extract(card, r'data-service-review-rating="(\d)', 1), F.lit("")), F.nullif(F.regexp_extract(card, r'alt="Rated (\d)', 1), F.lit("")))
-    link = F.regexp_extract(card, r'href="([^"]*/reviews/[^"]*)"', 1)
-    origin = F.regexp_extract("url", r"^(https?://[^/]+)", 1)
-    absolute = F.when(link == "", F.col("url")).when(link.startswith("http"), link).otherwise(F.concat(origin, link))
-    author = F.nullif(plain_text(F.regexp_extract(card, r"(?s)data-consumer-name-typography[^>]*>(.*?)</", 1)), F.lit(""))
-    when = F.nullif(F.regexp_extract(card, r'<time[^>]*datetime="([^"]*)"', 1), F.lit(""))
-    return record(rows, F.lit("trustpilot"), absolute, join_parts(title, body), author, to_rating(stars), when, F.lit("{}"))
+    """Review cards in HTML (columns brand, html and, if known, the page's url): rating from an attribute or the image's words.
+
+    Links are made absolute; a card without link has the page's, or an empty one. A card without title and body is dropped.
+    """
+    pages = pages.withColumn("url", beside(pages, "url"))
+    rows = html.cards(pages, CARD, CARD_FIELDS, ["brand", "url"])
+    link, empty = F.col("link"), F.lit("")
+    site = F.coalesce(F.nullif(F.regexp_extract("url", r"^(https?://[^/]+)", 1), empty), F.lit(CARD_SITE))
+    absolute = F.when(F.coalesce(link, empty) == "", F.coalesce("url", empty)).when(link.startswith("http"), link).when(link.startswith("/"), F.concat(site, link)).otherwise(F.concat(site, F.lit("/"), link))
+    worded = F.regexp_extract("stars_text", r"([0-5](?:\.\d)?)\s+out of\s+5", 1)
+    stars = F.coalesce(to_rating(F.col("stars")), to_rating(worded))
+    some = lambda c: F.nullif(F.col(c), empty)
+    return record(rows, F.lit("trustpilot"), absolute, join_parts(F.col("title"), F.col("body")), some("author"), stars, some("created"), F.to_json(F.struct(F.lit("trustpilot").alias("site"))), need_url=False)
 
 
 MAPPERS: dict[str, Callable[[DataFrame], DataFrame]] = {
