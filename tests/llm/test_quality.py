@@ -59,6 +59,15 @@ def slow_bm25(items, passage):
     return [sum(impact(w, k) for w in set(passage) if w in split[k]) / own[k] for k in range(n)]
 
 
+def test_a_label_row_that_repeats_very_often(spark):
+    rng = random.Random(9)
+    rows, labels = labelled(rng, 300)
+    often = spark.createDataFrame(labels, "doc_id long, toxic int").unionAll(spark.range(20_000).selectExpr(f"{labels[0][0]}L AS doc_id", f"{labels[0][1]} AS toxic"))
+    once = toxicity.train(frame(spark, rows), spark.createDataFrame(labels, "doc_id long, toxic int"), 1000)
+    model = toxicity.train(frame(spark, rows), often, 1000)
+    assert np.allclose(model.weights, once.weights) and np.allclose(model.cuts, once.cuts) and model.weights.any()
+
+
 def test_bounds_lose_no_item_above_the_threshold():
     rng = random.Random(5)
     items = [(i, prose(rng, rng.randrange(12, 40))) for i in range(50)]
@@ -78,6 +87,22 @@ def test_bounds_lose_no_item_above_the_threshold():
             assert want <= found and all(scores[k] >= 0.4 - 1e-9 for k in found)
 
 
+def test_long_documents_are_read_in_slices(monkeypatch):
+    rng = random.Random(6)
+    items = [(i, prose(rng, rng.randrange(12, 40))) for i in range(40)]
+    index = decontamination.build(items)
+    ws = decontamination.words(" ".join(items[rng.randrange(40)][1] if rng.random() < 0.2 else prose(rng, 40) for _ in range(150)).encode())
+    ids = np.array([index.terms.get(w, -1) for w in ws])
+    found, seen, live = [], [], decontamination._live
+    monkeypatch.setattr(decontamination, "_live", lambda i, part, n, step, t: (seen.append(len(part)), live(i, part, n, step, t))[1])
+    for most in (1, 7, 10_000):
+        monkeypatch.setattr(decontamination, "SLICE_WINDOWS", most)
+        seen.clear()
+        found.append(list(decontamination.search(index, ids, 0.4)))
+        assert max(seen) <= (most + 1) * index.window // 2 + index.window
+    assert found[0] == found[1] == found[2] and len(found[0]) > 5
+
+
 def test_decontamination(spark):
     rng = random.Random(3)
     items = [(i, prose(rng, 30).replace("\n", " ")) for i in range(30)] + [(30, None), (None, "x"), (31, ""), (32, "a b c")]

@@ -35,6 +35,8 @@ THRESHOLD = 0.4
 QUESTION, ANSWER = 0.6, 0.6
 BLOCK_ITEMS = 16
 LEAST_WINDOW = 64
+#: Windows of a document whose bounds are taken at one time, so that memory doesn't grow with its length.
+SLICE_WINDOWS = 128
 #: Most items of one index that travels to executors: its size follows their words (about 40 bytes each, 30 MB at 30 words); more items
 #: make more indexes, each a pass.
 INDEX_ITEMS = 20_000
@@ -170,7 +172,10 @@ def search(index: Index, ids: np.ndarray, threshold: float) -> Iterator[tuple[in
     step = index.window // 2
     starts = np.arange(0, max(1, len(ids) - step), step)
     stops = np.minimum(starts + index.window, len(ids))
-    live = _live(index, ids, len(starts), step, threshold)
+    live = np.zeros(len(starts), bool)
+    for k in range(0, len(starts), SLICE_WINDOWS):
+        part = slice(k, min(k + SLICE_WINDOWS, len(starts)))
+        live[part] = _live(index, ids[starts[part][0] : stops[part][-1]], part.stop - k, step, threshold)
     for s, e in zip(starts[live].tolist(), stops[live].tolist(), strict=True):
         terms = np.sort(ids[s:e])
         terms = terms[np.concatenate([[True], terms[1:] != terms[:-1]]) & (terms >= 0)]

@@ -158,15 +158,14 @@ def features(docs: DataFrame, keep: list[str]) -> DataFrame:
 def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Ordinal:
     """Fit on at most sample_rows labelled documents, those with the smallest hash of doc_id.
 
-    A doc_id with several texts or repeated rows counts once, with its smallest text, before anything reaches the driver.
+    A doc_id with several texts or repeated rows counts once, with its smallest text, before the limit is taken.
     """
     sample = (
         labels.where("doc_id is not null and toxic is not null")
-        .select("doc_id", F.col("toxic").cast("int").alias("label"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id", "label")
-        .limit(sample_rows)
         .groupBy("doc_id")
-        .agg(F.max("label").alias("label"))
+        .agg(F.max(F.col("toxic").cast("int")).alias("label"))
+        .orderBy(F.xxhash64("doc_id"), "doc_id")
+        .limit(sample_rows)
     )
     # the sample is at most sample_rows pairs of numbers
     once = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").groupBy("doc_id").agg(F.max("label").alias("label"), F.min("text").alias("text"))
