@@ -39,6 +39,13 @@ def test_packing_covers_every_id_once(spark):
         assert at <= 128
 
 
+def test_equal_rows_are_packed_in_many_groups(spark):
+    cut = packing.pieces(frame(spark, [(None, "one text that comes again and again")] * 900 + [(1, "x")] * 300), 32)
+    once, again = (sorted((tuple(r) for r in packing.pack(cut, 1200, 32, 100).collect()), key=repr) for _ in range(2))
+    per_group = collections.Counter(r[5] >> 32 for r in once)
+    assert once == again and len(once) == 1200 and len(per_group) == 12 and max(per_group.values()) <= 110
+
+
 def test_best_fit_takes_the_tightest_window():
     rng = random.Random(1)
     for _ in range(20):

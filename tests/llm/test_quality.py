@@ -93,16 +93,57 @@ def test_long_documents_are_read_in_slices(monkeypatch):
     index = decontamination.build(items)
     ws = decontamination.words(" ".join(items[rng.randrange(40)][1] if rng.random() < 0.2 else prose(rng, 40) for _ in range(150)).encode())
     ids = np.array([index.terms.get(w, -1) for w in ws])
-    found, seen, live = [], [], decontamination._live
-    monkeypatch.setattr(decontamination, "_live", lambda i, part, n, step, t: (seen.append(len(part)), live(i, part, n, step, t))[1])
+    found, seen, whole = [], [], decontamination._slice_hits
+    monkeypatch.setattr(decontamination, "_slice_hits", lambda i, part, n, step, t: (seen.append(len(part)), whole(i, part, n, step, t))[1])
     for most in (1, 7, 10_000):
         monkeypatch.setattr(decontamination, "SLICE_WINDOWS", most)
         seen.clear()
         found.append(list(decontamination.search(index, ids, 0.4)))
-        assert max(seen) <= (most + 1) * index.window // 2 + index.window
+        assert max(seen) <= (most + 1) * index.window // 2
     assert found[0] == found[1] == found[2] and len(found[0]) > 5
 
 
+def test_postings_of_blocks_below_the_threshold_are_not_read(monkeypatch):
+    rng = random.Random(7)
+    items = [(i, prose(rng, 30)) for i in range(600)]
+    index = decontamination.build(items)
+    read, whole = [0], decontamination._postings
+    monkeypatch.setattr(decontamination, "_postings", lambda i, e: (lambda p: (read.__setitem__(0, read[0] + len(p)), p)[1])(whole(i, e)))
+    ws = decontamination.words((prose(rng, 4000) + " " + items[5][1] + " " + prose(rng, 4000)).encode())
+    ids = np.array([index.terms.get(w, -1) for w in ws])
+    found = list(decontamination.search(index, ids, 0.4))
+    assert any(index.ids[k] == 5 for _, hits in found for k, _ in hits)
+    every = sum(int(index.starts[t + 1] - index.starts[t]) for s in range(0, len(ids), index.window // 2) for t in set(ids[s : s + index.window].tolist()) - {-1})
+    assert 0 < read[0] < 0.2 * every
+
+
+def test_hits_are_those_of_a_plain_search(spark):
+    """Both ways: every document's verified hits, by plain BM25 over all windows and sets of word triples."""
+    rng = random.Random(12)
+    items = [(i, prose(rng, rng.randrange(15, 40)).replace("\n", " ")) for i in range(25)]
+    docs = []
+    for d in range(40):
+        parts = [prose(rng, rng.randrange(0, 120))]
+        for _ in range(rng.randrange(3)):
+            ws = items[rng.randrange(25)][1].split(" ")
+            parts += [" ".join(w for w in ws if rng.random() < rng.choice([1.0, 0.95, 0.8])), prose(rng, 30)]
+        docs.append((d, " ".join(parts)))
+    index, want = decontamination.build(items), set()
+    for d, text in docs:
+        ws = decontamination.words(text.encode())
+        step = index.window // 2
+        for s in range(0, max(1, len(ws) - step), step):
+            part = ws[s : s + index.window]
+            held = decontamination.triples(part)
+            for k, score in enumerate(slow_bm25(items, part)):
+                q, a = (decontamination.triples(x) for x in decontamination.question_answer(items[k][1]))
+                if score >= 0.4 and len(q & held) >= 0.6 * len(q) and len(a & held) >= 0.6 * len(a):
+                    want.add((d, k))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = decontamination.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == want and len(want) > 10
+
+
 def test_decontamination(spark):
     rng = random.Random(3)
     items = [(i, prose(rng, 30).replace("\n", " ")) for i in range(30)] + [(30, None), (None, "x"), (31, ""), (32, "a b c")]

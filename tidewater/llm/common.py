@@ -51,11 +51,13 @@ def persist(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Delete the scratch tables that results written meanwhile no longer need."""
+def release(spark: SparkSession, since: int = 0, keep: int = 0) -> None:
+    """Delete the scratch tables made from number `since` on, but for the newest `keep`: what was written meanwhile doesn't need them."""
     jvm = spark._jvm
-    while SCRATCH:
-        path = jvm.org.apache.hadoop.fs.Path(SCRATCH.pop())
+    going = SCRATCH[since : len(SCRATCH) - keep]
+    del SCRATCH[since : len(SCRATCH) - keep]
+    for name in going:
+        path = jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 

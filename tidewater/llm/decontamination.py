@@ -1,15 +1,15 @@
 """Benchmark decontamination: BM25 with block-max bounds over an inverted index of test items.
 
 Every passage of every document is a query against the index of test items. Scores are relative to an
-item's score against itself, so one threshold serves long and short items. The
-bounds of block-max WAND are taken for sets of postings instead of one cursor at a time: maxima of terms tell
-which passages can reach the threshold without the commonest terms, maxima of terms in blocks of items skip
-blocks, and what is left is scored in full; hits are verified by the overlap of question and answer word triples.
+item's score against itself, so one threshold serves long and short items. The bounds of block-max WAND are taken
+for slices of passages instead of one cursor at a time: the maxima of a passage's terms in a block of items say what
+the items of that block can reach, first without the commonest terms; only postings in blocks that can reach the
+threshold are read, and scored in full. Hits are verified by the overlap of question and answer word triples.
 Maxima are kept only for blocks in which a term occurs, so an index grows with its postings.
 
 Cases: a null or empty text has no passages; items without words or with a null id are not indexed;
 items with equal texts are all reported; repeated document rows give equal hits; a null doc_id is
-reported as null; very long texts are read passage by passage; an empty table gives no rows; other
+reported as null; very long texts are read in slices of passages; an empty table gives no rows; other
 columns are kept by `drop_contaminated` and ignored elsewhere.
 """
 
@@ -33,7 +33,7 @@ K1, B = 1.2, 0.75
 THRESHOLD = 0.4
 #: Shares of the question's and the answer's word triples that a contaminated passage holds at least.
 QUESTION, ANSWER = 0.6, 0.6
-BLOCK_ITEMS = 16
+BLOCK_ITEMS = 4
 LEAST_WINDOW = 64
 #: Windows of a document whose bounds are taken at one time, so that memory doesn't grow with its length.
 SLICE_WINDOWS = 128
@@ -78,6 +78,7 @@ class Index:
     block_starts: np.ndarray
     blocks: np.ndarray
     block_most: np.ndarray
+    entry_starts: np.ndarray
     window: int
     parts: list[tuple[set, set]]
     edge: float
@@ -125,7 +126,7 @@ def build(items: list[tuple[int, str]]) -> Index | None:
     common = float(most[most <= edge].sum())
     if common >= THRESHOLD:  # ties at the edge
         edge, common = -1.0, 0.0
-    return Index(np.array([i for i, _, _ in split]), terms, first, at, share, most, block_starts, at[runs] // BLOCK_ITEMS, block_most, window, parts, edge, common)
+    return Index(np.array([i for i, _, _ in split]), terms, first, at, share, most, block_starts, at[runs] // BLOCK_ITEMS, block_most, np.append(runs, len(at)), window, parts, edge, common)
 
 
 def _ranges(starts: np.ndarray, terms: np.ndarray) -> np.ndarray:
@@ -134,63 +135,81 @@ def _ranges(starts: np.ndarray, terms: np.ndarray) -> np.ndarray:
     return np.repeat(starts[terms] - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes) + np.arange(sizes.sum())
 
 
-def _live(index: Index, ids: np.ndarray, windows: int, step: int, threshold: float) -> np.ndarray:
-    """Which windows some item may reach: postings of all but the commonest terms are added up for all
-    windows at once; the commonest ones can't add more than their maxima together."""
-    most = index.most[ids]
-    at = np.flatnonzero((ids >= 0) & (most > index.edge))
+def _postings(index: Index, entries: np.ndarray) -> np.ndarray:
+    """Places of the postings of some entries (the postings of one term in one block)."""
+    return _ranges(index.entry_starts, entries)
+
+
+def _sums(cell: np.ndarray, value: np.ndarray, cells: int) -> tuple[np.ndarray, np.ndarray]:
+    """The cells that occur and their sums; values of a cell are added in the order given."""
+    if cells <= 4 * len(cell) + 100_000:
+        sums = np.bincount(cell, value, cells)
+        at = np.flatnonzero(np.bincount(cell, minlength=cells))
+        return at, sums[at]
+    at, where = np.unique(cell, return_inverse=True)
+    return at, np.bincount(where, value, len(at))
+
+
+def _slice_hits(index: Index, ids: np.ndarray, windows: int, step: int, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(window, item, score) at threshold or above, for windows that begin every `step` words and are twice as long.
+
+    The block maxima of a window's terms bound what the items of each block can reach: first without the commonest
+    terms, which can't add more than their maxima together, then with them. Postings are read in blocks that pass both.
+    """
+    none = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+    at = np.flatnonzero(ids >= 0)
     # a word lies in the window that starts at or before its step, and in the one before
     own = at // step
     window = np.concatenate([own, own - 1])
     keys = (window * len(index.most) + np.concatenate([ids[at], ids[at]]))[(window >= 0) & (window < windows)]
     if not len(keys):
-        return np.zeros(windows, bool)
+        return none
     keys.sort()
-    keys = keys[np.concatenate([[True], keys[1:] != keys[:-1]])]
-    window, term = np.divmod(keys, len(index.most))
-    sizes = index.starts[term + 1] - index.starts[term]
-    post = np.repeat(index.starts[term] - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes) + np.arange(sizes.sum())
-    cell = np.repeat(window, sizes) * len(index.ids) + index.items[post]
-    if windows * len(index.ids) <= 4 * len(cell) + 1_000_000:
-        sums = np.bincount(cell, index.impacts[post], windows * len(index.ids))
-        hit = np.flatnonzero(sums >= (threshold - index.common) * (1 - 1e-6))
-    else:
-        order = np.argsort(cell, kind="stable")
-        cell = cell[order]
-        first = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
-        hit = cell[first][np.add.reduceat(index.impacts[post][order], first) >= (threshold - index.common) * (1 - 1e-6)]
-    live = np.zeros(windows, bool)
-    live[hit // len(index.ids)] = True
-    return live
+    window, term = np.divmod(keys[np.concatenate([[True], keys[1:] != keys[:-1]])], len(index.most))
+    blocks, n = -(-len(index.ids) // BLOCK_ITEMS), len(index.ids)
+
+    def entries(use: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The entries of some of the terms, and the cell (window and block) of each."""
+        found = _ranges(index.block_starts, term[use])
+        sizes = index.block_starts[term[use] + 1] - index.block_starts[term[use]]
+        return found, np.repeat(window[use], sizes) * blocks + index.blocks[found]
+
+    found, cell = entries(index.most[term] > index.edge)
+    reached, bound = _sums(cell, index.block_most[found], windows * blocks)
+    reached = reached[bound >= (threshold - index.common) * (1 - 1e-6)]
+    if not len(reached):
+        return none
+    live = np.zeros(windows * blocks, bool)
+    live[reached] = True
+    of_live = np.zeros(windows, bool)
+    of_live[reached // blocks] = True
+    found, cell = entries(of_live[window])
+    found, cell = found[live[cell]], cell[live[cell]]
+    reached, bound = _sums(cell, index.block_most[found], windows * blocks)
+    live[reached[bound < threshold * (1 - 1e-6)]] = False
+    found, cell = found[live[cell]], cell[live[cell]]
+    if not len(found):
+        return none
+    post = _postings(index, found)
+    pair = np.repeat(cell // blocks, index.entry_starts[found + 1] - index.entry_starts[found]) * n + index.items[post]
+    pair, score = _sums(pair, index.impacts[post], windows * n)
+    hit = score >= threshold
+    return pair[hit] // n, pair[hit] % n, score[hit]
 
 
 def search(index: Index, ids: np.ndarray, threshold: float) -> Iterator[tuple[int, list[tuple[int, float]]]]:
-    """(start, [(item, score)]) of all windows of a document and all items at threshold or above.
+    """(start, [(item, score)]) of the windows of a document that have items at threshold or above.
 
     ids: the document's words as term numbers, -1 for words outside the index.
     """
     step = index.window // 2
     starts = np.arange(0, max(1, len(ids) - step), step)
-    stops = np.minimum(starts + index.window, len(ids))
-    live = np.zeros(len(starts), bool)
     for k in range(0, len(starts), SLICE_WINDOWS):
-        part = slice(k, min(k + SLICE_WINDOWS, len(starts)))
-        live[part] = _live(index, ids[starts[part][0] : stops[part][-1]], part.stop - k, step, threshold)
-    for s, e in zip(starts[live].tolist(), stops[live].tolist(), strict=True):
-        terms = np.sort(ids[s:e])
-        terms = terms[np.concatenate([[True], terms[1:] != terms[:-1]]) & (terms >= 0)]
-        if index.most[terms].sum() < threshold * (1 - 1e-9):
-            continue
-        held = _ranges(index.block_starts, terms)
-        blocks = np.bincount(index.blocks[held], index.block_most[held], -(-len(index.ids) // BLOCK_ITEMS)) >= threshold * (1 - 1e-6)
-        if not blocks.any():
-            continue
-        at = _ranges(index.starts, terms)
-        at = at[blocks[index.items[at] // BLOCK_ITEMS]]
-        scores = np.bincount(index.items[at], index.impacts[at], len(index.ids))
-        hit = np.flatnonzero(scores >= threshold)
-        if len(hit):
-            yield s, [(int(k), float(scores[k])) for k in hit]
+        some = starts[k : k + SLICE_WINDOWS]
+        held: dict[int, list] = {}
+        for w, item, score in zip(*(x.tolist() for x in _slice_hits(index, ids[some[0] : some[-1] + index.window], len(some), step, threshold)), strict=True):
+            held.setdefault(w, []).append((item, score))
+        yield from ((int(some[w]), found) for w, found in held.items())
 
 
 HITS = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double, passage_start int"

@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -104,6 +105,7 @@ class OpenWindows:
         self.size = 1 << window.bit_length()
         self.count = [0] * (2 * self.size)
         self.open: list[list[int]] = [[] for _ in range(window + 1)]
+        self.begun = 0
 
     def _add(self, room: int, by: int) -> None:
         x = room + self.size
@@ -131,14 +133,14 @@ class OpenWindows:
         return room, self.open[room].pop()
 
 
-def best_fit(lengths: list[int], window: int) -> tuple[list[int], list[int]]:
-    """Sequence and offset of each length; lengths come longest first."""
-    free, sequences, offsets, n = OpenWindows(window), [], [], 0
+def best_fit(lengths: list[int], window: int, free: OpenWindows | None = None) -> tuple[list[int], list[int]]:
+    """Sequence and offset of each length; lengths come longest first. `free` carries on from earlier ones."""
+    free, sequences, offsets = free or OpenWindows(window), [], []
     for length in lengths:
         found = free.take(length) if length < window else None
         if found is None:
-            room, sequence = window, n
-            n += 1
+            room, sequence = window, free.begun
+            free.begun += 1
         else:
             room, sequence = found
         sequences.append(sequence)
@@ -151,24 +153,19 @@ def best_fit(lengths: list[int], window: int) -> tuple[list[int], list[int]]:
 def pack(cut: DataFrame, rows: int, window: int = 1024, group_rows: int = GROUP_ROWS) -> DataFrame:
     """Pack pieces of at most `window` ids; adds sequence_id and offset.
 
-    `rows` (about the number of pieces) sets how many groups there are. Pieces are dealt into groups by
-    hash, so that groups are even; each is packed alone, leaving a few open windows in each.
+    `rows` (about the number of pieces) sets how many groups there are. Pieces are dealt to groups in turn, so that
+    groups are even and equal rows spread too; each group is packed longest first, leaving a few open windows in each.
     """
-    groups = max(1, -(-rows // group_rows))
-    key = F.pmod(F.xxhash64("doc_id", "start", "length", "ids_crc32"), F.lit(groups))
-
-    def fit(group: pa.Table) -> pa.Table:
-        group = group.sort_by([("length", "descending"), ("doc_id", "ascending"), ("start", "ascending"), ("ids_crc32", "ascending")])
-        sequences, offsets = best_fit(group.column("length").to_pylist(), window)
-        base = group.column("_group")[0].as_py() << 32
-        return (
-            group.drop_columns(["_group"])
-            .append_column("sequence_id", pa.array(np.array(sequences, np.int64) + base))
-            .append_column("offset", pa.array(offsets, pa.int64()))
-        )
-
-    schema = ", ".join(f"{n} {t.replace('bigint', 'long')}" for n, t in cut.dtypes) + ", sequence_id long, offset long"
-    return cut.withColumn("_group", key).groupBy("_group").applyInArrow(fit, schema)
+    names = cut.columns
+
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        free, base = OpenWindows(window), TaskContext.get().partitionId() << 32
+        for batch in batches:
+            sequences, offsets = best_fit(batch.column("length").to_pylist(), window, free)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.array(sequences, np.int64) + base), pa.array(offsets, pa.int64())], [*names, "sequence_id", "offset"])
+
+    dealt = cut.repartition(max(1, -(-rows // group_rows))).sortWithinPartitions(F.desc("length"), "doc_id", "start", "ids_crc32")
+    return dealt.mapInArrow(fit, ", ".join(f"{n} {t}" for n, t in cut.dtypes) + ", sequence_id bigint, offset bigint")
 
 
 def pack_documents(docs: DataFrame, window: int = 1024, path: str | None = None, with_ids: bool = False) -> DataFrame:
