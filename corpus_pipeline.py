@@ -6,16 +6,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewater.llm import decontamination, linededup, packing, simhash, toxicity
-from tidewater.llm.common import persist, table
+from tidewater.llm.common import SCRATCH, persist, release, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the ordinal regression calls toxic go."""
+    """Documents that the ordinal regression calls toxic go; null and empty texts stay, each row is judged alone."""
     return toxicity.drop_toxic(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated and nearly repeated lines go; so do documents of which no word is left."""
+    """Repeated and nearly repeated lines go; so do documents of which no word is left. Null texts stay as they are."""
     done = linededup.dedup_lines(docs)
     empty = (F.col("n_removed") > 0) & ~F.col("text").rlike(r"[\p{L}\p{N}]")
     kept = done.where(F.col("text").isNull() | ~empty)
@@ -23,17 +23,17 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays."""
+    """One document of each near-duplicate group stays: the one of least doc_id, null last; null and empty texts stay."""
     return simhash.keep_one(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold the question and answer of a benchmark item go."""
+    """Documents that hold the question and answer of a benchmark item go; null and empty texts stay, items that repeat count once."""
     return decontamination.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents in windows of 1024 tokens."""
+    """Pieces of documents in windows of 1024 tokens; a null or empty text is its closing id alone."""
     return packing.pack_documents(docs, window=1024)
 
 
@@ -50,7 +50,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, begun = table(spark, sf_dir, "documents"), len(SCRATCH)
     for name, stage in STAGES[:-1]:
         docs = persist(stage(spark, docs, sf_dir), name)
+        release(spark, begun, keep=1)  # the stage's own tables and its predecessor's result
     return STAGES[-1][1](spark, docs, sf_dir)
