@@ -169,7 +169,7 @@ def test_line_dedup(spark):
         text[r.doc_id].append((r.text, r.n_removed))
     assert text[1] == [(rows[0][1], 0)]
     assert text[2] == [(lines[2] + "\nshort one", 1)]
-    assert text[3] == [(lines[3] + "\nshort one", 1)]
+    assert text[3] == [(lines[3], 2)]
     assert text[4] == [("", 2)]
     assert text[5] == [(None, 0)] and text[6] == [("", 0)]
     assert text[None] == [(lines[4], 1)]
@@ -178,6 +178,17 @@ def test_line_dedup(spark):
     assert linededup.dedup_lines(frame(spark, [])).count() == 0
 
 
+def test_short_lines_go_by_their_words(spark):
+    """Lines of one to four words, and lines in scripts without spaces, go if they repeat; other numbers make other lines."""
+    long = "這是一行很長的沒有空格的文字需要整行相同才會被刪除"
+    rows = [(1, "Thanks.\nPage 12\n" + long + "\n---"), (2, "thanks!\nPage 13\n" + long + "\n---\n2024"), (3, "Page 12\n2025\nThanks a lot\n" + long + "了"), (None, "2024\n" + "x " * 9 + "\nThanks")]
+    got = {r.doc_id: (r.text, r.n_removed) for r in linededup.dedup_lines(frame(spark, rows)).collect()}
+    assert got[1] == (rows[0][1], 0)
+    assert got[2] == ("Page 13\n---\n2024", 2)
+    assert got[3] == ("2025\nThanks a lot\n" + long + "了", 1)
+    assert got[None] == ("x " * 9, 2)
+
+
 def test_lines_in_large_buckets(spark):
     """Chunks of a bucket meet each other, so a small bucket size finds the same links."""
     rng = random.Random(4)
