@@ -818,6 +818,113 @@ def alerts_plan(spark, d):
     return alerts.plan(rows, alerted, seen)
 
 
+_JUDGED = "CASE length(substring(text, 1, 600)) % 3 WHEN 0 THEN 'positive' WHEN 1 THEN 'neutral' ELSE 'negative' END"
+
+
+def _judge_by_length(brand: str, texts: list[str]) -> list[tuple[int, bool, str]]:
+    """A stand-in judge; it says nothing about every seventh length."""
+    return [(i, (len(t) + int(brand.removeprefix("Brand#"))) % 2 == 0, ("positive", "neutral", "negative")[len(t) % 3]) for i, t in enumerate(texts) if len(t) % 7]
+
+
+@query(f"""WITH t AS (SELECT id, brand, source, text, rating, captured_at, sentiment, CASE WHEN qc_checked IS NOT TRUE AND source IN ({_TRUSTED}) THEN true ELSE relevant END AS relevant, CASE WHEN qc_checked IS NOT TRUE AND source IN ({_TRUSTED}) THEN true ELSE qc_checked END AS qc_checked FROM reviews),
+    p AS (SELECT id, (length(substring(text, 1, 600)) + CAST(substring(brand, 7) AS INTEGER)) % 2 = 0 AS ok, {_JUDGED} AS said FROM (SELECT * FROM t WHERE qc_checked IS NOT TRUE AND NOT source IN ({_TRUSTED}) ORDER BY {_NEWEST} LIMIT 600) WHERE length(substring(text, 1, 600)) % 7 <> 0),
+    v AS (SELECT id, any_value(ok) AS ok, any_value(said) AS said FROM p GROUP BY id)
+    SELECT t.id, CASE WHEN v.id IS NULL THEN relevant ELSE ok END AS relevant, CASE WHEN v.id IS NOT NULL AND rating IS NULL THEN said ELSE sentiment END AS sentiment, v.id IS NOT NULL OR qc_checked AS qc_checked FROM t LEFT JOIN v ON v.id = t.id""")
+def qc_cycle(spark, d):
+    """Trusted rows, then a judge over the newest unchecked ones, and its verdicts laid over the table."""
+    rows = store.trust_sources(reviews(spark, d))
+    verdicts = enrich.judge(store.pending_checks(rows), _judge_by_length)
+    return store.apply_verdicts(rows, verdicts).select("id", "relevant", "sentiment", "qc_checked")
+
+
+_MADE = "substring(CASE WHEN regexp_replace(text, '^\\s+|\\s+$', '', 'g') = '' THEN ' ' ELSE regexp_replace(text, '^\\s+|\\s+$', '', 'g') END, 1, 8000)"
+
+
+@query(f"SELECT id, length({_MADE}) AS a, length({_MADE}) - length(replace({_MADE}, 'e', '')) AS b, 2 AS dimensions FROM reviews")
+def embed_batch(spark, d):
+    """A provider gets prepared texts in order, at most 96 a call."""
+
+    def provider(texts: list[str]) -> list[list[int]]:
+        if len(texts) > 96:
+            raise ValueError("too many texts in a call")
+        return [[len(t), t.count("e")] for t in texts]
+
+    e = F.col("embedding")
+    return enrich.embed(reviews(spark, d).select("id", "text"), provider).select("id", e[0].cast("long").alias("a"), e[1].cast("long").alias("b"), F.size(e).alias("dimensions"))
+
+
+@query("""WITH n AS (SELECT id, brand, captured_at, doc_id % 2 AS part FROM reviews WHERE sentiment = 'negative'), o AS (SELECT *, row_number() OVER (PARTITION BY brand ORDER BY captured_at DESC NULLS FIRST, id) AS place FROM n WHERE part = 1 AND brand IN (SELECT brand FROM n WHERE part = 0))
+    SELECT brand, 'baseline' AS kind, NULL AS id, count(*) AS n FROM n WHERE part = 0 OR brand NOT IN (SELECT brand FROM n WHERE part = 0) GROUP BY brand
+    UNION ALL SELECT brand, 'alert', id, 1 FROM o WHERE place <= 5 UNION ALL SELECT brand, 'overflow', NULL, count(*) FROM o WHERE place > 5 GROUP BY brand""")
+def notices(spark, d):
+    """Two batches of served rows: what goes to the outbox for each, with what was alerted kept in between."""
+    rows = reviews(spark, d).withColumn("embedding", F.lit(None).cast("array<float>")).withColumn("seq", F.lit(0))
+    held = pipeline.Store(spark, shared_folder(spark, "store"), 8)
+    for part in (0, 1):
+        held.served.upsert(rows.where(F.col("doc_id") % 2 == part), store.SERVED_UPDATES)
+        pipeline.plan_notices(held)
+        pipeline.plan_notices(held)  # a second call finds nothing new
+    return held.outbox.read().select("brand", "kind", "id", "n")
+
+
+_STAGED_AT = "CASE WHEN doc_id % 50 = 3 THEN NULL ELSE TIMESTAMP '2024-01-01' + INTERVAL 1 SECOND * CAST((doc_id * 7919) % 1000003 AS INTEGER) END"
+
+
+@query(f"""WITH s AS (SELECT doc_id, text, url FROM documents JOIN pages ON page_id = doc_id % (SELECT count(*) FROM pages) WHERE doc_id % 50 <> 3 OR doc_id % 100 = 3),
+    n AS (SELECT *, {_STAGED_AT} AS extracted FROM s ORDER BY extracted DESC NULLS FIRST LIMIT 200)
+    SELECT sha256('Acme|yelp|' || url || '|' || text) AS id, 'Acme' AS brand, 'yelp' AS source, url AS source_url, CAST(doc_id % 5 AS DOUBLE) AS rating, text FROM n WHERE trim(text) <> '' AND url <> ''""", base=False)
+def staging_import(spark, d):
+    """Staged rows of which the newest 200 are mapped, those without a time first."""
+    pages = table(spark, d, "pages")
+    n = pages.count()
+    rows = table(spark, d, "documents").withColumn("page_id", F.col("doc_id") % n).join(pages.select("page_id", "url"), "page_id").where("doc_id % 50 <> 3 or doc_id % 100 = 3")
+    item = F.to_json(F.struct("text", "url", (F.col("doc_id") % 5).alias("rating")))
+    staged = rows.select(item.alias(staging.LEGACY), F.expr("CASE WHEN doc_id % 50 <> 3 THEN timestamp'2024-01-01' + make_dt_interval(0, 0, 0, (doc_id * 7919) % 1000003) END").alias(staging.EXTRACTED_AT))
+    return staging.import_rows(staging.newest(staged, 200), "Acme", "yelp").select("id", "brand", "source", "source_url", "rating", "text")
+
+
+@query(f"SELECT {_LISTED} FROM reviews WHERE {RELEVANT} ORDER BY {_SORTS['recent']} LIMIT 40")
+def reviews_unknown_sort(spark, d):
+    return R.listed(reviews(spark, d), sort="no such sort")
+
+
+_SLUG = "regexp_replace(regexp_replace(lower(coalesce({0}, '')), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g')"
+
+
+@query(f"WITH n AS (SELECT brand AS name FROM reviews UNION ALL SELECT substring(text, 1, 60) FROM reviews UNION ALL SELECT source_url FROM reviews UNION ALL SELECT author FROM reviews) SELECT name, CASE WHEN {_SLUG.format('name')} = '' THEN 'all' ELSE {_SLUG.format('name')} END AS slug FROM n")
+def slugs(spark, d):
+    rows = reviews(spark, d)
+    names = rows.select(F.explode(F.array("brand", F.substring("text", 1, 60), "source_url", "author")).alias("name"))
+    return names.select("name", X.slug(F.col("name")).alias("slug"))
+
+
+#: Replies of a generator: an object alone, in prose, broken, or none.
+_SAYS = ['{"n": "@n", "text": "@t"}', 'Sure, here it is: {"n": "@n", "more": {"text": "@t"}} I hope it helps.', '{"n": "@n", "text": "@t"', "no object, @n", "[1, @n]", None]
+
+
+@query(f"SELECT doc_id, CASE WHEN doc_id % 6 IN (0, 1) THEN CAST(doc_id AS VARCHAR) END AS n FROM documents", base=False)
+def lenient_object(spark, d):
+    rows = drawn(spark, d, _SAYS).withColumn("o", report.lenient_object(F.col("v")))
+    return rows.select("doc_id", F.get_json_object("o", "$.n").alias("n"))
+
+
+@query(f"WITH b AS (SELECT brand, {_BLOCK} FROM reviews WHERE {RELEVANT} AND brand IN ('Brand#1', 'Brand#2', 'Brand#3') GROUP BY brand), s AS (SELECT *, {_SCORE} AS health FROM b) SELECT brand, total, health, true AS listed FROM s")
+def report_saved(spark, d):
+    """Reports saved as snapshots, found again in the list of their brand and by their token."""
+    path, rows = shared_folder(spark, "reports"), reviews(spark, d)
+    found = None
+    tokens = {}
+    for k, brand in enumerate(("Brand#1", "Brand#2", "Brand#3")):
+        payload = report.facts(rows, brand).select(F.to_json(F.struct("*")).alias("p")).first()["p"]
+        tokens[brand] = report.save(spark, path, brand, payload, f"2024-01-0{k + 1}T00:00:00Z")
+    held = spark.read.parquet(path)
+    for brand, token in tokens.items():
+        one = report.shared(held, token).join(report.saved(held, brand.upper()).select("token", F.lit(True).alias("listed")), "token", "left")
+        found = one if found is None else found.unionByName(one)
+    get = lambda c, kind: F.get_json_object("payload", f"$.{c}").cast(kind).alias(c)
+    return found.select("brand", get("total", "long"), get("health", "int"), "listed")
+
+
 # ---- retrieval
 
 

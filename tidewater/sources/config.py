@@ -40,6 +40,29 @@ def collection_plan(have: int, target: int = 200, floor: int = 150) -> list[str]
     return stages
 
 
+# Connectors in the order of the list, their labels and categories, and the credentials of which one is enough.
+CONNECTORS = [
+    ("web", "Web & News", "Web & News", ["tavily", "apify"]),
+    ("firecrawl", "Firecrawl", "Web & News", ["firecrawl"]),
+    ("app_store", "App Store", "App Reviews", []),
+    ("google_play", "Google Play", "App Reviews", []),
+    ("trustpilot", "Trustpilot", "Review Sites", ["browser"]),
+    ("google_maps", "Google Maps", "Review Sites", ["apify"]),
+    ("yelp", "Yelp", "Review Sites", ["apify"]),
+    ("tripadvisor", "TripAdvisor", "Review Sites", ["apify"]),
+    ("reddit", "Reddit", "Social", ["reddit"]),
+    ("mastodon", "Mastodon", "Social", []),
+    ("hackernews", "Hacker News", "Social", []),
+    ("instagram", "Instagram", "Social", ["apify"]),
+    ("facebook", "Facebook", "Social", ["apify"]),
+]
+
+
+def connectors(configured: set[str]) -> list[dict]:
+    """Which connectors can run with the credentials at hand; those that need none always can."""
+    return [{"key": k, "label": label, "category": c, "status": "active" if not needs or configured & {*needs} else "inactive"} for k, label, c, needs in CONNECTORS]
+
+
 def clamp(value: int, low: int, high: int) -> int:
     return max(low, min(int(value), high))
 

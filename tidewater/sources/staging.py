@@ -47,8 +47,8 @@ def read_staging(spark: SparkSession, name: str, limit: int = IMPORT_LIMIT) -> D
 
 
 def newest(staged: DataFrame, limit: int = IMPORT_LIMIT) -> DataFrame:
-    """The limit is the feature: an import takes the newest rows only."""
-    order = [F.desc(EXTRACTED_AT)] if EXTRACTED_AT in staged.columns else []
+    """The limit is the feature: an import takes the newest rows only, those without a time first."""
+    order = [F.desc_nulls_first(EXTRACTED_AT)] if EXTRACTED_AT in staged.columns else []
     rows = staged.select(F.to_json(F.struct(*staged.columns)).alias("row"), *([EXTRACTED_AT] if order else []))
     rows = rows.orderBy(*order, "row").limit(limit) if order else rows.limit(limit)
     # row numbers of at most `limit` rows
