@@ -872,7 +872,7 @@ _STAGED_AT = "CASE WHEN doc_id % 50 = 3 THEN NULL ELSE TIMESTAMP '2024-01-01' +
 
 @query(f"""WITH s AS (SELECT doc_id, text, url FROM documents JOIN pages ON page_id = doc_id % (SELECT count(*) FROM pages) WHERE doc_id % 50 <> 3 OR doc_id % 100 = 3),
     n AS (SELECT *, {_STAGED_AT} AS extracted FROM s ORDER BY extracted DESC NULLS FIRST LIMIT 200)
-    SELECT sha256('Acme|yelp|' || url || '|' || text) AS id, 'Acme' AS brand, 'yelp' AS source, url AS source_url, CAST(doc_id % 5 AS DOUBLE) AS rating, text FROM n WHERE trim(text) <> '' AND url <> ''""", base=False)
+    SELECT sha256('Acme|yelp|' || url || '|' || text) AS id, 'Acme' AS brand, 'yelp' AS source, url AS source_url, CAST(nullif(doc_id % 5, 0) AS DOUBLE) AS rating, text FROM n WHERE trim(text) <> '' AND url <> ''""", base=False)
 def staging_import(spark, d):
     """Staged rows of which the newest 200 are mapped, those without a time first."""
     pages = table(spark, d, "pages")
