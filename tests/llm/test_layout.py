@@ -83,6 +83,7 @@ def test_media_round_trip(spark):
         padded = raw + b"\0" * (-len(raw) % 64 if raw else 64)
         assert r.payload_bytes == len(padded) and r.payload_sha256 == hashlib.sha256(padded).hexdigest()
         assert r.tail_crc32 == zlib.crc32(padded[-64:]) and r.media_bytes % 188 == 0 and "errors=0" in r.feature
+        assert r.first_pts == 0 and r.entry_pts[0] == 0 and r.last_pts >= r.entry_pts[-1] and r.last_pts == media.UNIT_TICKS * ((len(padded) - 1) // media.UNIT_BYTES)
 
 
 def test_media_is_a_table_of_streams(spark):
@@ -111,6 +112,34 @@ def test_media_finds_damage():
     assert b"".join(u[3] for u in repeated["units"]) == payload
 
 
+def test_reading_goes_on_after_lost_bytes():
+    payload = random.Random(3).randbytes(200_000)
+    stream = media.mux(payload)
+    whole = media.demux(stream)
+    assert b"".join(u[3] for u in whole["units"]) == payload and whole["errors"] == 0
+    assert [c for _, c in whole["clocks"]] == [u[1] for u in whole["units"] if u[2]] and {p for p, _ in whole["clocks"]} == {media.DATA_PID}
+    for cut in ((5_000, 5_077), (100_003, 101_000), (188 * 40, 188 * 40 + 1)):
+        hurt = media.demux(stream[: cut[0]] + stream[cut[1] :])
+        good = {u[1]: u[3] for u in whole["units"]}
+        assert hurt["errors"] >= 1 and sum(good.get(u[1]) == u[3] for u in hurt["units"]) >= len(good) - 2
+    noise = media.demux(b"\x47noise" * 20 + stream)
+    assert b"".join(u[3] for u in noise["units"]) == payload and noise["errors"] >= 1
+
+
+def test_tables_over_several_packets():
+    """A program table of 60 programs, whose section takes two packets, and a map that follows another section."""
+    entries = b"".join(bytes([0, k + 1, 0xE0 | (media.MAP_PID + k) >> 8, (media.MAP_PID + k) & 0xFF]) for k in range(60))
+    section = media._section(0x00, 1, entries)
+    head = lambda pid, starts, counter: bytes([media.SYNC, (0x40 if starts else 0) | pid >> 8, pid & 0xFF, 0x10 | counter])
+    first = head(0, True, 0) + b"\0" + section[:183]
+    second = (head(0, False, 1) + section[183:]).ljust(188, b"\xff")
+    mapped = media.TABLES[media.PACKET :]
+    data = media.mux(b"payload!" * 8)[2 * media.PACKET :]
+    parsed = media.demux(first + second + mapped + data)
+    assert parsed["programs"] == 60 and parsed["errors"] == 0 and parsed["units"][0][3] == b"payload!" * 8
+    assert media.demux(first + mapped + data)["units"] == []
+
+
 def test_sharding_law(spark):
     many = documents() + [(100 + i, "one text that very many documents share") for i in range(60)]
     rows = sharding.shard_documents(frame(spark, many), shards=6).collect()

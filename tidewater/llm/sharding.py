@@ -5,7 +5,7 @@ Each round joins the documents to the counts of their key by shard, moves them t
 holds most of their key while quotas last, and the final step makes counts exact with documents that
 have no links.
 
-Cases: a null text has no bytes and links to nothing; equal texts are linked; a null doc_id is placed
+Cases: a null text has no bytes and counts as an empty one; equal texts are linked, empty ones too; a null doc_id is placed
 like any other; repeated rows are placed once each; a key with more documents than a shard takes fills
 several; an empty table gives no rows; other columns are ignored.
 """
