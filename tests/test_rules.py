@@ -1,5 +1,6 @@
 """Literal edge cases of scalar rules, mappers and driver-side settings."""
 
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -7,6 +8,7 @@ from pyspark.sql import functions as F
 from tidewater.functions import text as X
 from tidewater.functions.schema import content_key
 from tidewater.operators import report
+from tidewater.operators import reviews as R
 from tidewater.sources import config, mappers, staging
 
 
@@ -157,3 +159,24 @@ def test_direct_mappers(spark):
     pages = spark.createDataFrame([("Acme", "https://t.com/review/acme", html)], "brand string, url string, html string")
     got = sorted(mappers.trustpilot(pages).collect(), key=lambda r: r.rating)
     assert [(r.text, r.rating, r.source_url) for r in got] == [("Bad", 2.0, "https://t.com/review/acme"), ("Good\n\nVery good", 5.0, "https://t.com/reviews/77")]
+
+
+def test_drop_alert_equals_a_plain_count(spark):
+    rng = random.Random(4)
+    for n, brand in ((0, None), (25, None), (400, None), (400, "a")):
+        rows = [(f"i{k:03d}", rng.choice(["A", "B"]), rng.choice(["negative", "positive", None]), True, "web", rng.choice([None, "2024-02-30", f"2024-03-{1 + k % 9:02d}"])) for k in range(n)]
+        frame = spark.createDataFrame(rows, "id string, brand string, sentiment string, relevant boolean, source string, created_at string").repartition(5)
+        got = tuple(R.drop_alert(frame, brand).first())
+        dated = sorted((r for r in rows if r[5] and "-30" not in r[5] and (not brand or r[1].lower() == brand)), key=lambda r: r[0])
+        dated = [r[2] == "negative" for r in sorted(dated, key=lambda r: r[5], reverse=True)]
+        if len(dated) < 40:
+            assert got == ("insufficient", None, None, None)
+        else:
+            pct = lambda x: round(100 * sum(x) / len(x))
+            delta = pct(dated[:30]) - pct(dated[30:])
+            assert got == ("drop" if delta >= 15 else "watch" if delta >= 7 else "ok", pct(dated[:30]), pct(dated[30:]), delta)
+
+
+def test_connectors():
+    active = {c["key"] for c in config.connectors({"apify"}) if c["status"] == "active"}
+    assert {"web", "app_store", "yelp", "mastodon"} <= active and not active & {"firecrawl", "reddit", "trustpilot"} and len(config.connectors(set())) == 13

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -151,16 +155,39 @@ def trend(reviews: DataFrame, brand: str | None = None, bucket: str = "month") -
     return rows.withColumn("total", F.col("positive") + F.col("neutral") + F.col("negative")).orderBy("period")
 
 
-def drop_alert(reviews: DataFrame, brand: str | None = None, recent: int = 30, more: int = 10) -> DataFrame:
-    """Negative share of the newest `recent` dated reviews against all older ones.
+def counts_and_newest(dated: DataFrame, recent: int) -> DataFrame:
+    """One row (n, bad, newest) of rows (at, id, negative): how many, how many negative, and the flags of the newest.
 
-    The newest rows come from a top-k, the older ones by subtraction, so no sort of everything is needed.
+    One pass: each task counts its rows and keeps its newest, ties by id; what tasks kept meets in two steps.
     """
-    dated = scope(reviews, brand).select("id", "sentiment", X.parsed_date(F.col("created_at"))["instant"].alias("at")).where("at is not null")
-    bad = F.count_if(F.col("sentiment") == "negative")
-    newest = dated.orderBy(F.desc("at"), "id").limit(recent).agg(F.count("*").alias("n1"), bad.alias("bad1"))
-    every = dated.agg(F.count("*").alias("n"), bad.alias("bad"))
-    both = newest.crossJoin(every)  # one row each
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = bad = 0
+        newest = None
+        for batch in batches:
+            n += batch.num_rows
+            bad += pc.sum(batch.column("negative").cast(pa.int64())).as_py() or 0
+            rows = pa.Table.from_batches([batch] if newest is None else [newest, batch])
+            order = pc.sort_indices(rows, sort_keys=[("at", "descending"), ("id", "ascending")])
+            newest = rows.take(order[:recent]).combine_chunks().to_batches()[0] if rows.num_rows else None
+        if newest is not None:
+            # the counts go with the first row
+            first = pa.array([n] + [0] * (newest.num_rows - 1)), pa.array([bad] + [0] * (newest.num_rows - 1))
+            yield pa.RecordBatch.from_arrays([*newest.columns, *first], [*newest.schema.names, "n", "bad"])
+
+    # later instants first: micros are negated, so that one ascending order serves both
+    rows = dated.select(F.unix_micros("at").alias("at"), "id", "negative").mapInArrow(keep, "at long, id string, negative boolean, n long, bad long")
+    held = F.array_sort(F.collect_list(F.struct((-F.col("at")).alias("at"), "id", "negative")))
+    sums = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n", "bad")]
+    some = rows.groupBy(F.pmod(F.xxhash64("at", "id"), F.lit(64)).alias("part")).agg(*sums, F.slice(held, 1, recent).alias("newest"))
+    whole = F.slice(F.array_sort(F.flatten(F.collect_list("newest"))), 1, recent)
+    return some.agg(*sums, F.transform(whole, lambda r: r["negative"]).alias("newest"))
+
+
+def drop_alert(reviews: DataFrame, brand: str | None = None, recent: int = 30, more: int = 10) -> DataFrame:
+    """Negative share of the newest `recent` dated reviews against all older ones, in one pass over the rows."""
+    dated = scope(reviews, brand).select("id", (F.col("sentiment").eqNullSafe("negative")).alias("negative"), X.parsed_date(F.col("created_at"))["instant"].alias("at")).where("at is not null")
+    both = counts_and_newest(dated, recent).withColumn("n1", F.size("newest")).withColumn("bad1", F.size(F.filter("newest", lambda x: x)))
     pct = lambda a, b: F.bround(100 * a / F.nullif(b, F.lit(0)), 0).cast("int")
     rows = both.select("n", pct(F.col("bad1"), F.col("n1")).alias("r"), F.coalesce(pct(F.col("bad") - F.col("bad1"), F.col("n") - F.col("n1")), F.lit(0)).alias("b"))
     delta = F.col("r") - F.col("b")

@@ -46,6 +46,12 @@ def _matrix(column: pa.Array, dimensions: int | None = None) -> tuple[np.ndarray
     return values[fine] / norm[fine, None], good
 
 
+def nearest_centre(points: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """The number of the nearest centre of each unit vector, some thousand vectors at a time."""
+    parts = [(points[s : s + 4096] @ centres.T).argmax(1) for s in range(0, len(points), 4096)]
+    return np.concatenate(parts) if parts else np.empty(0, np.int64)
+
+
 def fit_centres(rows: DataFrame, cells: int, sample_rows: int = SAMPLE_ROWS, rounds: int = 8) -> np.ndarray:
     """Centres of the sampled vectors: those of least hash, farthest-first starts, then rounds of means."""
     picked = rows.select("id", "embedding").where("embedding is not null").orderBy(F.xxhash64("id"), "id").limit(sample_rows).toArrow()
@@ -62,7 +68,7 @@ def fit_centres(rows: DataFrame, cells: int, sample_rows: int = SAMPLE_ROWS, rou
         centres.append(points[int(apart.argmax())])
     centres = np.array(centres)
     for _ in range(rounds):
-        near = (points @ centres.T).argmax(1)
+        near = nearest_centre(points, centres)
         sums = np.zeros_like(centres)
         np.add.at(sums, near, points)
         norm = np.linalg.norm(sums, axis=1, keepdims=True)
@@ -77,7 +83,7 @@ class VectorIndex:
         self.spark, self.root, self.folder = spark, root.rstrip("/"), Folder(spark, root)
         held = json.loads(self.folder.text("cells.json"))
         self.schema = held["schema"]
-        self.cells = [c for c in held["cells"]]
+        self.cells = held["cells"]
         self.centres = np.array([c["centre"] for c in self.cells]) if self.cells else np.zeros((0, 0))
 
     @classmethod
@@ -97,7 +103,7 @@ class VectorIndex:
                 points, good = _matrix(column, at.shape[1])
                 if not len(points):
                     continue
-                near = np.concatenate([(points[s : s + 4096] @ at.T).argmax(1) for s in range(0, len(points), 4096)])
+                near = nearest_centre(points, at)
                 far = np.sqrt(((points - at[near]) ** 2).sum(1))
                 kept = batch.filter(pa.array(good))
                 yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(near.astype(np.int32)), pa.array(far)], [*names, "cell", "far"])
