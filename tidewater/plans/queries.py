@@ -673,6 +673,14 @@ def marts_upsert(spark, d):
     return store.served_upsert(base.select(*columns), batch.select("seq", *columns)).drop("embedding")
 
 
+#: Tables hold a key once: here each document has a key of its own, also where contents are equal.
+KEYED = "FROM (SELECT * REPLACE (id || '-' || doc_id AS id) FROM reviews) AS reviews"
+
+
+def keyed(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("id", F.concat_ws("-", "id", F.col("doc_id").cast("string")))
+
+
 def _kept(spark, base: DataFrame, batch: DataFrame, schema, updates: list[str]) -> DataFrame:
     """The same through a bucketed table: the base is loaded, then the batch changes the buckets it touches."""
     held = tables.BucketedTable(spark, shared_folder(spark, "table"), schema, 16)
@@ -682,16 +690,16 @@ def _kept(spark, base: DataFrame, batch: DataFrame, schema, updates: list[str])
     return held.read()
 
 
-@query(ORACLE["raw_upsert"], base=False)
+@query(ORACLE["raw_upsert"].replace("FROM reviews", KEYED), base=False)
 def raw_table_upsert(spark, d):
-    base, batch = _base_and_batch(reviews(spark, d).withColumn("extra", F.lit("{}")))
+    base, batch = _base_and_batch(keyed(reviews(spark, d)).withColumn("extra", F.lit("{}")))
     columns = [f.name for f in RAW_SCHEMA]
     return _kept(spark, base.select(*columns), batch.select("seq", *columns), RAW_SCHEMA, store.RAW_UPDATES).drop("extra")
 
 
-@query(ORACLE["marts_upsert"], base=False)
+@query(ORACLE["marts_upsert"].replace("FROM reviews", KEYED), base=False)
 def marts_table_upsert(spark, d):
-    base, batch = _base_and_batch(reviews(spark, d).withColumn("embedding", F.array(F.lit(1.0).cast("float"))))
+    base, batch = _base_and_batch(keyed(reviews(spark, d)).withColumn("embedding", F.array(F.lit(1.0).cast("float"))))
     columns = [f.name for f in SERVED_SCHEMA]
     rows = _kept(spark, base.select(*columns), batch.select("seq", *columns), SERVED_SCHEMA, store.SERVED_UPDATES)
     return rows.select("id", "brand", "author", "rating", "text", "sentiment", "captured_at", "relevant", "qc_checked")
@@ -701,10 +709,10 @@ def _changed(column: str, value: str) -> str:
     return f"CASE WHEN doc_id % 5 = 1 THEN {value} ELSE {column} END AS {column}"
 
 
-@query(f"""SELECT id, {_changed("rating", "4.0::DOUBLE")}, {_changed("captured_at", "'2030-01-02T00:00:00'")} FROM reviews WHERE doc_id % 10 = 0 OR doc_id % 5 = 1""")
+@query(f"""SELECT id, {_changed("rating", "4.0::DOUBLE")}, {_changed("captured_at", "'2030-01-02T00:00:00'")} {KEYED} WHERE doc_id % 10 = 0 OR doc_id % 5 = 1""")
 def raw_changes(spark, d):
     """The change feed: what a batch has inserted or changed since the version before it."""
-    base, batch = _base_and_batch(reviews(spark, d).withColumn("extra", F.lit("{}")))
+    base, batch = _base_and_batch(keyed(reviews(spark, d)).withColumn("extra", F.lit("{}")))
     columns = [f.name for f in RAW_SCHEMA]
     held = tables.BucketedTable(spark, shared_folder(spark, "table"), RAW_SCHEMA, 16)
     before = held.upsert(base.select(*columns).withColumn("seq", F.lit(0)), store.RAW_UPDATES)
@@ -712,10 +720,10 @@ def raw_changes(spark, d):
     return held.changes(before).select("id", "rating", "captured_at")
 
 
-@query(f"WITH {felt_sql('(SELECT doc_id AS key, text FROM reviews)')} SELECT id, brand, rating, CASE WHEN rating IS NOT NULL THEN sentiment ELSE {_FELT} END AS sentiment, 64 AS dimensions FROM reviews JOIN felt ON key = doc_id")
+@query(f"WITH {felt_sql('(SELECT doc_id AS key, text FROM reviews)')} SELECT id, brand, rating, CASE WHEN rating IS NOT NULL THEN sentiment ELSE {_FELT} END AS sentiment, 64 AS dimensions {KEYED} JOIN felt ON key = doc_id")
 def stream_ingest(spark, d):
     """Reviews as a stream of files: upserted raw, enriched, served; the batch after the last is a replay."""
-    rows = reviews(spark, d).withColumn("extra", F.lit("{}")).select(*[f.name for f in RAW_SCHEMA])
+    rows = keyed(reviews(spark, d)).withColumn("extra", F.lit("{}")).select(*[f.name for f in RAW_SCHEMA])
     folder, root = shared_folder(spark, "files"), shared_folder(spark, "store")
     rows.repartition(3, "id").write.json(folder)
     source = spark.readStream.schema(RAW_SCHEMA).option("maxFilesPerTrigger", 1).json(folder)
@@ -853,12 +861,12 @@ def embed_batch(spark, d):
     return enrich.embed(reviews(spark, d).select("id", "text"), provider).select("id", e[0].cast("long").alias("a"), e[1].cast("long").alias("b"), F.size(e).alias("dimensions"))
 
 
-@query("""WITH n AS (SELECT id, brand, captured_at, doc_id % 2 AS part FROM reviews WHERE sentiment = 'negative'), o AS (SELECT *, row_number() OVER (PARTITION BY brand ORDER BY captured_at DESC NULLS FIRST, id) AS place FROM n WHERE part = 1 AND brand IN (SELECT brand FROM n WHERE part = 0))
+@query(f"""WITH n AS (SELECT id, brand, captured_at, doc_id % 2 AS part {KEYED} WHERE sentiment = 'negative'), o AS (SELECT *, row_number() OVER (PARTITION BY brand ORDER BY captured_at DESC NULLS FIRST, id) AS place FROM n WHERE part = 1 AND brand IN (SELECT brand FROM n WHERE part = 0))
     SELECT brand, 'baseline' AS kind, NULL AS id, count(*) AS n FROM n WHERE part = 0 OR brand NOT IN (SELECT brand FROM n WHERE part = 0) GROUP BY brand
     UNION ALL SELECT brand, 'alert', id, 1 FROM o WHERE place <= 5 UNION ALL SELECT brand, 'overflow', NULL, count(*) FROM o WHERE place > 5 GROUP BY brand""")
 def notices(spark, d):
     """Two batches of served rows: what goes to the outbox for each, with what was alerted kept in between."""
-    rows = reviews(spark, d).withColumn("embedding", F.lit(None).cast("array<float>")).withColumn("seq", F.lit(0))
+    rows = keyed(reviews(spark, d)).withColumn("embedding", F.lit(None).cast("array<float>")).withColumn("seq", F.lit(0))
     held = pipeline.Store(spark, shared_folder(spark, "store"), 8)
     for part in (0, 1):
         held.served.upsert(rows.where(F.col("doc_id") % 2 == part), store.SERVED_UPDATES)
