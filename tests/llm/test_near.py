@@ -10,7 +10,7 @@ import pytest
 import xxhash
 
 from tests.llm.common_cases import documents, edited, frame, prose
-from tidewater.llm import common, linededup, runindex, simhash, substring
+from tidewater.llm import buckets, common, linededup, runindex, simhash, substring
 
 
 def groups(pairs, nodes):
@@ -203,6 +203,37 @@ def test_lines_in_large_buckets(spark):
         assert max(collections.Counter(root.values()).values()) > 0.9 * len(nodes)
 
 
+def test_near_rows_of_a_large_bucket_all_meet(spark):
+    """One key for all rows, near ones far apart in its order: those not connected yet meet all the same."""
+    rng = random.Random(6)
+    signed = lambda v: v - (1 << 64) if v >> 63 else v
+    values = [rng.getrandbits(64) for _ in range(300)]
+    values += [v ^ (1 << 63) ^ (1 << rng.randrange(60)) for v in values[:150]]
+    prints = spark.createDataFrame([(i, [signed(v), 7]) for i, v in enumerate(values)], "id long, print array<long>")
+    sets, chunks = buckets.band_sets(prints, 450, 3, 16)
+    together = lambda df: {(a, b) for r in df.collect() for a in r.members for b in r.members if a < b}
+    near = {(i, j) for i in range(450) for j in range(i + 1, 450) if (values[i] ^ values[j]).bit_count() <= 3}
+    assert len(near) >= 150 and near - together(sets)
+    none = spark.createDataFrame([], "node long, root long")
+    assert near <= together(sets) | together(buckets.rest_sets(chunks, none, 3))
+    some = sorted(near)[:75]
+    groups_ = spark.createDataFrame([(i, a) for a, b in some for i in (a, b)], "node long, root long")
+    left = together(buckets.rest_sets(chunks, groups_, 3))
+    assert near - set(some) <= left
+    one = spark.createDataFrame([(i, 0) for i in range(450)], "node long, root long")
+    assert buckets.rest_sets(chunks, one, 3).count() == 0
+
+
+def test_lines_and_documents_of_large_buckets(spark):
+    """The size of chunks makes no difference."""
+    rng = random.Random(8)
+    head = "extraordinarily comprehensive administrative documentation"
+    base = [f"{head} {prose(rng, 14)}".replace("\n", " ") for _ in range(40)]
+    rows = [(i, x) for i, x in enumerate(base)] + [(100 + 10 * i + k, edited(rng, x, 0.04)) for i, x in enumerate(base) for k in range(3)]
+    got = [sorted((r.doc_id, r.n_removed) for r in linededup.dedup_lines(frame(spark, rows), bucket).collect()) for bucket in (2, 10_000)]
+    assert got[0] == got[1] and sum(n for _, n in got[0]) > 60
+
+
 @pytest.mark.parametrize("words, changed", [(8, 1), (12, 2), (27, 4)])
 def test_lines_at_the_threshold(spark, words, changed):
     """Whole words changed, up to edit similarity 0.8: nearly all pairs meet, whatever the number of rows planned for."""

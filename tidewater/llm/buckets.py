@@ -4,8 +4,10 @@ Rows of one key are a bucket. Keys are dealt and sorted once, and a task reads i
 it never holds more than one batch and one chunk. Buckets of up to `bucket` rows leave whole. Larger ones leave in
 chunks, in the order of their fingerprints, and each chunk takes along the same few leading rows of its
 bucket, so that all rows of a large group of copies meet in them; rows of large buckets also meet by key
-and one further key, in TURNS ways, so that small groups inside a large bucket meet as well. Work thus
-grows in proportion to rows, whatever the size of a bucket.
+and one further key, in TURNS ways, so that small groups inside a large bucket meet as well. That much grows
+in proportion to rows. What it may miss, `rest_sets` finds: every two chunks of a large bucket meet, for the rows
+that verified links have not connected by then. Fingerprints are compared a chunk with a chunk, dealt over all tasks;
+that work is quadratic in the rows of a large bucket that stay apart, and in nothing else.
 """
 
 from __future__ import annotations
@@ -28,8 +30,9 @@ LEADING, TURNS = 32, 2
 TASK_KEYS = 1_000_000
 
 
-def band_sets(prints: DataFrame, keys: int, most: int, bucket: int = BUCKET) -> DataFrame:
-    """(members): sets of ids, each connected by a shared key and fingerprints at `most` or fewer differing bits.
+def band_sets(prints: DataFrame, keys: int, most: int, bucket: int = BUCKET) -> tuple[DataFrame, DataFrame]:
+    """(members): sets of ids, each connected by a shared key and fingerprints at `most` or fewer differing bits;
+    and the chunks of large buckets, for `rest_sets`.
 
     prints: (id, print), `print` an array of a 64-bit fingerprint and then the same number of keys in each
     row, about `keys` in all; rows may repeat. Equal sets come once.
@@ -46,7 +49,38 @@ def band_sets(prints: DataFrame, keys: int, most: int, bucket: int = BUCKET) ->
         deeper = persist(_streamed(again, keys, most, bucket), "buckets")
         sets = sets.unionAll(_whole(deeper, most))
     sets = sets.select(F.array_sort("members").alias("members"))
-    return sets.withColumn("set", F.xxhash64("members")).dropDuplicates(["set"]).select("members")
+    return sets.withColumn("set", F.xxhash64("members")).dropDuplicates(["set"]).select("members"), found.where("chunk >= 0")
+
+
+def rest_sets(chunks: DataFrame, groups: DataFrame, most: int) -> DataFrame:
+    """(members, p, root): sets in which all ids of one large bucket meet that are near and not in one group yet; with each
+    member's fingerprint (turned alike within a set) and group.
+
+    chunks: as `band_sets` gives them; groups: (node, root) of ids that verified links connect, others are alone.
+    """
+    if chunks.isEmpty():
+        return chunks.select(F.col("ids").alias("members"), "p", F.col("ids").alias("root"))
+    rows = chunks.select("key", "chunk", F.explode(F.arrays_zip("ids", "p")).alias("x")).select("key", "chunk", F.col("x.ids").alias("id"), F.col("x.p").alias("p"))
+    rooted = rows.join(groups, F.col("id") == F.col("node"), "left").select("key", "chunk", "id", "p", F.coalesce("root", "id").alias("root"))
+    held = persist(rooted.groupBy("key", "chunk").agg(*[F.collect_list(F.struct("id", "p", "root")).alias("rows"), F.min("root").alias("low"), F.max("root").alias("high")]), "bucket-chunks")
+    apart = held.groupBy("key").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.max("chunk").alias("last")).where("low <> high").select("key", "last")
+    each = held.join(apart, "key").withColumn("other", F.explode(F.sequence(F.lit(0), "last")))
+    met = each.groupBy("key", F.least("chunk", "other").alias("a"), F.greatest("chunk", "other").alias("b")).agg(F.collect_list("rows").alias("sides"), F.min("low").alias("low"), F.max("high").alias("high")).where("low <> high")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for sides in batch.column("sides"):
+                parts = [[x.values.field(c).to_numpy() for c in ("id", "p", "root")] for x in (sides.values[k] for k in range(len(sides)))]
+                (one, p, r), (two, q, s) = parts[0], parts[-1]  # a chunk alone meets itself
+                near = (np.bitwise_count((p[:, None] ^ q[None, :]).view(np.uint64)) <= most) & (r[:, None] != s[None, :])
+                here, there = near.any(1), near.any(0)
+                members, at = np.unique(np.concatenate([one[here], two[there]]), return_index=True)
+                if len(members):
+                    held = [members, np.concatenate([p[here], q[there]])[at], np.concatenate([r[here], s[there]])[at]]
+                    yield pa.RecordBatch.from_arrays([_lists([x]) for x in held], ["members", "p", "root"])
+
+    sets = met.select("sides").mapInArrow(compare, "members array<long>, p array<long>, root array<long>")
+    return sets.withColumn("set", F.xxhash64("members")).dropDuplicates(["set"]).drop("set")
 
 
 def _keyed(prints: DataFrame) -> DataFrame:

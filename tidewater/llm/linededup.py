@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.buckets import BUCKET, LEADING, band_sets
+from tidewater.llm.buckets import BUCKET, LEADING, band_sets, rest_sets
 from tidewater.llm.common import Memo, components, mix64, persist, texts
 
 LEAST_WORDS = 5
@@ -208,11 +208,18 @@ def line_prints(docs: DataFrame, bands: int = BANDS) -> DataFrame:
 
 
 def candidates(lines: DataFrame, rows: int, bucket: int = BUCKET) -> DataFrame:
-    """(lines): sets of lines, each connected by a shared band and near fingerprints; links lie inside one set.
+    """(lines): sets of lines, each connected by a shared band and near fingerprints. Links lie inside one set, but for those of large
+    buckets that are left to `rest_sets`.
 
     lines: (line, print) of about `rows` different lines; a line may come again.
     """
-    return band_sets(lines.where("print is not null").select(F.col("line").alias("id"), "print"), rows * BANDS, LANE_BITS, bucket).select(F.col("members").alias("lines"))
+    return _candidates(lines, rows, bucket)[0]
+
+
+def _candidates(lines: DataFrame, rows: int, bucket: int) -> tuple[DataFrame, DataFrame]:
+    """The candidates, and the chunks of large buckets, whose lines may have further links."""
+    sets, chunks = band_sets(lines.where("print is not null").select(F.col("line").alias("id"), "print"), rows * BANDS, LANE_BITS, bucket)
+    return sets.select(F.col("members").alias("lines")), chunks
 
 
 def same_ends(a: str, b: str) -> tuple[int, int]:
@@ -435,8 +442,9 @@ class Groups(dict):
         return a != b
 
 
-def _near(size: np.ndarray, bins: np.ndarray, at: np.ndarray, counts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(set, place, place) of pairs inside sets of `counts` members `at` that lengths and letters in common let be alike."""
+def _near(size: np.ndarray, bins: np.ndarray, at: np.ndarray, counts: np.ndarray, p: np.ndarray | None = None, root: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(set, place, place) of pairs inside sets of `counts` members `at` that lengths and letters in common let be alike; where
+    fingerprints and groups are given, only of near ones in different groups."""
     ends = np.cumsum(counts)
     of = np.repeat(np.arange(len(counts)), counts)
     later = ends[of] - np.arange(len(at)) - 1  # members of the same set after each one
@@ -446,6 +454,9 @@ def _near(size: np.ndarray, bins: np.ndarray, at: np.ndarray, counts: np.ndarray
         e = max(s + 1, int(np.searchsorted(total, total[s] + 200_000, "right")) - 1)
         i = np.repeat(np.arange(s, e), later[s:e])
         j = i + 1 + np.arange(len(i)) - (total[i] - total[s])
+        if p is not None:
+            ok = (root[i] != root[j]) & (np.bitwise_count((p[i] ^ p[j]).view(np.uint64)) <= LANE_BITS)
+            i, j = i[ok], j[ok]
         no, i, j = of[i], at[i], at[j]
         longer = np.maximum(size[i], size[j])
         ok = np.abs(size[i] - size[j]) <= (1 - SIMILARITY) * longer + 1e-9
@@ -474,7 +485,11 @@ def _edges(sets: list[list[dict]], plain: Memo, groups: Groups) -> list[tuple[in
         if groups.join(line[x], line[y]):
             edges.append((line[x], line[y]))
 
-    for no, i, j in _near(size, bins, at, counts):
+    marks = [np.array([x[c] for lines in sets for x in lines], np.int64) if "root" in sets[0][0] else None for c in ("p", "root")]
+    if marks[1] is not None:
+        for x, root in zip(at.tolist(), marks[1].tolist(), strict=True):
+            groups.join(line[x], root)  # known links
+    for no, i, j in _near(size, bins, at, counts, *marks):
         for s, x, y in zip(no.tolist(), i.tolist(), j.tolist(), strict=True):
             if groups.find(line[x]) != groups.find(line[y]):
                 a, b = plain[raw[x]], plain[raw[y]]
@@ -504,17 +519,19 @@ def verified(sets: DataFrame, leads: DataFrame, docs: DataFrame) -> DataFrame:
     """Edges (a, b) between alike lines in a set: a spanning forest of each set, pairs already connected are skipped.
 
     Small sets with the same first two lines are dealt to one task, as many of their pairs are the same. Larger ones,
-    among them the chunks of one large bucket with the same leading rows, are dealt one by one.
+    among them the chunks of one large bucket with the same leading rows, are dealt one by one. Sets of `rest_sets` bring
+    fingerprints and groups along: of these only near lines of different groups are compared.
     """
     deal = F.when(F.size("lines") < LEADING, F.xxhash64(F.slice("lines", 1, 2))).otherwise(F.xxhash64("lines"))
-    numbered = persist(sets.select(deal.alias("deal"), F.xxhash64("lines").alias("set"), F.col("lines").alias("members")), "line-sets")
-    members = numbered.select("deal", "set", F.explode("members").alias("line"))
+    extra = [c for c in ("p", "root") if c in sets.columns]
+    numbered = persist(sets.select(deal.alias("deal"), F.xxhash64("lines").alias("set"), F.col("lines").alias("line"), *extra), "line-sets")
+    members = numbered.select("deal", "set", F.explode(F.arrays_zip("line", *extra)).alias("m")).select("deal", "set", *[f"m.{c}" for c in ("line", *extra)])
     wanted = members.select("line").distinct().join(leads, "line").select("line", "lead.row", "lead.doc_id", "lead.line_no")
     by_row = wanted.groupBy("row", "doc_id").agg(F.collect_list(F.struct("line_no", "line")).alias("want"))
     taken = by_row.join(docs.select("row", F.col("place").alias("doc_id"), "text"), ["row", "doc_id"]).select(F.split("text", "\n", -1).alias("parts"), F.explode("want").alias("w"))
     # each line's text, on disk: the shuffle that brought it goes before the next one
     held = persist(taken.select(F.col("w.line").alias("line"), F.element_at("parts", F.col("w.line_no") + 1).alias("text")).dropDuplicates(["line"]), "line-texts")
-    whole = members.join(held, "line").repartition("deal").groupBy("deal", "set").agg(F.collect_list(F.struct("line", "text")).alias("lines"))
+    whole = members.join(held, "line").repartition("deal").groupBy("deal", "set").agg(F.collect_list(F.struct("line", "text", *extra)).alias("lines"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         plain, groups = Memo(normalise, 20_000), Groups()
@@ -531,7 +548,7 @@ def verified(sets: DataFrame, leads: DataFrame, docs: DataFrame) -> DataFrame:
     return whole.select("lines").mapInArrow(compare, "a long, b long").distinct()
 
 
-def dedup_lines(docs: DataFrame) -> DataFrame:
+def dedup_lines(docs: DataFrame, bucket: int = BUCKET) -> DataFrame:
     """docs with `text` rewritten, plus n_lines and n_removed (lines of the input and lines removed).
 
     Input columns of those two names are replaced.
@@ -541,8 +558,14 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     lines = persist(line_prints(plain), "lines")
     lead = F.min(F.struct("doc_id", "line_no", "row")).alias("lead")
     distinct = persist(lines.groupBy("line", "check").agg(lead, F.count("*").alias("n")), "distinct-lines")
-    edges = verified(candidates(lines, distinct.count()), distinct.select("line", "lead"), plain)
-    groups = components(edges, "lines")
+    leads = distinct.select("line", "lead")
+    sets, chunks = _candidates(lines, distinct.count(), bucket)
+    if chunks.isEmpty():
+        groups = components(verified(sets, leads, plain), "lines")
+    else:
+        edges = persist(verified(sets, leads, plain), "line-edges")
+        rest = persist(rest_sets(chunks, components(edges, "lines"), LANE_BITS), "line-rest")
+        groups = components(edges.unionAll(verified(rest.withColumnRenamed("members", "lines"), leads, plain)), "lines")
     placed = distinct.select("line", "check", "lead", "n").join(groups, F.col("line") == F.col("node"), "left").select("line", "check", "lead", "n", F.coalesce("root", "line").alias("root"), F.when(F.col("root").isNull(), F.col("check")).alias("apart"))
     many = persist(placed.where("n > 1 or apart is null"), "line-groups")
     firsts = many.groupBy("root", "apart").agg(F.min("lead").alias("first"))

@@ -219,7 +219,7 @@ def _alike_groups(docs: DataFrame, bucket: int) -> tuple[DataFrame, DataFrame]:
     first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
     prints = persist(marked.groupBy("id").agg(F.min(first).alias("lead"), F.min("print").alias("print")), "prints")
     # documents that meet in several bands are compared once
-    sets = band_sets(prints.where("print is not null").select("id", "print"), BANDS * prints.count(), LANE_BITS, bucket)
+    sets, _ = band_sets(prints.where("print is not null").select("id", "print"), BANDS * prints.count(), LANE_BITS, bucket)
     met = persist(sets.select(F.xxhash64("members").alias("set"), "members"), "met").select("set", F.explode("members").alias("id"))
     wanted = met.select("id").distinct().join(prints.select("id", F.col("lead.row").alias("row")), "id")
 
