@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.buckets import band_sets
+from tidewater.llm.buckets import band_sets, rest_sets
 from tidewater.llm.common import Memo, components, forest, mix64, near, persist, texts
 
 SEED = 42
@@ -212,16 +212,10 @@ def common_counts(sets: list[np.ndarray]) -> np.ndarray:
     return both
 
 
-def _alike_groups(docs: DataFrame, bucket: int) -> tuple[DataFrame, DataFrame]:
-    """(row, doc_id, id) of all rows, and (id, root, lead) of all shingle sets: `lead` is the group's first (doc_id, row), null last."""
-    rows = docs.select(F.xxhash64("doc_id", F.xxhash64("text")).alias("row"), "doc_id", "text")
-    marked = persist(marks(rows), "marks")
-    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
-    prints = persist(marked.groupBy("id").agg(F.min(first).alias("lead"), F.min("print").alias("print")), "prints")
-    # documents that meet in several bands are compared once
-    sets, _ = band_sets(prints.where("print is not null").select("id", "print"), BANDS * prints.count(), LANE_BITS, bucket)
+def _alike(sets: DataFrame, place: DataFrame, rows: DataFrame) -> DataFrame:
+    """Edges (a, b) between alike shingle sets of `sets`: place is (id, row) of each, rows hold (row, text)."""
     met = persist(sets.select(F.xxhash64("members").alias("set"), "members"), "met").select("set", F.explode("members").alias("id"))
-    wanted = met.select("id").distinct().join(prints.select("id", F.col("lead.row").alias("row")), "id")
+    wanted = met.select("id").distinct().join(place, "id")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = word_memo()
@@ -249,7 +243,22 @@ def _alike_groups(docs: DataFrame, bucket: int) -> tuple[DataFrame, DataFrame]:
             if a:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
 
-    edges = whole.select("members").mapInArrow(compare, "a long, b long").distinct()
+    return whole.select("members").mapInArrow(compare, "a long, b long").distinct()
+
+
+def _alike_groups(docs: DataFrame, bucket: int) -> tuple[DataFrame, DataFrame]:
+    """(row, doc_id, id) of all rows, and (id, root, lead) of all shingle sets: `lead` is the group's first (doc_id, row), null last."""
+    rows = docs.select(F.xxhash64("doc_id", F.xxhash64("text")).alias("row"), "doc_id", "text")
+    marked = persist(marks(rows), "marks")
+    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
+    prints = persist(marked.groupBy("id").agg(F.min(first).alias("lead"), F.min("print").alias("print")), "prints")
+    place = prints.select("id", F.col("lead.row").alias("row"))
+    # documents that meet in several bands are compared once
+    sets, chunks = band_sets(prints.where("print is not null").select("id", "print"), BANDS * prints.count(), LANE_BITS, bucket)
+    edges = _alike(sets, place, rows)
+    if not chunks.isEmpty():
+        edges = persist(edges, "alike")
+        edges = edges.unionAll(_alike(rest_sets(chunks, components(edges, "alike"), LANE_BITS), place, rows))
     groups = components(edges, "alike")
     rooted = persist(prints.select("id", "lead").join(groups, F.col("id") == F.col("node"), "left").select("id", "lead", F.coalesce("root", "id").alias("root")), "alike-rooted")
     leads = rooted.groupBy("root").agg(F.min("lead").alias("lead"))
@@ -260,8 +269,8 @@ def near_duplicates(docs: DataFrame, bucket: int = BUCKET) -> DataFrame:
     """(doc_id, component_id) of all documents; alone, a document is its own component.
 
     Documents with equal shingle sets count once. The others meet on bands of min-hashes and link if the
-    Jaccard similarity of their shingle sets is 0.8 or more. Buckets above `bucket` meet as `band_sets` says, in
-    work that grows with their rows.
+    Jaccard similarity of their shingle sets is 0.8 or more. Buckets above `bucket` meet as `band_sets` and `rest_sets` say:
+    no two near ones of a bucket are left out.
     """
     marked, groups = _alike_groups(docs, bucket)
     return marked.join(groups, "id").select("doc_id", F.col("lead.doc_id").alias("component_id"))
