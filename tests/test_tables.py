@@ -5,6 +5,7 @@ import random
 import shutil
 
 import pytest
+from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
 
 from tidewater.functions.schema import RAW_SCHEMA
@@ -42,6 +43,20 @@ def test_only_touched_buckets_are_written(spark, tmp_path):
     assert reopened.buckets == 8 and held(reopened) == sorted(want)
 
 
+def test_the_first_load_writes_rows_once(spark, tmp_path, monkeypatch):
+    """One shuffle by bucket and one write; keys that repeat, keyless rows and empty batches as ever."""
+    table, written = BucketedTable(spark, str(tmp_path / "t"), SCHEMA, 4), []
+    parquet = DataFrameWriter.parquet
+    monkeypatch.setattr(DataFrameWriter, "parquet", lambda self, path, *a, **k: (written.append(path), parquet(self, path, *a, **k))[1])
+    with pytest.raises(ValueError):
+        table.upsert(rows(spark, ("a", "x", 1.0, 0), (None, "x", 1.0, 0)), ["rating"])
+    assert table.upsert(rows(spark, ("a", "x", 1.0, 0)).limit(0), ["rating"]) == 0
+    assert Folder(spark, str(tmp_path / "t")).names("data") == []
+    written.clear()
+    table.upsert(rows(spark, ("a", "y", 2.0, 2), ("a", "x", 1.0, 1), ("b", "z", None, 0)), ["rating"])
+    assert len(written) == 1 and held(table) == [("a", "x", 2.0), ("b", "z", None)]
+
+
 def test_upserts_equal_the_plan(spark, tmp_path):
     rng = random.Random(3)
     table, whole = BucketedTable(spark, str(tmp_path / "t"), SCHEMA, 4), spark.createDataFrame([], SCHEMA)

@@ -146,9 +146,11 @@ class BucketedTable:
         """New folders of the buckets that the batch touches."""
         fixed = [f.name for f in self.schema if f.name != self.key and f.name not in updates]
         pick = lambda names: F.struct(*names) if names else F.struct(F.lit(0).alias("_none"))
+        scratch = f"data/{uuid.uuid4().hex}"
+        if not base["folders"]:
+            return self._load(scratch, batch.withColumn("bucket", self.bucket()), F.max_by(pick(updates), seq), F.min_by(pick(fixed), seq), updates)
         # rows of one key meet before the shuffle, so that a key with many rows costs one row a task
         new = batch.groupBy(self.key).agg(F.max_by(pick(updates), seq).alias("last"), F.min_by(pick(fixed), seq).alias("first")).withColumn("bucket", self.bucket())
-        scratch = f"data/{uuid.uuid4().hex}"
         new.write.parquet(f"{self.root}/{scratch}/batch")  # read twice: which buckets, and their rows
         new = self.spark.read.schema(new.schema).parquet(f"{self.root}/{scratch}/batch")
         facts = new.groupBy("bucket").agg(F.count_if(F.col(self.key).isNull()).alias("keyless")).collect()  # at most a row for each bucket
@@ -175,6 +177,19 @@ class BucketedTable:
         self.folder.delete(f"{scratch}/batch")
         return {str(b): f"{scratch}/rows/bucket={b}" for b in buckets}
 
+    def _load(self, scratch: str, batch: DataFrame, last, first, updates: list[str]) -> dict[str, str]:
+        """Folders of the first rows of a table: nothing is there to meet, so one shuffle by bucket and one write do."""
+        dealt = batch.repartition(self.buckets, "bucket").groupBy("bucket", self.key).agg(last.alias("last"), first.alias("first"))
+        value = lambda c: F.col(c) if c == self.key else F.col(f"last.{c}" if c in updates else f"first.{c}").alias(c)
+        dealt.select("bucket", *[value(f.name) for f in self.schema]).write.partitionBy("bucket").parquet(f"{self.root}/{scratch}/rows")
+        made = {n.removeprefix("bucket="): f"{scratch}/rows/{n}" for n in self.folder.names(f"{scratch}/rows") if n.startswith("bucket=")}
+        keyless = made and not self.spark.read.schema(self.schema).parquet(*[f"{self.root}/{f}" for f in made.values()]).where(F.col(self.key).isNull()).isEmpty()
+        if keyless or not made:
+            self.folder.delete(scratch)
+        if keyless:
+            raise ValueError(f"rows without {self.key}")
+        return made
+
     def _commit(self, base: dict, folders: dict[str, str], stream: str | None, batch_id: int | None, notes: dict | None) -> int | None:
         if not folders and batch_id is None and not notes:
             return base["version"]
