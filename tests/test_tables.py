@@ -57,6 +57,20 @@ def test_the_first_load_writes_rows_once(spark, tmp_path, monkeypatch):
     assert len(written) == 1 and held(table) == [("a", "x", 2.0), ("b", "z", None)]
 
 
+def test_a_bucket_is_written_by_several_tasks(spark, tmp_path):
+    """A task need not read a whole bucket, neither at the first load nor later; each key lies in one place."""
+    table, data = BucketedTable(spark, str(tmp_path / "t"), SCHEMA, 2), Folder(spark, str(tmp_path / "t"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        for seq in (0, 1):
+            table.upsert(rows(spark, *[(str(k), "t", float(k + seq), seq) for k in range(400)]), ["rating"])
+            files = [[n for n in data.names(f) if n.endswith(".parquet")] for f in table.manifest()["folders"].values()]
+            assert len(files) == 2 and all(len(x) > 1 for x in files)
+            assert held(table) == sorted((str(k), "t", float(k + seq)) for k in range(400))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 def test_upserts_equal_the_plan(spark, tmp_path):
     rng = random.Random(3)
     table, whole = BucketedTable(spark, str(tmp_path / "t"), SCHEMA, 4), spark.createDataFrame([], SCHEMA)

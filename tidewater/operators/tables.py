@@ -21,6 +21,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+#: Parts of a bucket that may be dealt to tasks of their own; Spark joins those that are small.
+SLICES = 64
+
+
 class Conflict(RuntimeError):
     """Another writer has taken the next version."""
 
@@ -98,6 +102,12 @@ class BucketedTable:
     def bucket(self):
         return F.pmod(F.xxhash64(self.key), F.lit(self.buckets)).cast("int")
 
+    def dealt(self, rows: DataFrame):
+        """Rows (with `bucket`) grouped by key after one shuffle by bucket and slice of the bucket: a task need not hold a whole bucket."""
+        # another part of the hash than the one that gives the bucket
+        sliced = rows.withColumn("slice", F.pmod(F.shiftright(F.xxhash64(self.key), 32), F.lit(SLICES)).cast("int"))
+        return sliced.repartition("bucket", "slice").groupBy("bucket", "slice", self.key)
+
     def read(self, version: int | None = None, buckets: list[int] | None = None) -> DataFrame:
         """All rows of a version, or those of some buckets."""
         folders = self.manifest(version)["folders"]
@@ -165,8 +175,8 @@ class BucketedTable:
         old = self.read(base["version"], buckets).select(self.key, F.struct(*others).alias("old"), self.bucket().alias("bucket"))
         none = lambda column, like: F.lit(None).cast(like.schema[column].dataType).alias(column)
         both = old.select("bucket", self.key, "old", none("last", new), none("first", new)).unionByName(new.select("bucket", self.key, none("old", old), "last", "first"))
-        # one shuffle, by bucket: grouping by key within it and writing by bucket need no other
-        dealt = both.repartition(len(buckets), "bucket").groupBy("bucket", self.key).agg(*[F.first(c, ignorenulls=True).alias(c) for c in ("old", "last", "first")])
+        # one shuffle: grouping by key within it and writing by bucket need no other
+        dealt = self.dealt(both).agg(*[F.first(c, ignorenulls=True).alias(c) for c in ("old", "last", "first")])
         value = lambda c: (
             F.when(F.col("last").isNotNull(), F.col(f"last.{c}")).otherwise(F.col(f"old.{c}"))
             if c in updates
@@ -179,7 +189,7 @@ class BucketedTable:
 
     def _load(self, scratch: str, batch: DataFrame, last, first, updates: list[str]) -> dict[str, str]:
         """Folders of the first rows of a table: nothing is there to meet, so one shuffle by bucket and one write do."""
-        dealt = batch.repartition(self.buckets, "bucket").groupBy("bucket", self.key).agg(last.alias("last"), first.alias("first"))
+        dealt = self.dealt(batch).agg(last.alias("last"), first.alias("first"))
         value = lambda c: F.col(c) if c == self.key else F.col(f"last.{c}" if c in updates else f"first.{c}").alias(c)
         dealt.select("bucket", *[value(f.name) for f in self.schema]).write.partitionBy("bucket").parquet(f"{self.root}/{scratch}/rows")
         made = {n.removeprefix("bucket="): f"{scratch}/rows/{n}" for n in self.folder.names(f"{scratch}/rows") if n.startswith("bucket=")}
