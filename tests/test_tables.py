@@ -71,6 +71,29 @@ def test_a_bucket_is_written_by_several_tasks(spark, tmp_path):
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
 
 
+def test_new_keys_are_added_and_known_ones_rewrite_their_bucket(spark, tmp_path, monkeypatch):
+    """A batch of new keys writes its own rows only; the buckets' earlier folders stay, up to a number of them."""
+    table, written = BucketedTable(spark, str(tmp_path / "t"), SCHEMA, 2), []
+    parquet = DataFrameWriter.parquet
+    monkeypatch.setattr(DataFrameWriter, "parquet", lambda self, path, *a, **k: (written.append(path), parquet(self, path, *a, **k))[1])
+    table.upsert(rows(spark, *[(str(k), "t", float(k), 0) for k in range(20)]), ["rating"])
+    before = table.manifest()["folders"]
+    table.upsert(rows(spark, *[(str(k), "t", float(k), 0) for k in range(20, 40)]), ["rating"])
+    after = table.manifest()["folders"]
+    assert len(written) == 2 and all(after[b][0] == before[b] and len(after[b]) == 2 for b in before)
+    assert table.written(1).count() == 20 == table.changes(1).count() and table.read(1).count() == 20
+    # a known key beside a new one: its bucket becomes one folder again, the other stays as it is
+    table.upsert(rows(spark, ("3", "u", 33.0, 0)), ["rating"])
+    last = table.manifest()["folders"]
+    assert sorted(type(f).__name__ for f in last.values()) == ["list", "str"]
+    assert held(table) == sorted((str(k), "t", 33.0 if k == 3 else float(k)) for k in range(40))
+    assert [(r.id, r.rating) for r in table.changes(2).collect()] == [("3", 33.0)] and table.changes(1).count() == 21
+    for k in range(40, 52):
+        table.upsert(rows(spark, *[(f"{k}-{i}", "t", 0.0, 0) for i in range(8)]), ["rating"], once=k % 2 == 0)
+    assert all(len(f) <= 8 for f in table.manifest()["folders"].values() if isinstance(f, list)) and table.read().count() == 40 + 12 * 8
+    assert table.vacuum(1) > 0 and table.read().count() == 40 + 12 * 8
+
+
 def test_upserts_equal_the_plan(spark, tmp_path):
     rng = random.Random(3)
     table, whole = BucketedTable(spark, str(tmp_path / "t"), SCHEMA, 4), spark.createDataFrame([], SCHEMA)

@@ -90,9 +90,9 @@ def parse_verdicts(replies: DataFrame) -> DataFrame:
 
 
 def pending_enrichment(raw: DataFrame, served: DataFrame) -> DataFrame:
-    """Raw rows that are not served yet, or with another text."""
-    known = served.select("id", F.col("text").alias("_served"))
-    return raw.join(known, "id", "left").where("_served is null or _served <> text").drop("_served")
+    """Raw rows that are not served yet, or with another text; texts are told apart by their SHA-256, so that served ones stay where they are."""
+    known = served.select("id", F.sha2("text", 256).alias("_served"))
+    return raw.join(known, "id", "left").where(F.col("_served").isNull() | (F.col("_served") != F.sha2("text", 256))).drop("_served")
 
 
 def append_run(spark: SparkSession, path: str, brand: str, sources: list[str], rows: int, status: str, started: str, finished: str) -> None:

@@ -725,8 +725,11 @@ def stream_ingest(spark, d):
     """Reviews as a stream of files: upserted raw, enriched, served; the batch after the last is a replay."""
     rows = keyed(reviews(spark, d)).withColumn("extra", F.lit("{}")).select(*[f.name for f in RAW_SCHEMA])
     folder, root = shared_folder(spark, "files"), shared_folder(spark, "store")
-    rows.repartition(3, "id").write.json(folder)
-    source = spark.readStream.schema(RAW_SCHEMA).option("maxFilesPerTrigger", 1).json(folder)
+    # three micro-batches: each task writes a file for each
+    rows.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(3))).write.partitionBy("part").json(folder)
+    files = tables.Folder(spark, folder)
+    each = -(-sum(n.endswith(".json") for p in files.names() for n in files.names(p)) // 3)
+    source = spark.readStream.schema(RAW_SCHEMA).option("recursiveFileLookup", True).option("maxFilesPerTrigger", max(1, each)).json(folder)
     pipeline.run(spark, source, root, shared_folder(spark, "offsets"), once=True, buckets=16).awaitTermination()
     held = pipeline.Store(spark, root, 16)
     pipeline.ingest(held, rows.withColumn("rating", F.lit(0.0)), 0)

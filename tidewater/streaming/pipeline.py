@@ -32,8 +32,9 @@ MOST_ATTEMPTS = 5
 
 
 def sequenced(batch: DataFrame) -> DataFrame:
-    """Rows in their order of arrival: the batch's own `seq`, or, as far as a micro-batch tells, capture time, then id and text."""
-    return batch if "seq" in batch.columns else batch.withColumn("seq", F.struct("captured_at", "id", "text"))
+    """Rows in their order of arrival: the batch's own `seq`, or, as far as a micro-batch tells, capture time, then id and a digest of the text."""
+    # a text's digest tells as much, and doesn't travel with the row as a second copy of the text
+    return batch if "seq" in batch.columns else batch.withColumn("seq", F.struct("captured_at", "id", F.unhex(F.sha2("text", 256)).alias("text")))
 
 
 class Store:
@@ -65,13 +66,14 @@ def serve(store: Store, provider: Embedder | None = None) -> None:
     version, done = store.raw.version(), store.served.manifest()["notes"].get("raw", 0)
     if done < version:
         rows = enriched(*pending_sides(store.raw, store.served, done), provider)
-        store.served.upsert(rows.withColumn("seq", F.lit(0)), SERVED_UPDATES, notes={"raw": version})
+        store.served.upsert(rows, SERVED_UPDATES, notes={"raw": version}, once=True)
 
 
 def pending_sides(raw: BucketedTable, served: BucketedTable, since: int) -> tuple[DataFrame, DataFrame]:
-    """Raw rows of the buckets changed since a version, and the served rows that they may meet."""
-    buckets = raw.touched(since)
-    return raw.read(buckets=buckets), served.read(buckets=buckets if raw.buckets == served.buckets else None)
+    """Raw rows written since a version (what was there before was served with it), and the served rows that they may meet."""
+    rows = raw.written(since)
+    buckets = raw.touched(since) if raw.buckets == served.buckets else list(range(served.buckets))
+    return rows, served.read(buckets=served.meeting(rows, buckets))
 
 
 def plan_notices(store: Store) -> None:
