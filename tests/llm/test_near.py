@@ -224,6 +224,33 @@ def test_near_rows_of_a_large_bucket_all_meet(spark):
     assert buckets.rest_sets(chunks, one, 3).count() == 0
 
 
+def test_rows_of_a_large_bucket_leave_by_pairs_that_fit(spark):
+    """Every pair that size, bins and fingerprint let be alike meets; strangers of like fingerprints don't leave at all."""
+    rng, np_rng = random.Random(7), np.random.default_rng(7)
+    n = 600  # the last 150 are like the first ones, a tenth longer; every bin of row 449 is full
+    values = [rng.getrandbits(12) for _ in range(450)]
+    values += [v ^ 1 for v in values[:150]]
+    bins = np.zeros((n, 256), np.int64)
+    for k in range(450):
+        bins[k, np_rng.choice(256, 20, replace=False)] = np_rng.integers(2, 12, 20) * (1 + k % 9)
+    bins[449] = 300
+    bins[450:] = bins[:150]
+    bins[450:, 0] += bins[450:].sum(1) // 10
+    size, most = bins.sum(1), 8
+    chunks = spark.createDataFrame([(7, k // 16, list(range(k, min(k + 16, n))), values[k : k + 16]) for k in range(0, n, 16)], "key long, chunk int, ids array<long>, p array<long>")
+    stored = spark.createDataFrame([(k, int(size[k]), bytearray(np.minimum(bins[k], 255).astype(np.uint8).tobytes())) for k in range(n)], "id long, size int, bins binary")
+    want = {(i, j) for i in range(n) for j in range(i + 1, n) if (values[i] ^ values[j]).bit_count() <= most and min(size[i], size[j]) >= 0.8 * max(size[i], size[j]) and np.minimum(bins[i], bins[j]).sum() >= 0.5 * max(size[i], size[j])}
+    none = spark.createDataFrame([], "node long, root long")
+    found = buckets.rest_fits(chunks, none, stored, most, 0.8, 0.5).collect()
+    together = {(a, b) for r in found for a in r.members for b in r.members if a < b}
+    assert {(k, 450 + k) for k in range(150)} <= want <= together
+    assert sum(len(r.members) for r in found) < 3 * len(want)
+    assert sum(len(r.members) for r in buckets.rest_sets(chunks, none, most).collect()) > 5 * sum(len(r.members) for r in found)
+    assert all(v == values[i] and root == i for r in found for i, v, root in zip(r.members, r.p, r.root, strict=True))
+    one = spark.createDataFrame([(i, 0) for i in range(n)], "node long, root long")
+    assert buckets.rest_fits(chunks, one, stored, most, 0.8, 0.5).count() == 0
+
+
 def test_lines_and_documents_of_large_buckets(spark):
     """The size of chunks makes no difference."""
     rng = random.Random(8)

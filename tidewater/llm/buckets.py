@@ -12,6 +12,7 @@ that work is quadratic in the rows of a large bucket that stay apart, and in not
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import chain
 
@@ -83,6 +84,60 @@ def rest_sets(chunks: DataFrame, groups: DataFrame, most: int) -> DataFrame:
     return sets.withColumn("set", F.xxhash64("members")).dropDuplicates(["set"]).drop("set")
 
 
+def rest_fits(chunks: DataFrame, groups: DataFrame, marks: DataFrame, most: int, similarity: float, common: float) -> DataFrame:
+    """`rest_sets` for rows with marks (id, size, bins) that rule pairs out: the smaller size is at least `similarity` of the larger one,
+    and the bins (a byte each, 255 for any more) have at least `common` of it in common.
+
+    Rows of a bucket meet in cells of like size, each with itself and the next one, in chunks of up to BUCKET rows. What leaves
+    grows with the pairs that fit, not with those that are compared.
+    """
+    rows = chunks.select("key", F.explode(F.arrays_zip("ids", "p")).alias("x")).select("key", F.col("x.ids").alias("id"), F.col("x.p").alias("p"))
+    rooted = rows.join(groups, F.col("id") == F.col("node"), "left").select("key", "id", "p", F.coalesce("root", "id").alias("root")).join(marks, "id")
+    # a hair wider than 1 / similarity, so that sizes that fit are never two cells apart
+    celled = persist(rooted.withColumn("cell", F.floor(F.log(F.col("size") + 1) / math.log(1.0001 / similarity)).cast("int")), "bucket-rows")
+    many = celled.groupBy("key", "cell").agg(F.ceil(F.count("*") / BUCKET).alias("chunks"))
+    placed = celled.join(many, ["key", "cell"]).withColumn("chunk", F.pmod(F.xxhash64("id"), "chunks").cast("int"))
+    held = persist(placed.groupBy("key", "cell", "chunk").agg(F.collect_list(F.struct("id", "p", "root", "size", "bins")).alias("rows"), F.min("root").alias("low"), F.max("root").alias("high")), "bucket-chunks")
+    names = held.select("key", "cell", "chunk", "low", "high")
+    other = names.select("key", *[F.col(c).alias(f"other_{c}") for c in names.columns[1:]])
+    beside = ((F.col("other_cell") == F.col("cell")) & (F.col("other_chunk") >= F.col("chunk"))) | (F.col("other_cell") == F.col("cell") + 1)
+    met = names.join(other, "key").where(beside & (F.least("low", "other_low") < F.greatest("high", "other_high"))).drop("low", "high", "other_low", "other_high")
+    sides = held.select("key", *[F.col(c).alias(f"other_{c}") for c in ("cell", "chunk", "rows")])
+    met = met.join(held, ["key", "cell", "chunk"]).join(sides, ["key", "other_cell", "other_chunk"]).select("rows", "other_rows", (F.struct("cell", "chunk") == F.struct("other_cell", "other_chunk")).alias("alone"))
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for one, two, alone in zip(batch.column("rows"), batch.column("other_rows"), batch.column("alone").to_pylist(), strict=True):
+                (a, p, r, m, u), (b, q, s, n, v) = (_fields(x) for x in (one, two))
+                longer = np.maximum(m[:, None], n[None, :])
+                near = (np.bitwise_count((p[:, None] ^ q[None, :]).view(np.uint64)) <= most) & (r[:, None] != s[None, :])
+                near &= np.abs(m[:, None] - n[None, :]) <= (1 - similarity) * longer + 1e-9
+                i, j = np.nonzero(np.triu(near, 1) if alone else near)
+                ok = np.zeros(len(i), bool)
+                for k in range(0, len(i), 4096):
+                    least = np.minimum(u[i[k : k + 4096]], v[j[k : k + 4096]])
+                    # a full bin may hold any number
+                    ok[k : k + 4096] = (least.sum(1, dtype=np.int64) >= common * longer[i[k : k + 4096], j[k : k + 4096]]) | (least == 255).any(1)
+                i, j = i[ok], j[ok]
+                if not len(i):
+                    continue
+                if not alone:
+                    a, p, r, j = np.concatenate([a, b]), np.concatenate([p, q]), np.concatenate([r, s]), j + len(a)
+                label = np.arange(len(a))
+                for x, y in forest(np.stack([i, j], 1), len(a)).tolist():
+                    label[label == label[y]] = label[x]
+                sets = [np.flatnonzero(label == x) for x in np.unique(label[i])]
+                yield pa.RecordBatch.from_arrays([_lists([c[np.sort(g)] for g in sets]) for c in (a, p, r)], ["members", "p", "root"])
+
+    return met.mapInArrow(compare, "members array<long>, p array<long>, root array<long>")
+
+
+def _fields(rows: pa.ListScalar) -> list[np.ndarray]:
+    """Columns of the rows of one chunk; bins as a table of bytes."""
+    columns = [rows.values.field(c) for c in ("id", "p", "root", "size", "bins")]
+    return [*[c.to_numpy().astype(np.int64) for c in columns[:4]], np.frombuffer(b"".join(columns[4].to_pylist()), np.uint8).reshape(len(columns[4]), -1)]
+
+
 def _keyed(prints: DataFrame) -> DataFrame:
     """(key, id, p): a row for each key; p is the fingerprint, turned by the key's number so that each key sorts by other bits first."""
 

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.buckets import BUCKET, LEADING, band_sets, rest_sets
+from tidewater.llm.buckets import BUCKET, LEADING, band_sets, rest_fits
 from tidewater.llm.common import Memo, components, mix64, persist, texts
 
 LEAST_WORDS = 5
@@ -209,7 +209,7 @@ def line_prints(docs: DataFrame, bands: int = BANDS) -> DataFrame:
 
 def candidates(lines: DataFrame, rows: int, bucket: int = BUCKET) -> DataFrame:
     """(lines): sets of lines, each connected by a shared band and near fingerprints. Links lie inside one set, but for those of large
-    buckets that are left to `rest_sets`.
+    buckets that are left to `rest_fits`.
 
     lines: (line, print) of about `rows` different lines; a line may come again.
     """
@@ -515,22 +515,40 @@ def _edges(sets: list[list[dict]], plain: Memo, groups: Groups) -> list[tuple[in
     return edges
 
 
-def verified(sets: DataFrame, leads: DataFrame, docs: DataFrame) -> DataFrame:
+def line_texts(lines: DataFrame, leads: DataFrame, docs: DataFrame) -> DataFrame:
+    """(line, text) of the lines in column `line`, on disk: the shuffle that brought them goes before the next one."""
+    wanted = lines.select("line").distinct().join(leads, "line").select("line", "lead.row", "lead.doc_id", "lead.line_no")
+    by_row = wanted.groupBy("row", "doc_id").agg(F.collect_list(F.struct("line_no", "line")).alias("want"))
+    taken = by_row.join(docs.select("row", F.col("place").alias("doc_id"), "text"), ["row", "doc_id"]).select(F.split("text", "\n", -1).alias("parts"), F.explode("want").alias("w"))
+    return persist(taken.select(F.col("w.line").alias("line"), F.element_at("parts", F.col("w.line_no") + 1).alias("text")).dropDuplicates(["line"]), "line-texts")
+
+
+def marks(held: DataFrame) -> DataFrame:
+    """(id, size, bins) of lines (line, text): length and letters in bins of words, as `letters` has them, in a byte each (255 for any more)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw = [x.decode("utf-8", "replace") for x in texts(batch.column("text"))]
+            for s in range(0, len(raw), 2000):
+                size, bins = letters(raw[s : s + 2000])
+                rows = np.minimum(bins, 255).astype(np.uint8)
+                yield pa.RecordBatch.from_arrays([batch.column("line")[s : s + 2000], pa.array(size.astype(np.int32)), pa.array([x.tobytes() for x in rows], pa.binary())], ["id", "size", "bins"])
+
+    return held.select("line", "text").mapInArrow(run, "id long, size int, bins binary")
+
+
+def verified(sets: DataFrame, leads: DataFrame, docs: DataFrame, held: DataFrame | None = None) -> DataFrame:
     """Edges (a, b) between alike lines in a set: a spanning forest of each set, pairs already connected are skipped.
 
     Small sets with the same first two lines are dealt to one task, as many of their pairs are the same. Larger ones,
-    among them the chunks of one large bucket with the same leading rows, are dealt one by one. Sets of `rest_sets` bring
-    fingerprints and groups along: of these only near lines of different groups are compared.
+    among them the chunks of one large bucket with the same leading rows, are dealt one by one. Sets of `rest_fits` bring
+    fingerprints and groups along: of these only near lines of different groups are compared. `held`: texts of the lines, if there are.
     """
     deal = F.when(F.size("lines") < LEADING, F.xxhash64(F.slice("lines", 1, 2))).otherwise(F.xxhash64("lines"))
     extra = [c for c in ("p", "root") if c in sets.columns]
     numbered = persist(sets.select(deal.alias("deal"), F.xxhash64("lines").alias("set"), F.col("lines").alias("line"), *extra), "line-sets")
     members = numbered.select("deal", "set", F.explode(F.arrays_zip("line", *extra)).alias("m")).select("deal", "set", *[f"m.{c}" for c in ("line", *extra)])
-    wanted = members.select("line").distinct().join(leads, "line").select("line", "lead.row", "lead.doc_id", "lead.line_no")
-    by_row = wanted.groupBy("row", "doc_id").agg(F.collect_list(F.struct("line_no", "line")).alias("want"))
-    taken = by_row.join(docs.select("row", F.col("place").alias("doc_id"), "text"), ["row", "doc_id"]).select(F.split("text", "\n", -1).alias("parts"), F.explode("want").alias("w"))
-    # each line's text, on disk: the shuffle that brought it goes before the next one
-    held = persist(taken.select(F.col("w.line").alias("line"), F.element_at("parts", F.col("w.line_no") + 1).alias("text")).dropDuplicates(["line"]), "line-texts")
+    held = line_texts(members, leads, docs) if held is None else held
     whole = members.join(held, "line").repartition("deal").groupBy("deal", "set").agg(F.collect_list(F.struct("line", "text", *extra)).alias("lines"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -564,8 +582,9 @@ def dedup_lines(docs: DataFrame, bucket: int = BUCKET) -> DataFrame:
         groups = components(verified(sets, leads, plain), "lines")
     else:
         edges = persist(verified(sets, leads, plain), "line-edges")
-        rest = persist(rest_sets(chunks, components(edges, "lines"), LANE_BITS), "line-rest")
-        groups = components(edges.unionAll(verified(rest.withColumnRenamed("members", "lines"), leads, plain)), "lines")
+        held = line_texts(chunks.select(F.explode("ids").alias("line")), leads, plain)
+        rest = persist(rest_fits(chunks, components(edges, "lines"), marks(held), LANE_BITS, SIMILARITY, COMMON), "line-rest")
+        groups = components(edges.unionAll(verified(rest.withColumnRenamed("members", "lines"), leads, plain, held)), "lines")
     placed = distinct.select("line", "check", "lead", "n").join(groups, F.col("line") == F.col("node"), "left").select("line", "check", "lead", "n", F.coalesce("root", "line").alias("root"), F.when(F.col("root").isNull(), F.col("check")).alias("apart"))
     many = persist(placed.where("n > 1 or apart is null"), "line-groups")
     firsts = many.groupBy("root", "apart").agg(F.min("lead").alias("first"))
