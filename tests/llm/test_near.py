@@ -350,6 +350,56 @@ def test_large_groups_of_a_passage_are_one_class(spark, bucket):
     assert all(got[1000 + i].class_id == 1000 + i and not got[1000 + i].spans for i in range(20))
 
 
+@pytest.mark.parametrize("bucket", [70, 256])
+def test_links_of_a_large_min_hash_are_all_found(spark, bucket):
+    """Most of a passage stands in all texts, the rest in two of them: those two are found, wherever they lie among all."""
+    rng = random.Random(34)
+    word = lambda: f"w{rng.randrange(10**9)}"
+    common_words = [word() for _ in range(40)]
+    rows = []
+    for i in range(150):
+        half = common_words + [word() for _ in range(15)]
+        rows += [(k + i, " ".join([word() for _ in range(20)] + half + [word() for _ in range(20)])) for k in (0, 1000)]
+    got = {r.doc_id: r for r in substring.group_passages(frame(spark, rows), bucket).collect()}
+    assert [i for i in range(150) if got[1000 + i].class_id != i or got[i].class_id != i] == []
+    assert all(r.n_links == 1 and len(r.spans) == 1 for r in got.values())
+
+
+def test_texts_with_short_pieces_in_common_are_left_out(spark):
+    rng = random.Random(35)
+    word = lambda: f"w{rng.randrange(10**9)}"
+    piece, passage = [word() for _ in range(30)], [word() for _ in range(50)]
+    rows = [(i, " ".join([word() for _ in range(40)] + (passage if i < 3 else piece) + [word() for _ in range(40)])) for i in range(60)] + [(60, "same " * 200), (61, "same " * 90), (62, "")]
+    for parts in (1, 7):
+        spread = spark.createDataFrame(rows, "node long, text string").repartition(parts)
+        assert sorted(r.node for r in substring.shared_passages(spread).collect()) == [0, 1, 2, 60, 61]
+
+
+def test_chains_of_one_word_keep_their_regions(spark):
+    """Pairs left out of a chain of equal min-hashes lie inside pairs that stay, on the same offset."""
+    texts = [(k, " ".join([f"own{k}x{i}" for i in range(30)] + ["same"] * n + [f"end{k % 2}x{i}" for i in range(40)])) for k, n in enumerate((60, 75, 90))]
+    rows = substring.windows(spark.createDataFrame(texts, "node long, text string"))
+    dealt = rows.unionAll(rows).repartition(3, "sig").sortWithinPartitions("sig", "node", "x")
+    by = collections.defaultdict(list)
+    for r in rows.collect():
+        by[r.sig].append(r)
+    every = set()
+    for sig, held in by.items():
+        for a in held:
+            for b in held:
+                left, right = min(a.x - a.l, b.x - b.l), min(a.r - a.x, b.r - b.x)
+                if a.node < b.node and left + right + 1 >= substring.WIDTH:
+                    every.add((a.node, b.node, sig & 3, a.x - b.x, a.x - left, a.x + right))
+    pairs = spark.createDataFrame([(0, 1), (0, 2), (1, 2)], "a long, b long")
+    for found in (substring.laid(pairs, rows.unionAll(rows)).collect(),):
+        got = {(r.a, r.b, r.j, r.ax - r.bx, r.ax - r.left, r.ax + r.right) for r in found}
+        assert len(got) == len(found) and got <= every and len(got) < len(every) / 2
+        assert all(any(g[:4] == e[:4] and g[4] <= e[4] and e[5] <= g[5] for g in got) for e in every)
+    # above ALL stretches only the first ones of a chain stay
+    kept = substring.buckets(dealt).where("chunk <> -1")
+    assert kept.count() and all(len(r.node) < 20 for r in kept.collect())
+
+
 @pytest.mark.parametrize("copies", [40])
 def test_links_of_an_edited_passage(spark, copies):
     """Links of a small group against brute force over all pairs."""
