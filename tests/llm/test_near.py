@@ -390,11 +390,11 @@ def test_chains_of_one_word_keep_their_regions(spark):
                 left, right = min(a.x - a.l, b.x - b.l), min(a.r - a.x, b.r - b.x)
                 if a.node < b.node and left + right + 1 >= substring.WIDTH:
                     every.add((a.node, b.node, sig & 3, a.x - b.x, a.x - left, a.x + right))
-    pairs = spark.createDataFrame([(0, 1), (0, 2), (1, 2)], "a long, b long")
-    for found in (substring.laid(pairs, rows.unionAll(rows)).collect(),):
-        got = {(r.a, r.b, r.j, r.ax - r.bx, r.ax - r.left, r.ax + r.right) for r in found}
-        assert len(got) == len(found) and got <= every and len(got) < len(every) / 2
-        assert all(any(g[:4] == e[:4] and g[4] <= e[4] and e[5] <= g[5] for g in got) for e in every)
+    pairs = spark.createDataFrame([(a, b, sig) for a, b in ((0, 1), (0, 2), (1, 2)) for sig in by], "a long, b long, sig long")
+    found = substring.laid(pairs, rows.unionAll(rows)).collect()
+    got = {(r.a, r.b, r.j, r.ax - r.bx, r.ax - r.left, r.ax + r.right) for r in found}
+    assert len(got) == len(found) and got <= every and len(got) < len(every) / 2
+    assert all(any(g[:4] == e[:4] and g[4] <= e[4] and e[5] <= g[5] for g in got) for e in every)
     # above ALL stretches only the first ones of a chain stay
     kept = substring.buckets(dealt).where("chunk <> -1")
     assert kept.count() and all(len(r.node) < 20 for r in kept.collect())
