@@ -365,6 +365,21 @@ def test_links_of_a_large_min_hash_are_all_found(spark, bucket):
     assert all(r.n_links == 1 and len(r.spans) == 1 for r in got.values())
 
 
+def test_groups_with_a_short_piece_in_common_leave_no_pairs(spark, monkeypatch):
+    """Thirty words stand in all texts, the rest in three copies each: copies are one class, and no pair of classes goes on."""
+    rng = random.Random(36)
+    word = lambda: f"w{rng.randrange(10**9)}"
+    piece, rows = [word() for _ in range(30)], []
+    for i in range(40):
+        text = [word() for _ in range(60)] + piece + [word() for _ in range(60)]
+        rows += [(3 * i + k, " ".join(text + [f"own{i}x{k}"])) for k in range(3)]
+    made, unmet = [], substring.unmet
+    monkeypatch.setattr(substring, "unmet", lambda *a: made.append(unmet(*a)) or made[-1])
+    got = {r.doc_id: r for r in substring.group_passages(frame(spark, rows)).collect()}
+    assert all(r.class_id == i // 3 * 3 and r.n_links == 2 for i, r in got.items())
+    assert len(made) == 1 and made[0].count() == 0
+
+
 def test_texts_with_short_pieces_in_common_are_left_out(spark):
     rng = random.Random(35)
     word = lambda: f"w{rng.randrange(10**9)}"
